@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task, so that numpy temporaries stay small.
 SLICE_BYTES = 1 << 20
@@ -72,6 +73,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WORD = (~_SPACE).astype(np.uint8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -104,27 +106,102 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and each text's first word index.
+def row_prefixes(rows: np.ndarray) -> np.ndarray:
+    """Running sums from which :func:`row_span_hashes` hashes spans of equally long rows of bytes."""
+    n, width = rows.shape
+    out = np.zeros((width + 1, n), np.uint64)
+    powers = _powers(width)
+    for j in range(width):
+        out[j + 1] = out[j] + _BYTE[rows[:, j]] * powers[j]
+    return out
+
+
+def row_span_hashes(prefixes: np.ndarray, start: int, end: int) -> np.ndarray:
+    """:func:`span_hashes` of [start, end) of every row."""
+    back = np.uint64(pow(int(_INV), start, 1 << 64))
+    size = np.uint64((end - start) * 0xD6E8FEB86659FD93 % (1 << 64))
+    return mix(((prefixes[end] - prefixes[start]) * back) ^ size)
+
 
-    ``bounds`` are the texts' byte offsets in ``data``; no word crosses them.
+def class_spans(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of one kind of byte (kind 0: none) and each text's first run.
+
+    ``bounds`` are the texts' byte offsets in ``data``; no run crosses them.
     """
     n = len(data)
-    solid = ~_SPACE[data]
-    begin = solid.copy()
-    begin[1:] &= ~solid[:-1]
-    cut = bounds[1:-1]
-    cut = cut[cut < n]
-    begin[cut] = solid[cut]
-    starts = np.flatnonzero(begin)
-    stop = np.zeros(n + 1, bool)
-    stop[:n] = ~solid
-    stop[n] = True
-    stop[bounds] = True
-    stops = np.flatnonzero(stop)
-    ends = stops[np.searchsorted(stops, starts, side="right")] if len(starts) else starts
+    k = kind[data]
+    edge = np.ones(n + 1, bool)
+    edge[1:n] = k[1:] != k[:-1]
+    edge[bounds] = True
+    starts = np.flatnonzero(edge[:n] & (k > 0))
+    ends = np.flatnonzero(edge[1:] & (k > 0)) + 1
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the words ``[^\\x20\\x09-\\x0D]+`` and each text's first word index."""
+    return class_spans(data, bounds, _WORD)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
+
+
+def sum_blocks(df: DataFrame, cells: int, block: int = 1 << 14) -> np.ndarray:
+    """Sums of the counts that tasks emit as (block number, int64 counts): ``cells`` numbers in all.
+
+    Partial sums meet in a shuffle on the block number; a task holds the sums
+    of its blocks and no more, and the driver gets ``cells`` numbers.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+                part = np.frombuffer(raw.as_buffer(), np.uint32)
+                if k in sums:
+                    sums[k] += part
+                else:
+                    sums[k] = part.astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"]
+        )
+
+    out = np.zeros(cells, np.int64)
+    for row in df.repartition(max(1, min(64, cells // block)), "block").mapInArrow(add, "block long, counts binary").toLocalIterator():
+        at = int(row["block"]) * block
+        out[at : at + block] += np.frombuffer(bytes(row["counts"]), np.int64)
+    return out
+
+
+def emit_blocks(counts: np.ndarray, block: int = 1 << 14) -> pa.RecordBatch:
+    """A task's counts as rows for :func:`sum_blocks`."""
+    parts = counts.astype(np.uint32).reshape(-1, block)
+    some = np.flatnonzero(parts.any(axis=1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(some.astype(np.int64)), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["block", "counts"]
+    )
+
+
+def bit_filter(df: DataFrame, key: str, bits_per_row: int = 16, max_bits: int = 1 << 28) -> np.ndarray:
+    """Bloom filter (two probes) of a well-mixed long column, as packed bits on the driver.
+
+    Bounded by ``max_bits`` (32 MB); a fuller filter only lets more through.
+    """
+    bits = min(max_bits, max(1 << 15, 1 << (max(1, df.count() * bits_per_row) - 1).bit_length()))
+    probes = [F.col(key).bitwiseAND(F.lit(bits - 1)), F.call_function("shiftrightunsigned", F.col(key), F.lit(32)).bitwiseAND(F.lit(bits - 1))]
+    cells = df.select(F.explode(F.array(*probes)).alias("c"))
+    maps = cells.groupBy(F.floor(F.col("c") / 32768).alias("b")).agg(F.bitmap_construct_agg(F.pmod("c", F.lit(32768))).alias("m"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in maps.toLocalIterator():
+        out[row["b"] * 4096 : (row["b"] + 1) * 4096] = np.frombuffer(bytes(row["m"]), np.uint8)
+    return out
+
+
+def maybe_in(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which unsigned 64-bit keys may be in a :func:`bit_filter`."""
+    mask = np.uint64(len(filter_) * 8 - 1)
+    ok = np.ones(len(keys), bool)
+    for c in (keys & mask, (keys >> np.uint64(32)) & mask):
+        ok &= (filter_[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return ok

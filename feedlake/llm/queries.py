@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, token_output, warc_fixity
+from . import decontaminate, exact_dedup, importance, language_id, lattice_lm, packing, repeated_spans, token_output, warc_fixity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,14 +29,35 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.fixity_audit(warc_fixity.leaf_hashes(records), warc_fixity.leaf_hashes(replica))
 
 
+def op3_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_round_trip(table(spark, sf_dir, "documents"), word_bpe(), end_id=2)
 
 
+def op6_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    found = language_id.identify_language(docs, docs.filter(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe(), capacity=2048, end_id=0)
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("slots", F.concat_ws(",", F.array_sort("slots")))
@@ -44,7 +65,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_warc_fixity, op5_token_output, op8_bin_slack_packing, op10_decontaminate)
+    for f in (
+        op1_exact_dedup,
+        op2_warc_fixity,
+        op3_lattice_likelihood,
+        op5_token_output,
+        op6_prefix_doubling_dedup,
+        op7_string_kernel_language,
+        op8_bin_slack_packing,
+        op9_importance_resampling,
+        op10_decontaminate,
+    )
 }
 
 ORACLE_SQL = {
