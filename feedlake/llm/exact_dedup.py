@@ -9,49 +9,11 @@ filter costs shuffle volume and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-
-_BUCKET = 32768  # bits of one row of the bitmap functions
-_PROBES = 2
-
-
-def _cell(key: Column, probe: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(probe)), F.lit(bits))
-
-
-def filter_bits(rows: int, bits_per_row: int, max_bits: int) -> int:
-    """Size of the filter: a power of two, at most ``max_bits``."""
-    return min(max_bits, max(_BUCKET, 1 << (max(1, rows * bits_per_row) - 1).bit_length()))
-
-
-def repeated_cells(hashed: DataFrame, key: str, bits: int) -> DataFrame:
-    """Pass 1: (bucket, bitmap) of the cells that two or more insertions hit."""
-    cells = hashed.select(F.explode(F.array(*[_cell(F.col(key), i, bits) for i in range(_PROBES)])).alias("__dd_cell"))
-    hit = cells.groupBy("__dd_cell").agg(F.count("*").alias("__dd_n")).filter("__dd_n > 1")
-    cell = F.col("__dd_cell")
-    return hit.groupBy(F.floor(cell / _BUCKET).alias("__dd_bucket")).agg(
-        F.bitmap_construct_agg(F.pmod(cell, F.lit(_BUCKET))).alias("__dd_bitmap")
-    )
-
-
-def maybe_repeated(df: DataFrame, key: str, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """Pass 2: add ``__dd_maybe``. The broadcast holds at most ``bits`` bits."""
-    flag = F.lit(True)
-    for i in range(_PROBES):
-        names = {"__dd_bucket": f"__dd_b{i}", "__dd_bitmap": f"__dd_m{i}"}
-        cell = _cell(F.col(key), i, bits)
-        df = df.join(
-            F.broadcast(bitmaps.withColumnsRenamed(names)), F.floor(cell / _BUCKET) == F.col(f"__dd_b{i}"), "left"
-        )
-        pos = F.pmod(cell, F.lit(_BUCKET))
-        byte = F.conv(F.hex(F.substring(F.col(f"__dd_m{i}"), (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-        bit = F.call_function("shiftright", byte.cast("int"), F.pmod(pos, F.lit(8)).cast("int")).bitwiseAND(F.lit(1))
-        flag = flag & (F.coalesce(bit, F.lit(0)) == 1)
-    return df.withColumn("__dd_maybe", flag).drop(*[f"__dd_{x}{i}" for x in "bm" for i in range(_PROBES)])
-
+from .idsets import bitmaps, filter_bits, flag
 
 def _hashed(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
@@ -85,8 +47,8 @@ def exact_dedup(
     hashed = materialize(_hashed(df, text_col, id_col))
     rows = hashed.count()
     bits = filter_bits(rows, bits_per_row, max_bits)
-    bitmaps = repeated_cells(hashed, "__dd_sha", bits)
-    flagged = materialize(maybe_repeated(hashed, "__dd_sha", bitmaps, bits))
+    maps = bitmaps(hashed, "__dd_sha", bits, repeated=True)
+    flagged = materialize(flag(hashed, "__dd_sha", maps, bits))
 
     single = flagged.filter(~F.col("__dd_maybe")).select(
         "__dd_id", "__dd_sha", F.col("__dd_id").alias("__dd_keep"), F.lit(1).cast("long").alias("__dd_size"), F.lit(1).cast("long").alias("__dd_copy")
@@ -127,10 +89,10 @@ def drop_exact_duplicates(
     """
     hashed = materialize(_hashed(df, text_col, id_col))
     bits = filter_bits(hashed.count(), bits_per_row, max_bits)
-    bitmaps = materialize(repeated_cells(hashed, "__dd_sha", bits))
+    maps = materialize(bitmaps(hashed, "__dd_sha", bits, repeated=True))
     sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    flagged = maybe_repeated(df.withColumn("__dd_sha", sha), "__dd_sha", bitmaps, bits)
-    few = maybe_repeated(hashed, "__dd_sha", bitmaps, bits).filter("__dd_maybe").withColumn("__dd_copies", F.lit(1))
+    flagged = flag(df.withColumn("__dd_sha", sha), "__dd_sha", maps, bits)
+    few = flag(hashed, "__dd_sha", maps, bits).filter("__dd_maybe").withColumn("__dd_copies", F.lit(1))
     keep = _groups(few).select(F.col("__dd_sha").alias("__dd_ksha"), "__dd_keep")
     wide = flagged.filter("__dd_maybe")
     kept = wide.join(

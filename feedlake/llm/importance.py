@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import class_spans, emit_blocks, materialize, mix, slices, span_hashes, sum_blocks, text_buffers
+from .idsets import without
 
 BITS = 20
 _KIND = np.full(256, 2, np.uint8)  # punctuation
@@ -161,3 +162,13 @@ def importance_resample(
     return ranked.join(F.broadcast(bases), part == F.col("__part")).select(
         F.col("__id").alias(id_col), "n_features", "log_weight", "sample_key", (rank < k).alias("kept")
     )
+
+
+def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents that :func:`importance_resample` keeps, with all their columns.
+
+    Rows that share an id stay if one of them was sampled.
+    """
+    found = importance_resample(docs, labels, id_col=id_col, **options)
+    gone = found.groupBy(F.col(id_col).alias("__gone")).agg(F.max("kept").alias("__kept")).filter(~F.col("__kept")).select("__gone")
+    return without(docs, materialize(gone), id_col, "__gone")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, importance, language_id, lattice_lm, packing, repeated_spans, token_output, warc_fixity
+from . import decontaminate, exact_dedup, importance, jaccard_join, language_id, lattice_lm, packing, repeated_spans, token_output, warc_fixity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op3_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_round_trip(table(spark, sf_dir, "documents"), word_bpe(), end_id=2)
 
@@ -69,6 +73,7 @@ QUERIES = {
         op1_exact_dedup,
         op2_warc_fixity,
         op3_lattice_likelihood,
+        op4_jaccard_components,
         op5_token_output,
         op6_prefix_doubling_dedup,
         op7_string_kernel_language,
