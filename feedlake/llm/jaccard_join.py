@@ -3,9 +3,9 @@
 Texts with the same shingle set form one class and are joined once. Each
 class lists its shingles rare first and joins on its prefix; length and
 positional filters apply in the join, suffix filter and verification once per
-pair. Because the result is connected components, a prefix's classes are
-first compared with one hub each (linear in their number); only classes that
-are then still in different components meet in the exact join.
+pair. Because the result is connected components, each class is first
+compared with a few hubs of its prefix groups (linear in the classes); only
+classes that are then still in different components meet in the exact join.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_filter, emit_blocks, lower_ascii, materialize, maybe_in, mix, slices, span_hashes, sum_blocks, text_buffers, word_spans
@@ -71,6 +71,19 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(m.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(m ^ _K)).astype(np.int64))
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """512 parity bits of a set: each element flips one. Two sets differ in at least as many elements as bits."""
+    bit = (mix(s ^ _K) >> np.uint64(55)).astype(np.int64)
+    odd = np.bincount(bit, minlength=512).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def _may_overlap(n: Column, bits: Column, n2: Column, bits2: Column, percent: int) -> Column:
+    """Suffix filter on whole sets: the parity bits bound the Hamming distance of similar sets."""
+    far = sum((F.bit_count(F.get(bits, F.lit(i)).bitwiseXOR(F.get(bits2, F.lit(i)))) for i in range(8)), F.lit(0))
+    return (n + n2 - far) * (100 + percent) >= (n + n2) * (2 * percent)
+
+
 def prefix_size(n: int, percent: int) -> int:
     """Shingles of which similar sets share one: n - ceil(percent n / 100) + 1."""
     return n - -(-n * percent // 100) + 1
@@ -133,6 +146,9 @@ def jaccard_components(
     id_col: str = "doc_id",
     bytes_per_cell: int = 384,
     max_cells: int = 1 << 24,
+    hubs_per_class: int = 4,
+    pairs_per_member: int = 8,
+    most_rounds: int = 3,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id.
 
@@ -147,7 +163,9 @@ def jaccard_components(
     Shingles are 64-bit hashes. Their order (rare first, by counts over all
     documents) comes from a table of counts by hash of one cell per
     ``bytes_per_cell`` bytes of text, at most ``max_cells``; any order gives
-    the same result, a fuller table only larger prefix groups.
+    the same result, a fuller table only larger prefix groups. Likewise
+    ``hubs_per_class``, ``pairs_per_member`` and ``most_rounds`` only say how
+    much is settled by hubs before the exact join.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -170,23 +188,25 @@ def jaccard_components(
         often = frequency.value
         for batch in batches:
             n = batch.num_rows
-            sizes, c, c2, prefix = np.zeros(n, np.int64), [None] * n, [None] * n, [None] * n
+            sizes, c, c2, prefix, bits = np.zeros(n, np.int64), [None] * n, [None] * n, [None] * n, [None] * n
             for i, s in _sets(*text_buffers(batch.column("text")), width):
                 sizes[i] = len(s)
                 c[i], c2[i] = _signature(s)
+                bits[i] = _parity(s)
                 prefix[i] = s[np.argsort(often[(s & mask).astype(np.int64)], kind="stable")[: prefix_size(len(s), percent)]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), pa.array(sizes), pa.array(c, pa.int64()), pa.array(c2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["__id", "n", "c", "c2", "prefix"],
+                [batch.column("__id"), pa.array(sizes), pa.array(c, pa.int64()), pa.array(c2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["__id", "n", "c", "c2", "prefix", "bits"],
             )
 
-    rows = materialize(texts.mapInArrow(read, f"__id {kind}, n long, c long, c2 long, prefix array<long>"))
-    classes = materialize(rows.filter("n > 0").groupBy("c", "c2", "n").agg(F.min("__id").alias("least"), F.count("*").alias("copies")))
+    rows = materialize(texts.mapInArrow(read, f"__id {kind}, n long, c long, c2 long, prefix array<long>, bits array<long>"))
+    classes = materialize(rows.filter("n > 0").groupBy("c", "c2", "n").agg(F.min("__id").alias("least"), F.count("*").alias("copies"), F.first("bits").alias("bits")))
+    marks = classes.select("c", "n", "bits").dropDuplicates(["c"])
 
-    # Classes that share a prefix shingle, by hub. Copies of a class count once.
+    # Classes that share a prefix shingle. Copies of a class count once.
     shared = rows.filter("n > 0").select("c", F.explode("prefix").alias("token"))
     tokens = materialize(
-        shared.groupBy("token").agg(F.min("c").alias("hub"), F.max("c").alias("other")).filter(F.col("hub") != F.col("other")).select("token", "hub")
+        shared.groupBy("token").agg(F.min("c").alias("one"), F.max("c").alias("other")).filter(F.col("one") != F.col("other")).select("token")
     )
     common = spark.sparkContext.broadcast(bit_filter(tokens, "token"))
 
@@ -203,25 +223,40 @@ def jaccard_components(
             )
 
     one = rows.filter("n > 0").dropDuplicates(["c", "c2", "n"]).select("c", "n", "prefix")
-    members = materialize(one.mapInArrow(spread, "token long, c long, n long, at long").join(tokens, "token"))
-
-    hubs = members.filter(F.col("c") == F.col("hub")).select("token", F.col("n").alias("n2"), F.col("at").alias("at2"))
-    near = members.filter(F.col("c") != F.col("hub")).join(hubs, "token").filter(_may_match(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent))
-    tried = materialize(near.select(F.greatest("c", "hub").alias("a"), F.least("c", "hub").alias("b")).distinct())
-    links = materialize(_verify(texts, tried, width, percent))
+    members = materialize(one.mapInArrow(spread, "token long, c long, n long, at long").join(tokens, "token", "left_semi"))
+
+    # Hub rounds: in each token's group, classes outside its main component meet one class of it.
+    # A class takes the hubs with which it shares most; rounds go on while the exact join would be large.
+    tried = materialize(members.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0))
+    links, labelled, total = tried, members.withColumn("label", F.col("c")), members.count()
+    for turn in range(most_rounds + 1):
+        sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("k"), *[F.min_by("c", F.xxhash64("c", F.lit(turn), F.lit(i))).alias(f"h{i}") for i in range(4)])
+        mixed = sizes.groupBy("token").agg(
+            F.count("*").alias("labels"), F.sum("k").alias("all"), F.max("k").alias("k"), F.max_by(F.struct("label", F.array("h0", "h1", "h2", "h3").alias("hubs")), F.struct("k", "label")).alias("m")
+        )
+        mixed = materialize(mixed.filter("labels > 1").select("token", F.col("m.label").alias("main"), F.array_distinct("m.hubs").alias("hubs"), ((F.col("all") - F.col("k")) * F.col("all")).alias("work")))
+        apart = materialize(labelled.join(mixed.drop("work"), "token"))
+        work = mixed.agg(F.sum("work")).first()[0] or 0
+        if turn == most_rounds or (turn and work <= pairs_per_member * total):
+            break
+        met = apart.filter(F.col("label") != F.col("main")).select("c", F.explode("hubs").alias("hub")).groupBy("c", "hub").agg(F.count("*").alias("shared"))
+        met = met.join(marks, "c").join(marks.select(F.col("c").alias("hub"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "hub")
+        met = met.select(F.greatest("c", "hub").alias("a"), F.least("c", "hub").alias("b"), "c", "hub", "shared", _may_overlap(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent).alias("ok"))
+        fresh = met.filter("ok").join(tried, ["a", "b"], "left_anti")
+        by_shared = Window.partitionBy("c").orderBy(F.col("shared").desc(), "hub")
+        new = materialize(fresh.withColumn("nth", F.row_number().over(by_shared)).filter(F.col("nth") <= hubs_per_class).select("a", "b").distinct())
+        tried = tried.unionByName(new)
+        links = links.unionByName(materialize(_verify(texts, new, width, percent)))
+        label = components(links).select(F.col("node").alias("c"), "label")
+        labelled = materialize(members.join(label, "c", "left").withColumn("label", F.coalesce("label", "c")))
 
     # Exact join of what is still apart: classes outside a token's main component with all others.
-    label = components(links).select(F.col("node").alias("c"), "label")
-    labelled = members.drop("hub").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    labelled = materialize(labelled)
-    sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).filter("labels > 1").select("token", "main")
-    mixed = materialize(mixed)
-    apart = materialize(labelled.join(mixed, "token"))
+    apart = apart.drop("hubs").join(marks.select("c", "bits"), "c")
     left = apart.filter(F.col("label") != F.col("main")).drop("main")
-    right = apart.select("token", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "at", "label", "main")])
+    right = apart.select("token", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "at", "label", "main", "bits")])
     meet = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main2")) | (F.col("c") < F.col("c2")))
     pairs = left.join(right, ["token"]).filter(meet & _may_match(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent))
+    pairs = pairs.filter(_may_overlap(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent))
     pairs = pairs.select(F.greatest("c", "c2").alias("a"), F.least("c", "c2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _verify(texts, materialize(pairs), width, percent)
 
