@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The spam and noise patterns, in Java's dialect with Unicode classes.
 PHONE = r"\+\d[\d\s\-\(\)]{7,}"
@@ -54,7 +55,7 @@ def epoch_ms(value: Column, seconds_only: bool = False, zulu: bool = True) -> Co
     return F.when(number.isNotNull(), scaled.try_cast("long")).otherwise(parsed)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_any(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield s.map(html.unescape, na_action="ignore")
