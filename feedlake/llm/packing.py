@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import WordCache, encoded
+from .tokens import encoded, word_cache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -76,7 +76,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, text_c
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part, seen = WordCache(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        cache, part, seen = word_cache(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(batch, "text", cache, end_id), strict=True):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .tokens import WordCache, encoded
+from .tokens import encoded, word_cache
 
 #: Columns of the files. ``part_start`` counts ids from the start of the row's file part.
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -43,7 +43,7 @@ def write_token_files(
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part, at = WordCache(tokenizer), TaskContext.get().partitionId(), 0
+        cache, part, at = word_cache(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 some = batch.slice(a, 2000)

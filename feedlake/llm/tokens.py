@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 
-from .common import text_buffers
+from .common import slices, text_buffers
+
+
+#: Parts that the vocabulary's splitter never joins: Latin letters, single digits, ASCII punctuation without apostrophes.
+_PART = re.compile(
+    rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc9][\x80-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+"
+)
 
 
 class WordCache(dict):
     """White-space separated chunk -> its ids as little-endian unsigned 32-bit bytes.
 
     The vocabularies used here drop white space before they split a text, so
-    a text's ids are its chunks' ids one after another. Bounded: it empties
-    itself when it is full.
+    a text's ids are its chunks' ids one after another, and a chunk's those of
+    its parts. Bounded: it empties itself when it is full.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -26,20 +33,61 @@ class WordCache(dict):
         self.encode, self.most = Tokenizer.from_file(path).encode, most
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[chunk] = out = np.array(ids, "<u4").tobytes()
+        if len(self) >= self.most:  # common chunks came first
+            for old in list(self)[self.most // 2 :]:
+                del self[old]
+        out = None
+        if b"<|" not in chunk:  # else it may hold a special token
+            if chunk.isascii() and (low := chunk.lower()) != chunk:
+                out = self[low]
+            elif b"'" not in chunk and len(parts := _PART.findall(chunk)) > 1 and sum(map(len, parts)) == len(chunk):
+                out = b"".join([self[p] for p in parts])
+        if out is None:
+            out = np.array(self.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = out
         return out
 
+    def fill(self, text: bytes, at_once: int = 5000) -> None:
+        """Learn the parts of ``text`` that are not known yet, many in one call of the library."""
+        new: dict[bytes, None] = {}
+        for chunk in set(text.split()):
+            if chunk not in self and b"<|" not in chunk and b"'" not in chunk:
+                for part in _PART.findall(chunk.lower() if chunk.isascii() else chunk):
+                    if part not in self:
+                        new[part] = None
+        parts = list(new)
+        for a in range(0, len(parts), at_once):
+            some = parts[a : a + at_once]
+            made = self.encode(b" ".join(some).decode("utf-8", "replace"), add_special_tokens=False)
+            ids = np.array(made.ids, "<u4")
+            cut = np.flatnonzero(np.diff(np.array(made.word_ids, np.int64), prepend=-1))
+            if len(cut) != len(some):  # a part was split: leave these to be encoded one by one
+                continue
+            raw, ends = ids.tobytes(), [*(4 * cut[1:]).tolist(), 4 * len(ids)]
+            for part, b, e in zip(some, (4 * cut).tolist(), ends, strict=True):
+                self[part] = raw[b:e]
+
     def ids(self, text: bytes) -> bytes:
         if text.isascii() and b"<|" not in text:  # then lower case changes neither the ids nor a special token
             text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))
 
 
+_CACHES: dict[str, WordCache] = {}
+
+
+def word_cache(path: str) -> WordCache:
+    """The cache of this worker process, which outlives a task."""
+    if path not in _CACHES:
+        _CACHES[path] = WordCache(path)
+    return _CACHES[path]
+
+
 def encoded(batch: pa.RecordBatch, text_col: str, cache: WordCache, end: int) -> list[bytes]:
     """The ids of each row's text and then ``end``; null counts as empty."""
     data, offsets = text_buffers(batch.column(text_col))
-    raw, tail = data.tobytes(), np.array([end], "<u4").tobytes()
+    raw, tail = data[offsets[0] : offsets[-1]].tobytes(), np.array([end], "<u4").tobytes()
+    offsets = offsets - offsets[0]
+    for a, b in slices(offsets, 4 << 20):
+        cache.fill(raw[offsets[a] : offsets[b]])
     return [cache.ids(raw[a:b]) + tail for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
