@@ -17,6 +17,11 @@ _PART = re.compile(
 )
 
 
+def lowered(text: bytes) -> bytes:
+    """``text`` with A-Z in lower case where that changes no ids: without special tokens or combining marks."""
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+
+
 class WordCache(dict):
     """White-space separated chunk -> its ids as little-endian unsigned 32-bit bytes.
 
@@ -25,7 +30,7 @@ class WordCache(dict):
     its parts. Bounded: it empties itself when it is full.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,12 +55,14 @@ class WordCache(dict):
     def fill(self, text: bytes, at_once: int = 5000) -> None:
         """Learn the parts of ``text`` that are not known yet, many in one call of the library."""
         new: dict[bytes, None] = {}
-        for chunk in set(text.split()):
-            if chunk not in self and b"<|" not in chunk and b"'" not in chunk:
-                for part in _PART.findall(chunk.lower() if chunk.isascii() else chunk):
-                    if part not in self:
-                        new[part] = None
-        parts = list(new)
+        made_of = {}
+        for chunk in set(lowered(text).split()).difference(self):
+            if b"<|" not in chunk and b"'" not in chunk:
+                some = _PART.findall(chunk.lower() if chunk.isascii() else chunk)
+                new.update(dict.fromkeys(some))
+                if len(some) > 1 and sum(map(len, some)) == len(chunk):
+                    made_of[chunk] = some
+        parts = [p for p in new if p not in self]
         for a in range(0, len(parts), at_once):
             some = parts[a : a + at_once]
             made = self.encode(b" ".join(some).decode("utf-8", "replace"), add_special_tokens=False)
@@ -66,11 +73,11 @@ class WordCache(dict):
             raw, ends = ids.tobytes(), [*(4 * cut[1:]).tolist(), 4 * len(ids)]
             for part, b, e in zip(some, (4 * cut).tolist(), ends, strict=True):
                 self[part] = raw[b:e]
+        for chunk, some in made_of.items():
+            self[chunk] = b"".join([self[p] for p in some])
 
     def ids(self, text: bytes) -> bytes:
-        if text.isascii() and b"<|" not in text:  # then lower case changes neither the ids nor a special token
-            text = text.lower()
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, lowered(text).split()))
 
 
 _CACHES: dict[str, WordCache] = {}
