@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -99,6 +100,22 @@ def test_lattice_scores_base(spark):
     assert lattice_lm.lattice_scores(docs(spark, []), PIECES).count() == 0
 
 
+def test_lattice_scores_classes(spark):
+    """Broadcast and joined words score alike; classes with words of their own help; a row's own class is not used."""
+    texts = [*["the cat sat on the mat"] * 20, *["le chat noir dort ici"] * 20, "the the the the cat", "le chat noir", None, "", "zq " * 300]
+    rows = [(i, t, "en" if t and "the" in t else "fr" if i % 3 else None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    joined = {r.doc_id: r.score for r in lattice_lm.lattice_scores(df, PIECES, rounds=1, frequent=1).collect()}
+    sent = {r.doc_id: r.score for r in lattice_lm.lattice_scores(df, PIECES, rounds=1).collect()}
+    assert len(sent) == len(texts) and all(np.isclose(joined[k], sent[k]) for k in sent)
+    without = {r.doc_id: r.score for r in lattice_lm.lattice_scores(df.drop("lang"), PIECES, rounds=1).collect()}
+    assert sum(sent.values()) > sum(without.values())
+    held = next(k for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10 == 0 and t)
+    other = df.withColumn("lang", F.when(F.col("doc_id") == held, F.lit("xx")).otherwise(F.col("lang")))
+    assert np.isclose(lattice_lm.lattice_scores(other, PIECES, rounds=1).filter(f"doc_id = {held}").first().score, sent[held])
+    assert np.allclose(lattice_lm._log_gamma(np.array([1.0, 2.5, 9.0, 4000.0])), [math.lgamma(x) for x in (1.0, 2.5, 9.0, 4000.0)])
+
+
 def brute_components(texts, width, percent):
     sets = []
     for t in texts:
