@@ -249,6 +249,20 @@ def test_decontaminate(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs(spark, texts), items).collect()} == {2, 3, 4, 5}
 
 
+def test_decontaminate_verbatim_windows_count_whatever_their_slots(spark):
+    """An edited number whose value also stands elsewhere, items dense in numbers, and items shorter than a window."""
+    long_ = "there were 5 old boats in the small harbour that night and the tired crew counted every rope and sail before 5 men went home to sleep at last"
+    items = spark.createDataFrame([(0, long_), (1, "Compute 12 + 34 + 56 + 78 and then subtract 9 from 10"), (2, "Name all noble gases"), (3, "")], "item_id long, text string")
+    texts = [
+        f"Note. {long_.replace('before 5 men', 'before 7 men')}",
+        "Now compute 12 + 34 + 56 + 78 and then subtract 9 from 10, please",
+        "Compute 21 + 43 + 65 + 87 and then add 9 to 10",
+        "so name all noble gases here", "name all the noble gases", None, "",
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs(spark, texts), items).collect()}
+    assert set(got) == {(0, 0), (1, 1), (3, 2)} and got[1, 1].verbatim and got[3, 2].verbatim and not got[0, 0].verbatim
+
+
 def test_pipeline_keeps_columns_and_packs_what_is_left(spark):
     import corpus_pipeline
 
