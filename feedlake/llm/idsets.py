@@ -43,6 +43,11 @@ def flag(df: DataFrame, key: str, maps: DataFrame, bits: int) -> DataFrame:
     return df.withColumn("__dd_maybe", found).drop(*[f"__dd_{x}{i}" for x in "bm" for i in range(_PROBES)])
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A row's own key, whatever other rows share its id; rows alike in id and text have one key."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.lit("|"), F.col(text_col))
+
+
 def without(df: DataFrame, gone: DataFrame, key: str, gone_key: str) -> DataFrame:
     """Rows of ``df`` whose key is not in ``gone`` (null matches null), with all their columns.
 

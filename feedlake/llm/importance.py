@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import class_spans, emit_blocks, materialize, mix, slices, span_hashes, sum_blocks, text_buffers
-from .idsets import without
+from .idsets import row_key, without
 
 BITS = 20
 _KIND = np.full(256, 2, np.uint8)  # punctuation
@@ -101,6 +101,7 @@ def importance_resample(
     seed: int = 7,
     text_col: str = "text",
     id_col: str = "doc_id",
+    label_col: str | None = None,
 ) -> DataFrame:
     """One row per document: id, n_features, log_weight, sample_key, kept.
 
@@ -113,7 +114,8 @@ def importance_resample(
     Null or empty text has weight 1 (log weight 0). Rows with a null id are
     scored and sampled like others, with one common noise. Repeated rows each
     take part; equal keys are ordered by id. With no target documents all
-    weights are equal. Other columns, and those of ``labels``, are ignored.
+    weights are equal. ``label_col`` holds the id that labels go by, if that is
+    not ``id_col``. Other columns, and those of ``labels``, are ignored.
     """
     spark = docs.sparkSession
     rated = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__label_id")).agg(
@@ -124,7 +126,8 @@ def importance_resample(
     target = F.broadcast(rated.filter("__good").orderBy(F.xxhash64("__label_id"), "__label_id").limit(max_target).select("__label_id"))
 
     text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    marked = text.join(target, F.col("__id") == F.col("__label_id"), "left")
+    named = docs.select(F.col(label_col or id_col).alias("__named"), F.col(text_col).alias("text"))
+    marked = named.join(target, F.col("__named") == F.col("__label_id"), "left")
     model = spark.sparkContext.broadcast(
         fit_log_ratio(marked.select("text", F.col("__label_id").isNotNull().alias("target")), bits, shrink, least, sure)
     )
@@ -164,11 +167,13 @@ def importance_resample(
     )
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_sampled(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that :func:`importance_resample` keeps, with all their columns.
 
-    Rows that share an id stay if one of them was sampled.
+    Rows that share an id, or have none, are sampled one by one; rows alike in
+    id and text stay if one of them was sampled.
     """
-    found = importance_resample(docs, labels, id_col=id_col, **options)
-    gone = found.groupBy(F.col(id_col).alias("__gone")).agg(F.max("kept").alias("__kept")).filter(~F.col("__kept")).select("__gone")
-    return without(docs, materialize(gone), id_col, "__gone")
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    found = importance_resample(keyed, labels, text_col=text_col, id_col="__key", label_col=id_col, **options)
+    gone = found.groupBy(F.col("__key").alias("__gone")).agg(F.max("kept").alias("__kept")).filter(~F.col("__kept")).select("__gone")
+    return without(keyed, materialize(gone), "__key", "__gone").drop("__key")

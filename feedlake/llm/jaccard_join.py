@@ -272,9 +272,12 @@ def jaccard_components(
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The document with the smallest id of each component, with all its columns.
 
-    Documents without words stay. Rows with a null id stay unless a document
-    with an id is in their component.
+    Documents without words stay. Null ids are larger than any other; among
+    rows with one id, or none, a hash of the text decides, and of rows that
+    are alike in both any one stays.
     """
-    found = jaccard_components(docs, width, percent, text_col, id_col)
-    gone = materialize(found.filter(~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__gone")).distinct())
-    return without(docs, gone, id_col, "__gone")
+    keyed = materialize(docs.withColumn("__key", F.monotonically_increasing_id()))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("__key").alias("key"))
+    found = jaccard_components(keyed.select(order.alias("__row"), text_col), width, percent, text_col, "__row")
+    gone = materialize(found.filter(F.col("component_id.key") != F.col("__row.key")).select(F.col("__row.key").alias("__gone")))
+    return without(keyed, gone, "__key", "__gone").drop("__key")

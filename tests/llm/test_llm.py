@@ -263,6 +263,23 @@ def test_decontaminate_verbatim_windows_count_whatever_their_slots(spark):
     assert set(got) == {(0, 0), (1, 1), (3, 2)} and got[1, 1].verbatim and got[3, 2].verbatim and not got[0, 0].verbatim
 
 
+def test_stages_tell_rows_apart_that_share_an_id_or_have_none(spark):
+    near = "the old miller walked down to the river every morning before the first boats came in from the far side of the bay"
+    item = "seven quiet painters carried twelve heavy ladders across the frozen square before the bells began"
+    rows = [(1, near), (None, near + " today"), (None, "a text of its own about something else"), (None, "x y z " + item), (2, item), (2, "another text under the same number"),
+            (None, "one lonely gardener plants red roses beside the stone wall of the church each spring"), (None, "one lonely gardener plants red roses beside the stone wall of the church each spring ok"), (3, "twin"), (3, "twin")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in jaccard_join.drop_near_duplicates(df, 4, 70).collect()]
+    assert len(kept) == 6 and rows[0] in kept and rows[1] not in kept and rows[2] in kept and rows[5] in kept and kept.count((3, "twin")) == 1
+    assert sum("gardener" in t for _, t in kept) == 1
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    clean = [(r.doc_id, r.text) for r in decontaminate.drop_contaminated(df, items).collect()]
+    assert sorted(map(str, clean)) == sorted(str(r) for r in rows if item not in r[1])
+    many = spark.createDataFrame([(None, f"text number {k} of many") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert importance.keep_sampled(many, labels, share=0.25).count() == 50
+
+
 def test_pipeline_keeps_columns_and_packs_what_is_left(spark):
     import corpus_pipeline
 
