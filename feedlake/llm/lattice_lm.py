@@ -78,13 +78,31 @@ class Lattice:
             alpha[j] = np.logaddexp(alpha[j], alpha[i] + np.where(ids >= 0, self.logp[ids], -np.inf))
         return alpha
 
-    def _one(self, word: bytes) -> float:
+    def _forward_one(self, word: bytes) -> np.ndarray:
         alpha = np.full(len(word) + 1, -np.inf)
         alpha[0] = 0
         for j in range(1, len(word) + 1):
             into = [alpha[i] + self.logp[k] for i in range(max(0, j - self.longest), j) if (k := self.index.get(word[i:j])) is not None]
             alpha[j] = np.logaddexp.reduce(into) if into else -np.inf
-        return float(alpha[-1])
+        return alpha
+
+    def _one(self, word: bytes) -> float:
+        return float(self._forward_one(word)[-1])
+
+    def _count_one(self, word: bytes, times: float, out: np.ndarray) -> None:
+        """Add the expected uses of each piece in one word, in memory linear in it."""
+        alpha = self._forward_one(word)
+        if alpha[-1] == -np.inf:
+            return
+        beta = np.full(len(word) + 1, -np.inf)
+        beta[-1] = 0
+        for i in range(len(word) - 1, -1, -1):
+            found = [(j, k) for j in range(i + 1, min(len(word), i + self.longest) + 1) if (k := self.index.get(word[i:j])) is not None]
+            if found:
+                ends, pieces = map(list, zip(*found, strict=True))
+                below = self.logp[pieces] + beta[ends]
+                beta[i] = np.logaddexp.reduce(below)
+                out[pieces] += times * np.exp(alpha[i] + below - alpha[-1])
 
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's marginal probability; words are given with their leading space."""
@@ -113,6 +131,8 @@ class Lattice:
                 uses.append(np.exp(alpha[i][ok] + self.logp[ids[ok]] + beta[j][ok] - alpha[width][ok]) * times[ok])
             if which:
                 out += np.bincount(np.concatenate(which), np.concatenate(uses), minlength=len(out))
+        for k in [k for k, w in enumerate(words) if len(w) > _LONG]:
+            self._count_one(words[k], counts[k], out)
         return out
 
 

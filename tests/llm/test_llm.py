@@ -83,6 +83,16 @@ def test_lattice_sums_all_segmentations():
     assert np.isclose(counts[pieces.index(b"b")], (0.05 + 0.01) / sum(paths.values()))
 
 
+def test_lattice_counts_long_words(monkeypatch):
+    pieces = [b" a", b" ab", b"a", b"b", b"ab", b"ba", b" "]
+    lattice = lattice_lm.Lattice(pieces, np.log([0.2, 0.1, 0.2, 0.2, 0.05, 0.1, 0.15]))
+    words, times = [b" abab", b" " + b"ab" * 90, b" zz" * 30], np.array([2.0, 3.0, 1.0])
+    got = lattice.expected_counts(words, times)
+    assert np.isclose(got @ [len(p) for p in pieces], 2 * 5 + 3 * 181)  # every byte of a word that can be spelled is in one piece
+    monkeypatch.setattr(lattice_lm, "_LONG", 500)
+    assert np.allclose(got, lattice.expected_counts(words[:2], times[:2]))
+
+
 def test_lattice_scores_base(spark):
     texts = [*MIXED, *["the cat sat on the mat"] * 20, "zebra quagga"]
     got = {r.doc_id: r for r in lattice_lm.lattice_scores(docs(spark, texts), PIECES, rounds=1, frequent=4).collect()}
