@@ -59,8 +59,10 @@ def fit_log_ratio(docs: DataFrame, bits: int, shrink: float, least: float, sure:
     ``shrink`` pseudo-counts draw rare buckets towards 0. The median
     feature's ratio is taken off and the rest is drawn towards 0 by ``least``
     (soft threshold): features about as common in the target as elsewhere say
-    nothing, however many of them a long text has; nor does a bucket whose
-    target count is within ``sure`` standard deviations of what is expected.
+    nothing, however many of them a long text has. The threshold fades with
+    target counts below ``shrink``, so that it spares what the target lacks. A
+    bucket whose target count is z < ``sure`` standard deviations from what is
+    expected weighs (z / sure) ** 4 of its ratio.
     """
     cells = 1 << bits
 
@@ -84,15 +86,16 @@ def fit_log_ratio(docs: DataFrame, bits: int, shrink: float, least: float, sure:
     order = np.argsort(ratio)
     middle = order[np.searchsorted(np.cumsum(raw[order]), raw.sum() / 2)]
     ratio -= ratio[middle]
-    ratio[np.abs(target - expected) < sure * np.sqrt(expected)] = 0
-    return (np.sign(ratio) * np.maximum(np.abs(ratio) - least, 0)).astype(np.float32)
+    off = np.abs(target - expected) / np.maximum(sure * np.sqrt(expected), 1e-9)
+    bar = least * np.minimum(1, target / shrink)
+    return (np.sign(ratio) * np.maximum(np.abs(ratio) - bar, 0) * np.minimum(1, off) ** 4).astype(np.float32)
 
 
 def importance_resample(
     docs: DataFrame,
     labels: DataFrame,
     share: float | None = None,
-    max_target: int = 60_000,
+    broadcast_labels: int = 8_000_000,
     sharpness: float = 4.0,
     shrink: float = 8.0,
     least: float = 0.9,
@@ -106,8 +109,9 @@ def importance_resample(
     """One row per document: id, n_features, log_weight, sample_key, kept.
 
     The target is the documents that every label of theirs calls good
-    (quality 1, toxic 0), at most ``max_target`` of them, taken in hash order.
-    The raw model counts all documents. ``share`` of the rows is kept; by
+    (quality 1, toxic 0), all of them, so that it grows with the documents,
+    which the raw model counts. Up to ``broadcast_labels`` of their ids are
+    broadcast, counted before; beyond that texts shuffle to meet them. ``share`` of the rows is kept; by
     default the share of good ones among labelled documents. A weight is the
     likelihood ratio to the power ``sharpness``.
 
@@ -123,7 +127,8 @@ def importance_resample(
     )
     counted = rated.agg(F.avg(F.col("__good").cast("double"))).first()[0]
     share = share if share is not None else (1.0 if counted is None else counted)
-    target = F.broadcast(rated.filter("__good").orderBy(F.xxhash64("__label_id"), "__label_id").limit(max_target).select("__label_id"))
+    target = materialize(rated.filter("__good").select("__label_id"))
+    target = F.broadcast(target) if target.count() <= broadcast_labels else target
 
     text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     named = docs.select(F.col(label_col or id_col).alias("__named"), F.col(text_col).alias("text"))

@@ -246,6 +246,15 @@ def test_importance(spark):
     assert importance.importance_resample(df, labels.limit(0)).filter("kept").count() == 402
 
 
+def test_importance_weighs_rare_words_that_good_text_lacks(spark):
+    rng = np.random.default_rng(6)
+    good = [" ".join(rng.choice("one two three four five six seven".split(), 30)) for _ in range(300)]
+    df = docs(spark, [*good, *[t + " scum" for t in good[:20]]])
+    labels = spark.createDataFrame([(i, 1, int(i >= 300)) for i in range(0, 320, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.log_weight for r in importance.importance_resample(df, labels).collect()}
+    assert np.mean([got[i] - got[i - 300] for i in range(300, 320)]) < -0.05
+
+
 def test_decontaminate(spark):
     items = spark.createDataFrame([(0, "Yesterday the farmer Alice sold 12 kg of apples and Alice kept 3 kg for the long cold winter"), (1, None), (2, "too short")], "item_id long, text string")
     texts = [
