@@ -282,6 +282,18 @@ def test_decontaminate_verbatim_windows_count_whatever_their_slots(spark):
     assert set(got) == {(0, 0), (1, 1), (3, 2)} and got[1, 1].verbatim and got[3, 2].verbatim and not got[0, 0].verbatim
 
 
+def test_decontaminate_finds_names_in_any_case_and_place(spark):
+    first = "Alice has 12 apples at home. Bob gives 4 of them away. Then Alice and also Bob eat 3 more for lunch"
+    other = first.replace("Alice", "Carol").replace("Bob", "Dan").replace("12", "15").replace("4", "6").replace("3 more", "2 more")
+    items = spark.createDataFrame([(0, first)], "item_id long, text string")
+    texts = [first.lower(), first.upper(), first.title(), other, other.replace(" ", "\n"), other.replace(" ", "  "), other.upper(), "Carol has 15 plums at work. Dan takes 6 of these back. Then Carol and Dan sell 2 more for money"]
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs(spark, texts), items).collect()}
+    assert set(got) == set(range(7)) and [got[i].verbatim for i in range(4)] == [True, True, True, False]
+    short = "Alice has 12 apples at home. Bob gives 4 away"
+    found = decontaminate.contaminated(docs(spark, [short.replace("Alice", "Carol").replace("12", "15")]), spark.createDataFrame([(0, short), (1, "that day Alice and Bob met")], "item_id long, text string"))
+    assert [(r.item_id, sorted(r.slots)) for r in found.collect()] == [(0, ["12=15", "alice=carol"])]
+
+
 def test_stages_tell_rows_apart_that_share_an_id_or_have_none(spark):
     near = "the old miller walked down to the river every morning before the first boats came in from the far side of the bay"
     item = "seven quiet painters carried twelve heavy ladders across the frozen square before the bells began"
