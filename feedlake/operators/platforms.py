@@ -152,7 +152,7 @@ def facebook_comments(posts: DataFrame, most: int = 1000, mode: str = "as_writte
         "id commentId content message createdAt author user like_count likes reactionsCount reply_count subCommentsCount "
         "feedbackId attachments parent_id parentFeedbackId"
     )
-    n = _fields(threads.flatten_tree(posts, "children", comments_col="tree"), "node", names)
+    n = _fields(threads.tree_nodes(posts, "children"), "node", names)
     v = lambda x: F.col(f"f.{x}")
     a, b = E.truthy(v("id")), E.truthy(v("commentId"))
     n = n.withColumn("key", F.when(a.isNotNull() & b.isNotNull() & (a != b), F.concat_ws("|", a, b)).otherwise(F.coalesce(a, b)))
@@ -175,7 +175,7 @@ def facebook_comments(posts: DataFrame, most: int = 1000, mode: str = "as_writte
 
 def instagram_comments(posts: DataFrame, most: int = 20) -> DataFrame:
     """OP-21: spam is judged on the raw text, before URLs go."""
-    n = _fields(threads.flatten_tree(posts, "replies", comments_col="tree"), "node", "id text ownerUsername timestamp timestamp_raw repliesCount likesCount owner")
+    n = _fields(threads.tree_nodes(posts, "replies"), "node", "id text ownerUsername timestamp timestamp_raw repliesCount likesCount owner")
     v = lambda x: F.col(f"f.{x}")
     n = threads.first_comments(threads.with_parent_key(n.withColumn("key", E.truthy(v("id")))))
     time = E.epoch_ms(F.coalesce(F.nullif(E.truthy(v("timestamp_raw")), F.lit("0")), E.truthy(v("timestamp"))))
@@ -198,7 +198,7 @@ def instagram_comments(posts: DataFrame, most: int = 20) -> DataFrame:
 def reddit_comments(posts: DataFrame, most: int = 5000, max_depth: int = 20, on_overflow: str = "stop") -> DataFrame:
     """OP-22, OP-24: deleted and media-only bodies go but not their replies; spam and undated comments cut their branch."""
     names = "comment_id parent_id author author_fullname body score reply_count controversiality is_submitter gilded created_utc created_utc_raw"
-    n = _fields(threads.flatten_tree(posts, "replies", comments_col="tree"), "node", names)
+    n = _fields(threads.tree_nodes(posts, "replies"), "node", names)
     v = lambda x: F.col(f"f.{x}")
     body = F.regexp_replace(F.coalesce(v("body"), F.lit("")), r"(?U)^\s+|\s+$", "")
     n = n.withColumns({"key": E.truthy(v("comment_id")), "body": body, "time": _reddit_time(v)})

@@ -46,6 +46,33 @@ def flatten_tree(df: DataFrame, child_key: str, post_col: str = "post_id", comme
     return df.select(F.col(post_col).alias("post"), F.col(comments_col).alias("tree")).mapInArrow(walk, NODES)
 
 
+def tree_nodes(df: DataFrame, child_key: str, comments_col: str = "tree") -> DataFrame:
+    """The node table of posts: their trees flattened, or ``df`` itself if it is one."""
+    return df if "parent_path" in df.columns else flatten_tree(df, child_key, comments_col=comments_col)
+
+
+def reply_nodes(rows: DataFrame, order: list[str], path: str) -> DataFrame:
+    """The node table of posts whose rows (post, node, and columns of ``order``) are a root and its replies.
+
+    The first row of a post in the order ``order``, then by node, is the root. Rows are sorted by
+    ranges and written to ``path``; a row's place is counted from its range's
+    and those before, so that no task holds a post.
+    """
+    by = ["post", *order, "node"]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path).withColumn("__part", F.expr("shiftright(__at, 33)"))
+    runs = placed.groupBy(F.col("__part").alias("__of"), F.col("post").alias("__post")).agg(F.min("__at").alias("__start"), F.count("*").alias("__n"))
+    before = Window.partitionBy("__post").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    same = (F.col("__part") == F.col("__of")) & F.col("post").eqNullSafe(F.col("__post"))
+    nth = (F.col("__before") + F.col("__at") - F.col("__start")).cast("int")
+    zero, root = F.array(F.lit(0)), nth == 0
+    return placed.join(runs, same).select(
+        "post", F.when(root, zero).otherwise(F.array(F.lit(0), nth - 1)).alias("path"), F.when(root, 0).otherwise(1).alias("depth"),
+        F.when(root, F.array().cast("array<int>")).otherwise(zero).alias("parent_path"), "node",
+    )
+
+
 def with_parent_key(nodes: DataFrame, key_col: str = "key") -> DataFrame:
     """Add ``parent_key``: the key of the node one level up (null at the root or if that has none)."""
     up = nodes.select(F.col("post").alias("up_post"), F.col("path").alias("up_path"), F.col(key_col).alias("parent_key"))

@@ -206,22 +206,18 @@ def trending_hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(aggregates.trending_hashtags(df, "1 day", 10))
 
 
-def conversation_trees(spark: SparkSession, sf_dir: str, child_key: str, **names: str) -> DataFrame:
-    """(post_id, tree): turn 0 of each conversation is the root, the later turns are its replies; ids are roles."""
+def conversation_nodes(spark: SparkSession, sf_dir: str, **names: str) -> DataFrame:
+    """Node table: turn 0 of each conversation is the root, the later turns are its replies; ids are roles."""
     n = {"id": "id", "text": "text", "time": "timestamp"} | names
     node = F.struct(
         F.col("role").alias(n["id"]), F.col("text").alias(n["text"]), (F.lit(1_700_000_000) + F.col("turn")).alias(n["time"]), F.col("turn").alias("turn")
     )
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("post_id"), "turn", F.to_json(node).alias("node"))
-    grouped = turns.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("turn", "node"))).alias("all"))
-    later = F.array_join(F.transform(F.slice("all", 2, 1_000_000), lambda x: x["node"]), ",")
-    root = F.get("all", F.lit(0))["node"]
-    tree = F.concat(F.lit("["), F.regexp_replace(root, r"\}$", ""), F.lit(f',"{child_key}":['), later, F.lit("]}]"))
-    return grouped.select("post_id", tree.alias("tree"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("post"), "turn", F.to_json(node).alias("node"))
+    return threads.reply_nodes(turns, ["turn"], scratch_dir(spark, "turns"))
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = threads.flatten_tree(conversation_trees(spark, sf_dir, "replies"), "replies", comments_col="tree")
+    nodes = conversation_nodes(spark, sf_dir)
     return nodes.withColumn("key", F.get_json_object("node", "$.id")).withColumn("turn", F.get_json_object("node", "$.turn").cast("int"))
 
 
@@ -251,9 +247,9 @@ _LATIN = r"regexp_replace(text, '[^\p{L}\p{N}\p{M}_]', '', 'g')"
        AND NOT regexp_matches(text, '(?i)\b(mdma|lsd|dmt|shrooms)\b') GROUP BY ALL""")
 def comments_facebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-20, OP-25."""
-    trees = conversation_trees(spark, sf_dir, "children", text="content", time="createdAt")
-    made = platforms.facebook_comments(trees)
-    nested = threads.nest_comments(trees.withColumn("comments", F.lit(None)), made)
+    made = platforms.facebook_comments(conversation_nodes(spark, sf_dir, text="content", time="createdAt"))
+    posts_ = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("post_id")).distinct()
+    nested = threads.nest_comments(posts_.withColumn("comments", F.lit(None)), made)
     return nested.filter("comments_normalized_count > 0").select("post_id", F.col("comments_normalized_count").alias("comments"))
 
 
@@ -262,15 +258,15 @@ def comments_facebook(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM f WHERE length({_LATIN}) >= 4 AND NOT regexp_matches(text, '(?i)\+\d[\d\s\-\(\)]{{7,}}|\b(mdma|lsd|dmt|shrooms|coke)\b|https?://|\b(telegram|whatsapp|snapchat|wickr)\b[.:@\s]*[\w./]+')""")
 def comments_instagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-21, OP-26."""
-    made = platforms.instagram_comments(conversation_trees(spark, sf_dir, "replies"))
+    made = platforms.instagram_comments(conversation_nodes(spark, sf_dir))
     return made.select("comment.post_id", "comment.comment_id", "comment.created_at", "comment.depth")
 
 
 @query()
 def comments_reddit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-22, OP-24."""
-    trees = conversation_trees(spark, sf_dir, "replies", id="comment_id", text="body", time="created_utc_raw")
-    return platforms.reddit_comments(trees).select("post", "comment.comment_id", "comment.parent_id", "comment.depth", "comment.text")
+    nodes = conversation_nodes(spark, sf_dir, id="comment_id", text="body", time="created_utc_raw")
+    return platforms.reddit_comments(nodes).select("post", "comment.comment_id", "comment.parent_id", "comment.depth", "comment.text")
 
 
 def _raw(spark: SparkSession, sf_dir: str, **names) -> DataFrame:

@@ -108,6 +108,22 @@ def test_reddit_depth_limit_stops_the_post_or_prunes(spark):
     assert [x[0] for x in reddit_visit(spark, tree, most=2)] == ["c0", "c1"]
 
 
+def test_reply_nodes_are_those_of_the_tree(spark, tmp_path):
+    rows = spark.createDataFrame([(p, t, json.dumps({"id": f"{p}{t}"})) for p in "abc" for t in range(40 if p == "b" else 3)], "post string, turn int, node string")
+    got = threads.reply_nodes(rows, ["turn"], str(tmp_path / "t")).orderBy("post", "path").collect()
+    trees = [(p, json.dumps([{"id": f"{p}0", "replies": [{"id": f"{p}{t}"} for t in range(1, 40 if p == "b" else 3)]}])) for p in "abc"]
+    want = threads.flatten_tree(spark.createDataFrame(trees, "post_id string, comments string"), "replies").orderBy("post", "path").collect()
+    assert got == want
+
+
+def test_conversation_of_more_than_a_million_turns_is_whole(spark, tmp_path):
+    from feedlake.plans import queries
+
+    turns = spark.range(1_000_003).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("r").alias("role"), F.lit("t").alias("text"))
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert queries.thread_flatten(spark, str(tmp_path)).count() == 1_000_003
+
+
 def test_jsonl_and_folders(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n  \n[1]\n{bad\n"text"\n')
     found = readers.read_jsonl(spark, str(tmp_path / "a.jsonl")).collect()
