@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,11 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, a local one, on a local master only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("feedlake.scratch", None)
         if base is None:
             base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -34,7 +37,19 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.feedlake_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from :func:`materialize` whose last reader is done; others are left alone."""
+    for df in tables:
+        path = getattr(df, "feedlake_path", None)
+        if path is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def text_buffers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,57 +85,82 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _WORD = (~_SPACE).astype(np.uint8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LONG_SPAN = 1024
 
 
-def _powers(n: int) -> np.ndarray:
-    """Powers of an odd number modulo 2**64."""
-    out = np.full(n, _ODD, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each position as a little-endian number; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
 
 
-def _inverse() -> np.uint64:
-    x = int(_ODD)
-    return np.uint64(pow(x, -1, 1 << 64))
+def _tail(x: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """``x`` with its bytes from ``left`` on cleared."""
+    bits = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+    return np.where(left >= 8, x, x & ((np.uint64(1) << bits) - np.uint64(1)))
 
 
-_INV = _inverse()
+def join(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Hash of the pair (h, x). No polynomial: a shift lies between any two products."""
+    h = (h ^ (h >> np.uint64(29))) * _ODD + x
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for each span, in time linear in the data."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(n), out=total[1:])
-    back = np.full(n + 1, _INV, np.uint64)
-    back[0] = 1
-    back = np.multiply.accumulate(back)
-    h = (total[ends] - total[starts]) * back[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-
-
-def row_prefixes(rows: np.ndarray) -> np.ndarray:
-    """Running sums from which :func:`row_span_hashes` hashes spans of equally long rows of bytes."""
-    n, width = rows.shape
-    out = np.zeros((width + 1, n), np.uint64)
-    powers = _powers(width)
-    for j in range(width):
-        out[j + 1] = out[j] + _BYTE[rows[:, j]] * powers[j]
-    return out
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of data[start:end] for each span, eight bytes at a time; whoever lacks the seed can't aim at collisions."""
+    view, size = loads(data), (ends - starts).astype(np.int64)
+    h = mix(size.astype(np.uint64) * _ODD + np.uint64(seed))
+    h = join(h, _tail(view[starts], size))
+    some = np.flatnonzero(size > 8)
+    long_ = some[size[some] > _LONG_SPAN]
+    some = some[size[some] <= _LONG_SPAN]
+    at, left = starts[some] + 8, size[some] - 8
+    while len(some):
+        h[some] = join(h[some], _tail(view[at], left))
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    for k in long_.tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    return mix(h)
+
+
+def same_spans(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, size: np.ndarray) -> bool:
+    """Whether each span of ``x`` has the bytes of its span of ``y``."""
+    x_view, y_view = loads(x), loads(y)
+    while len(size):
+        if (_tail(x_view[x_at] ^ y_view[y_at], size) != 0).any():
+            return False
+        more = size > 8
+        x_at, y_at, size = x_at[more] + 8, y_at[more] + 8, size[more] - 8
+    return True
+
+
+def window_hashes(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """Hash of the ``length`` >= 8 bytes from each position on, by doubling: the hash of two halves is that of the pair."""
+    h, have = loads(data)[: max(0, len(data) - 7)] ^ np.uint64(seed), 8
+    h = mix(h)
+    while have < length and len(h):
+        step = min(have, length - have)
+        h = join(h[: len(h) - step], h[step:])
+        have += step
+    return h
+
+
+def row_hash_start(n: int, seed: int = 0) -> np.ndarray:
+    """Start of :func:`row_hash_step`, which hashes equally long rows of bytes one column at a time."""
+    return np.full(n, np.uint64(seed) ^ _ODD, np.uint64)
 
 
-def row_span_hashes(prefixes: np.ndarray, start: int, end: int) -> np.ndarray:
-    """:func:`span_hashes` of [start, end) of every row."""
-    back = np.uint64(pow(int(_INV), start, 1 << 64))
-    size = np.uint64((end - start) * 0xD6E8FEB86659FD93 % (1 << 64))
-    return mix(((prefixes[end] - prefixes[start]) * back) ^ size)
+def row_hash_step(h: np.ndarray, column: np.ndarray) -> np.ndarray:
+    return join(h, column.astype(np.uint64))
 
 
 def class_spans(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,36 +187,37 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def sum_blocks(df: DataFrame, cells: int, block: int = 1 << 14) -> np.ndarray:
-    """Sums of the counts that tasks emit as (block number, int64 counts): ``cells`` numbers in all.
+def sum_blocks(df: DataFrame, cells: int, block: int = 1 << 14, kind: type = np.uint32) -> np.ndarray:
+    """Sums of the numbers that tasks emit as (block number, numbers of ``kind``): ``cells`` in all.
 
     Partial sums meet in a shuffle on the block number; a task holds the sums
     of its blocks and no more, and the driver gets ``cells`` numbers.
     """
+    wide = float if kind is float else np.int64
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-                part = np.frombuffer(raw.as_buffer(), np.uint32)
+                part = np.frombuffer(raw.as_buffer(), kind)
                 if k in sums:
                     sums[k] += part
                 else:
-                    sums[k] = part.astype(np.int64)
+                    sums[k] = part.astype(wide)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"]
         )
 
-    out = np.zeros(cells, np.int64)
+    out = np.zeros(cells, wide)
     for row in df.repartition(max(1, min(64, cells // block)), "block").mapInArrow(add, "block long, counts binary").toLocalIterator():
         at = int(row["block"]) * block
-        out[at : at + block] += np.frombuffer(bytes(row["counts"]), np.int64)
+        out[at : at + block] += np.frombuffer(bytes(row["counts"]), wide)
     return out
 
 
-def emit_blocks(counts: np.ndarray, block: int = 1 << 14) -> pa.RecordBatch:
-    """A task's counts as rows for :func:`sum_blocks`."""
-    parts = counts.astype(np.uint32).reshape(-1, block)
+def emit_blocks(counts: np.ndarray, block: int = 1 << 14, kind: type = np.uint32) -> pa.RecordBatch:
+    """A task's numbers as rows for :func:`sum_blocks`."""
+    parts = counts.astype(kind).reshape(-1, block)
     some = np.flatnonzero(parts.any(axis=1))
     return pa.RecordBatch.from_arrays(
         [pa.array(some.astype(np.int64)), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["block", "counts"]

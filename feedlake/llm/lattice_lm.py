@@ -1,19 +1,20 @@
 """Document probability under a subword lattice.
 
-A unigram model over an existing piece vocabulary weights every segmentation
-of a word; the forward recursion sums them in log space. Pieces only start a
-word or stay inside one, so a document's marginal is the product over its
-word, and each distinct word is summed once for the whole corpus.
-
-Documents come from a mixture of classes (languages, learned from training
-rows). A class backs its own discounted word counts off to those of all text
-and these to the lattice; a document's words are a Dirichlet-multinomial
-around its class, so that a word it has used becomes more likely in it.
+An existing piece vocabulary weights every segmentation of a word; the
+log-space forward recursion sums them. Pieces only start a word or stay
+inside one, so a document's marginal is the product over its words, and each
+distinct word is summed once for the whole corpus.
+
+The vocabulary's scores are the start of the piece probabilities; expectation
+maximisation over the training words adapts them to each class of documents
+(language, learned from training rows). A word that a class has seen is one
+more arc of its lattice there, and a document is a mixture over the classes.
 """
 
 from __future__ import annotations
 
 import math
+import secrets
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -22,21 +23,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_prefixes, row_span_hashes, span_hashes, text_buffers
+from .common import discard, emit_blocks, lower_ascii, materialize, row_hash_start, row_hash_step, same_spans, slices, span_hashes, sum_blocks, text_buffers, word_spans
 
 _SLOT = np.uint64(44)  # 20 bits of a hash choose a slot
 _LONG = 64  # bytes; longer words are summed one at a time
+_BLOCK = 1 << 14
+
+Arcs = list[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 class Lattice:
-    """Pieces as bytes (a leading space starts a word) with log probabilities."""
+    """Pieces as bytes (a leading space starts a word) with log probabilities, one column a class."""
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
-        self.pieces, self.logp = pieces, logp
+        self.pieces, self.logp = pieces, logp.reshape(len(pieces), -1)
         self.longest = max(map(len, pieces))
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        ends = np.cumsum([len(p) for p in pieces])
-        keys = span_hashes(data, ends - [len(p) for p in pieces], ends)
+        keys = self._hashes(pieces)
         self.keys = np.append(keys, np.uint64(0))  # the last is for "none", number -1
         self.tables, left = [], np.arange(len(keys))
         while len(left):  # one piece a slot in each table
@@ -45,94 +47,115 @@ class Lattice:
             table[slot] = left
             self.tables.append(table)
             left = left[table[slot] != left]
+        self.goes_on = np.zeros(1 << 20, bool)  # some piece may start like this and be longer
+        self.goes_on[(self._hashes(sorted({p[:k] for p in pieces for k in range(1, len(p))})) >> _SLOT).astype(np.int64)] = True
         self.index = {p: i for i, p in enumerate(pieces)}
 
-    def _find(self, w: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Piece number (-1: none) of each span [i, j) of equally long words, one word a row."""
+    @staticmethod
+    def _hashes(pieces: list[bytes]) -> np.ndarray:
+        keys, sizes = np.zeros(len(pieces), np.uint64), np.array([len(p) for p in pieces])
+        for size in np.unique(sizes):
+            some = np.flatnonzero(sizes == size)
+            h = row_hash_start(len(some))
+            for column in np.frombuffer(b"".join(pieces[k] for k in some), np.uint8).reshape(len(some), -1).T:
+                h = row_hash_step(h, column)
+            keys[some] = h
+        return keys
+
+    def arcs(self, w: np.ndarray) -> Arcs:
+        """(i, j, rows, pieces) for each span [i, j) of equally long words, one word a row, where a piece fits; by j."""
+        columns, out = np.ascontiguousarray(w.T), []
         n, width = w.shape
-        prefix, out = row_prefixes(w), {}
         for i in range(width):
+            h, rows = row_hash_start(n), np.arange(n)
             for j in range(i + 1, min(width, i + self.longest) + 1):
-                h = row_span_hashes(prefix, i, j)
-                slot, ids = (h >> _SLOT).astype(np.int64), np.full(n, -1, np.int32)
+                h = row_hash_step(h, columns[j - 1][rows])
+                slot = (h >> _SLOT).astype(np.int64)
                 for table in self.tables:
                     at = table[slot]
-                    np.copyto(ids, at, where=(at >= 0) & (self.keys[at] == h))
-                if (ids >= 0).any():
-                    out[i, j] = ids
-        return out
+                    ok = np.flatnonzero(self.keys[at] == h)
+                    if len(ok):
+                        out.append((i, j, rows[ok], at[ok]))
+                on = self.goes_on[slot]
+                rows, h = rows[on], h[on]
+                if not len(rows):
+                    break
+        return sorted(out, key=lambda x: x[1])
 
     def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         sizes = np.array([len(w) for w in words])
         for size in np.unique(sizes[sizes <= _LONG]):
             rows = np.flatnonzero(sizes == size)
-            step = 1_000_000 // int(size)
+            step = 500_000 // int(size)
             for a in range(0, len(rows), step):
                 some = rows[a : a + step]
                 yield some, np.frombuffer(b"".join(words[k] for k in some), np.uint8).reshape(len(some), -1)
 
-    def _forward(self, n: int, width: int, arcs: dict) -> np.ndarray:
-        alpha = np.full((width + 1, n), -np.inf)
+    def _forward(self, arcs: Arcs, width: int, start: np.ndarray, weight) -> np.ndarray:
+        """alpha[j]: log probability of each row's first j bytes."""
+        alpha = np.full((width + 1, *start.shape), -np.inf)
         alpha[0] = 0
-        for (i, j), ids in sorted(arcs.items(), key=lambda x: x[0][1]):
-            alpha[j] = np.logaddexp(alpha[j], alpha[i] + np.where(ids >= 0, self.logp[ids], -np.inf))
+        for i, j, rows, ids in arcs:
+            alpha[j][rows] = np.logaddexp(alpha[j][rows], alpha[i][rows] + weight(rows, ids))
         return alpha
 
+    def _arcs_one(self, word: bytes) -> Iterator[tuple[int, list[int], list[int]]]:
+        """(j, starts, pieces) for each end j of a piece in one word."""
+        for j in range(1, len(word) + 1):
+            found = [(i, k) for i in range(max(0, j - self.longest), j) if (k := self.index.get(word[i:j])) is not None]
+            if found:
+                yield j, *map(list, zip(*found, strict=True))
+
     def _forward_one(self, word: bytes) -> np.ndarray:
-        alpha = np.full(len(word) + 1, -np.inf)
+        alpha = np.full((len(word) + 1, self.logp.shape[1]), -np.inf)
         alpha[0] = 0
-        for j in range(1, len(word) + 1):
-            into = [alpha[i] + self.logp[k] for i in range(max(0, j - self.longest), j) if (k := self.index.get(word[i:j])) is not None]
-            alpha[j] = np.logaddexp.reduce(into) if into else -np.inf
+        for j, starts, ids in self._arcs_one(word):
+            alpha[j] = np.logaddexp.reduce(alpha[starts] + self.logp[ids], axis=0)
         return alpha
 
-    def _one(self, word: bytes) -> float:
-        return float(self._forward_one(word)[-1])
-
-    def _count_one(self, word: bytes, times: float, out: np.ndarray) -> None:
-        """Add the expected uses of each piece in one word, in memory linear in it."""
-        alpha = self._forward_one(word)
+    def _count_one(self, word: bytes, k: int, out: np.ndarray) -> None:
+        """Add the expected uses of each piece in one word of class ``k``, in memory linear in it."""
+        alpha = self._forward_one(word)[:, k]
         if alpha[-1] == -np.inf:
             return
         beta = np.full(len(word) + 1, -np.inf)
         beta[-1] = 0
-        for i in range(len(word) - 1, -1, -1):
-            found = [(j, k) for j in range(i + 1, min(len(word), i + self.longest) + 1) if (k := self.index.get(word[i:j])) is not None]
-            if found:
-                ends, pieces = map(list, zip(*found, strict=True))
-                below = self.logp[pieces] + beta[ends]
-                beta[i] = np.logaddexp.reduce(below)
-                out[pieces] += times * np.exp(alpha[i] + below - alpha[-1])
+        for j, starts, ids in reversed(list(self._arcs_one(word))):
+            below = self.logp[ids, k] + beta[j]
+            np.logaddexp.at(beta, starts, below)
+            np.add.at(out, (ids, k), np.exp(alpha[starts] + below - alpha[-1]))
 
     def log_probability(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of each word's marginal probability; words are given with their leading space."""
-        out = np.zeros(len(words))
+        """Natural log of each word's marginal probability, one column a class; words are given with their leading space."""
+        out = np.zeros((len(words), self.logp.shape[1]))
         for rows, w in self._groups(words):
-            out[rows] = self._forward(*w.shape, self._find(w))[-1]
+            start = np.zeros((len(rows), self.logp.shape[1]))
+            out[rows] = self._forward(self.arcs(w), w.shape[1], start, lambda _, ids: self.logp[ids])[-1]
         for k in [k for k, w in enumerate(words) if len(w) > _LONG]:
-            out[k] = self._one(words[k])
+            out[k] = self._forward_one(words[k])[-1]
         return out
 
-    def expected_counts(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over all segmentations of words seen ``counts`` times."""
-        out = np.zeros(len(self.pieces))
+    def expected_counts(self, words: list[bytes], classes: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece (row) in each class (column) over all segmentations of words, each of one class."""
+        out = np.zeros(self.logp.shape)
         for rows, w in self._groups(words):
             n, width = w.shape
-            arcs = self._find(w)
-            alpha = self._forward(n, width, arcs)
+            k, arcs = classes[rows], self.arcs(w)
+            weigh = lambda some, ids: self.logp[ids, k[some]]  # noqa: B023, E731
+            alpha = self._forward(arcs, width, np.zeros(n), weigh)
             beta = np.full((width + 1, n), -np.inf)
             beta[width] = 0
-            for (i, j), ids in sorted(arcs.items(), key=lambda x: -x[0][0]):
-                beta[i] = np.logaddexp(beta[i], beta[j] + np.where(ids >= 0, self.logp[ids], -np.inf))
-            times, which, uses = counts[rows], [], []
-            for (i, j), ids in arcs.items():
-                ok = np.flatnonzero(ids >= 0)
-                which.append(ids[ok])
-                uses.append(np.exp(alpha[i][ok] + self.logp[ids[ok]] + beta[j][ok] - alpha[width][ok]) * times[ok])
+            which, uses = [], []
+            for i, j, some, ids in reversed(arcs):
+                below = beta[j][some] + weigh(some, ids)
+                beta[i][some] = np.logaddexp(beta[i][some], below)
+                which.append(ids.astype(np.int64) * out.shape[1] + k[some])
+                with np.errstate(invalid="ignore"):
+                    uses.append(np.nan_to_num(np.exp(alpha[i][some] + below - alpha[width][some])))
             if which:
-                out += np.bincount(np.concatenate(which), np.concatenate(uses), minlength=len(out))
-        for k in [k for k, w in enumerate(words) if len(w) > _LONG]:
-            self._count_one(words[k], counts[k], out)
+                out += np.bincount(np.concatenate(which), np.concatenate(uses), minlength=out.size).reshape(out.shape)
+        for m in [m for m, w in enumerate(words) if len(w) > _LONG]:
+            self._count_one(words[m], int(classes[m]), out)
         return out
 
 
@@ -161,31 +184,6 @@ def _held_out(id_col: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Log of the gamma function for x >= 1: Stirling's series after seven steps up."""
-    y = x + 7
-    steps = np.log(np.prod([x + i for i in range(7)], axis=0)) if x.size else x
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - steps
-
-
-def _log_gamma_column(x: Column) -> Column:
-    """As :func:`_log_gamma`."""
-    y = x + 7
-    steps = x
-    for i in range(1, 7):
-        steps = steps * (x + i)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(steps)
-
-
-def _rising(logp: np.ndarray, times: np.ndarray, strength: float) -> np.ndarray:
-    """log of a (a + 1) ... (a + times - 1) for a = strength exp(logp), one column of ``logp`` a class."""
-    out = logp + math.log(strength)
-    more = np.flatnonzero(times > 1)
-    a = strength * np.exp(logp[more])
-    out[more] += _log_gamma(a + times[more, None]) - _log_gamma(a + 1)
-    return out
-
-
 def _large(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most``, so that many words of one length are summed at once."""
     held: list[pa.RecordBatch] = []
@@ -230,11 +228,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lattice_scores(
     docs: DataFrame,
     model_path: str,
-    rounds: int = 3,
+    rounds: int = 2,
     frequent: int = 1 << 17,
     class_col: str | None = "lang",
     most_classes: int = 8,
-    strength: float = 3000.0,
     text_col: str = "text",
     id_col: str = "doc_id",
 ) -> DataFrame:
@@ -242,29 +239,29 @@ def lattice_scores(
 
     Lower-cases A-Z; tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end.
     Documents whose crc32(id as text) mod 10 is 0 are held out; the others
-    train: words are counted over all of them, and ``rounds`` of expectation
-    maximisation over those counts turn the vocabulary's own scores (as a
-    start) into piece probabilities, each distinct word counting once, as it
-    leaves the same discount to the pieces. A word seen in training is also one
-    arc of its lattice, weighted by its discounted count. ``base_score`` is the
-    add-0.1 unigram score and ``score`` the log10 marginal probability of the
-    token sequence over segmentations and classes.
+    train: words are counted over all of them. In each class, ``rounds`` of
+    expectation maximisation over its distinct words turn the vocabulary's own
+    scores (as a start) into piece probabilities. A word that the class has
+    seen is also one arc, weighted by its discounted count; the pieces share
+    what the discount leaves. ``base_score`` is the add-0.1 unigram score and
+    ``score`` the log10 marginal probability of the token sequence over
+    segmentations and classes.
 
     Classes are the ``most_classes`` commonest values of ``class_col`` among
     training rows; all other values, and null, form one more (without the
     column there is that one only). A document's own value is never used in
-    its score. ``strength`` is the Dirichlet's: the number of words after which
-    a document's own usage weighs as much as its class's.
+    its score.
 
     Null or empty text has the end token alone. A null id counts as empty
     text in the checksum. Repeated rows are scored each. Other columns are
     ignored; an empty table gives no rows.
 
-    The counts stay distributed. The ``frequent`` commonest words are
-    broadcast; the others of each document, as hashes, are joined with the
-    counts.
+    The counts stay distributed. At most ``frequent`` of the commonest words
+    are broadcast, those above a count that a histogram of counts tells; the
+    others of each document, as 128-bit hashes with a seed of this call, are
+    joined with the counts.
     """
-    spark = docs.sparkSession
+    spark, seeds = docs.sparkSession, (secrets.randbits(64), secrets.randbits(64))
     kind = docs.schema[id_col].dataType.simpleString()
     named = F.col(class_col).cast("string") if class_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), _held_out(id_col).alias("held_out"), named.alias("name"))
@@ -273,86 +270,94 @@ def lattice_scores(
     number = F.coalesce(*[F.when(F.col("name") == name, F.lit(k)) for k, name in enumerate(names)], F.lit(len(names)))
     texts = texts.withColumn("class", number).drop("name")
     partial = texts.select("text", "held_out", "class").mapInArrow(_word_counts, "word binary, class int, c long, c_all long")
-    per_class = F.array(*[F.sum(F.when(F.col("class") == k, F.col("c")).otherwise(0)) for k in range(len(names) + 1)])
+    every = range(len(names) + 1)
+    per_class = F.array(*[F.sum(F.when(F.col("class") == k, F.col("c")).otherwise(0)) for k in every])
     lexicon = materialize(partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"), per_class.alias("by_class")))
+
+    def of(k: int) -> Column:
+        return F.get("by_class", F.lit(k))
+
     total = lexicon.agg(
-        F.sum("c").alias("c"),
-        F.sum((F.col("c") > 0).cast("long")).alias("v"),
-        F.sum((F.col("c") == 1).cast("long")).alias("n1"),
-        F.sum((F.col("c") == 2).cast("long")).alias("n2"),
-        F.array(*[F.sum(F.get("by_class", F.lit(k))) for k in range(len(names) + 1)]).alias("words"),
-        F.array(*[F.sum((F.get("by_class", F.lit(k)) > 0).cast("long")) for k in range(len(names) + 1)]).alias("kinds"),
+        F.sum("c").alias("c"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.count("*").alias("all"),
+        *[F.array(*[F.sum(f(of(k))) for k in every]).alias(name) for name, f in {
+            "words": lambda x: x, "kinds": lambda x: (x > 0).cast("long"), "once": lambda x: (x == 1).cast("long"), "twice": lambda x: (x == 2).cast("long")
+        }.items()],
     ).first()
     # Summing a word's lattice is the work here, so that the lexicon is dealt out by its number of words.
-    lexicon = lexicon.repartition(max(spark.sparkContext.defaultParallelism, lexicon.count() // 100_000))
+    dealt = lexicon.repartition(max(spark.sparkContext.defaultParallelism, total["all"] // 100_000))
     trained = texts.filter(~F.col("held_out")).count()
     n_train, distinct = (total["c"] or 0) + trained, (total["v"] or 0) + (trained > 0)
 
+    # Classes seen in training; where there is none, one without counts of its own.
+    seen = [k for k in every if total["words"][k]] or [0]
+    sizes, kinds, once, twice = (np.array([total[name][k] or 0 for k in seen], float) for name in ("words", "kinds", "once", "twice"))
+    discount = np.clip(np.divide(once, once + 2 * twice, out=np.full(len(seen), 0.5), where=once > 0), 0.05, 0.95)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        log_class = np.log(sizes / sizes.sum()) if sizes.sum() else np.zeros(1)
+        log_spelled = np.where(sizes > 0, np.log(discount * kinds / sizes), 0.0)
+
     pieces, own = load_pieces(model_path)
-    rank = np.argsort(np.argsort(-own))
-    prob = 1.0 / (rank + 30.0)
-    prob /= prob.sum()
+    prior = 1.0 / (np.argsort(np.argsort(-own)) + 30.0)
+    prob = np.repeat((prior / prior.sum())[:, None], len(seen), axis=1)
+    cells = -(-prob.size // _BLOCK) * _BLOCK
     for _ in range(rounds if total["c"] else 0):
         lattice = spark.sparkContext.broadcast(Lattice(pieces, np.log(prob)))
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(len(lattice.value.pieces))
+            sums = np.zeros(cells)
             for batch in _large(batches):
-                words = [b" " + w for w in batch.column("word").to_pylist()]
-                sums += lattice.value.expected_counts(words, np.ones(len(words)))
-            some = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["piece", "n"])
-
-        found = lexicon.filter("c > 0").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        n = np.full(len(pieces), 0.1)
-        for row in found.toLocalIterator():  # one row for each piece of the vocabulary
-            n[row["piece"]] += row["n"]
-        prob = n / n.sum()
+                own = batch.column("by_class").flatten().to_numpy().reshape(batch.num_rows, -1)[:, seen]
+                at, k = np.nonzero(own)
+                words = batch.column("word").to_pylist()
+                sums[: prob.size] += lattice.value.expected_counts([b" " + words[i] for i in at], k).ravel()  # noqa: B023
+            yield emit_blocks(sums, _BLOCK, float)
+
+        found = sum_blocks(dealt.filter("c > 0").select("word", "by_class").mapInArrow(expect, "block long, counts binary"), cells, _BLOCK, float)
+        n = 0.1 + found[: prob.size].reshape(prob.shape)
+        prob = n / n.sum(axis=0)
+        lattice.unpersist()
     lattice = spark.sparkContext.broadcast(Lattice(pieces, np.log(prob)))
     scale, end_log10 = 1 / math.log(10), math.log10((trained + 1) / (n_train + 2))
     word_share = math.log10(1 - 10**end_log10)  # a token is a word rather than the end
 
-    # The whole word is one more arc: its count less a discount; pieces share what the discount leaves.
-    discount = total["n1"] / (total["n1"] + 2 * total["n2"]) if total["n1"] else 0.5
-    discount = min(discount, 0.9)
-    seen_words = total["c"] or 0
-    rest_share = discount * total["v"] / seen_words if seen_words else 1.0
-
-    # Classes seen in training; where there is none, one without counts of its own.
-    seen = [k for k, n in enumerate(total["words"]) if n] or [0]
-    sizes = np.array([total["words"][k] or 0 for k in seen], float)
-    backed = np.array([discount * (total["kinds"][k] or 0) for k in seen])
-    log_class = np.log(sizes / sizes.sum()) if seen_words else np.zeros(1)
-    log_backed = np.log(backed / sizes) if seen_words else np.zeros(1)
-
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _large(batches):
             words = batch.column("word").to_pylist()
-            spelled = lattice.value.log_probability([b" " + w for w in words]) + math.log(rest_share)
             own = batch.column("by_class").flatten().to_numpy().reshape(len(words), -1)[:, seen]
             with np.errstate(divide="ignore"):
-                whole = np.log(np.maximum(batch.column("c").to_numpy() - discount, 0) / max(1, seen_words))
-                own = np.log(np.maximum(own - discount, 0) / np.maximum(1, sizes))
-            logp = np.logaddexp(own, log_backed + np.logaddexp(spelled, whole)[:, None])
+                whole = np.log(np.maximum(own - discount, 0) / np.maximum(1, sizes))
+            logp = np.logaddexp(whole, log_spelled + lattice.value.log_probability([b" " + w for w in words]))
             data = np.frombuffer(b"".join(words), np.uint8)
-            ends = np.cumsum([len(w) for w in words])
-            h = span_hashes(data, ends - np.array([len(w) for w in words]), ends)
+            size = np.array([len(w) for w in words], np.int64)
+            h1, h2 = (span_hashes(data, np.cumsum(size) - size, np.cumsum(size), seed).view(np.int64) for seed in seeds)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * len(seen)), pa.array(logp.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), pa.array(h.view(np.int64)), batch.column("c"), batch.column("c_all"), lists],
-                ["word", "h", "c", "c_all", "logp"],
+                [batch.column("word"), pa.array(h1), pa.array(h2), batch.column("c"), batch.column("c_all"), lists], ["word", "h1", "h2", "c", "c_all", "logp"]
             )
 
-    weighed = materialize(lexicon.filter("octet_length(word) > 0").mapInArrow(weigh, "word binary, h long, c long, c_all long, logp array<double>"))
-    often = {
-        bytes(r["word"]): (r["c"], r["logp"])
-        for r in weighed.orderBy(F.col("c_all").desc(), "word").limit(frequent).select("word", "c", "logp").collect()
-    }
+    weighed = materialize(dealt.mapInArrow(weigh, "word binary, h1 long, h2 long, c long, c_all long, logp array<double>"))
+    discard(lexicon)
+    lattice.unpersist()
+
+    # The commonest words: the least count that no more than ``frequent`` words reach, from the number of words of each count.
+    bound = (F.col("c_all") > 1) & (F.octet_length("word") <= _LONG)
+    steps = weighed.filter(bound).groupBy("c_all").agg(F.count("*").alias("n"))
+    least, many = None, 0
+    for row in steps.orderBy(F.col("c_all").desc()).toLocalIterator():
+        many += row["n"]
+        if many > frequent:
+            break
+        least = row["c_all"]
+    often = weighed.filter(bound & (F.col("c_all") >= least)).select("word", "h1", "c", "logp").collect() if least else []
+    often.sort(key=lambda r: r["h1"] % (1 << 64))
+    spelled = [bytes(r["word"]) for r in often]
     known_words = spark.sparkContext.broadcast(
         (
-            {w: k for k, w in enumerate(often)},
-            np.array([c for c, _ in often.values()], np.int64),
-            np.array([p for _, p in often.values()], float).reshape(-1, len(seen)),
+            np.array([r["h1"] for r in often], np.int64).view(np.uint64),
+            np.frombuffer(b"".join(spelled), np.uint8),
+            np.cumsum([0, *map(len, spelled)]),
+            np.array([r["c"] for r in often], np.int64),
+            np.array([r["logp"] for r in often], float).reshape(-1, len(seen)),
         )
     )
     smooth = n_train + 0.1 * (distinct + 1)
@@ -360,57 +365,55 @@ def lattice_scores(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        index, count, logp = known_words.value
-        base, start = np.log10((count + 0.1) / smooth), _log_gamma(np.array([strength]))
+        keys, letters, places, count, logp = known_words.value
+        base = np.log10((count + 0.1) / smooth)
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, at = text_buffers(batch.column("text"))
-            raw, rows = data.tobytes(), []
-            for k in range(batch.num_rows):
-                words = raw[at[k] : at[k + 1]].lower().split()
-                got = [index.get(w, -1) for w in words]
-                ids = np.array(got, np.int64)
-                known = ids[ids >= 0]
-                kinds, times = np.unique(known, return_counts=True)
-                own = _rising(logp[kinds], times, strength).sum(axis=0) + start - _log_gamma(np.array([strength + len(words)]))
-                rare = Counter(w for w, i in zip(words, got, strict=True) if i < 0)
-                spelled = list(rare)
-                ends = np.cumsum([len(w) for w in spelled]) if spelled else np.zeros(0, np.int64)
-                h = span_hashes(np.frombuffer(b"".join(spelled), np.uint8), ends - np.array([len(w) for w in spelled], np.int64), ends) if spelled else np.zeros(0, np.uint64)
-                rows.append((key, len(words), int((count[known] > 0).sum()), float(base[known].sum()), own, h.view(np.int64), list(rare.values())))
-                key += 1
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), batch.column("held_out"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                ["__id", "held_out", "row", "words", "known", "base", "lattice", "rare", "times"],
-            )
-
-    schema = f"__id {kind}, held_out boolean, row long, words long, known long, base double, lattice array<double>, rare array<long>, times array<long>"
-    rows = materialize(texts.mapInArrow(read, schema))
-    pairs = rows.filter(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("t"))
-    def rising(k: int) -> Column:
-        """As :func:`_rising`, for one word and class."""
-        logp = F.get("logp", F.lit(k))
-        a = F.exp(logp) * strength
-        more = F.when(F.col("t") > 1, _log_gamma_column(a + F.col("t")) - _log_gamma_column(a + 1)).otherwise(0.0)
-        return logp + math.log(strength) + more
-
+            for a, b in slices(at):
+                part, bounds, n = lower_ascii(data[at[a] : at[b]]), at[a : b + 1] - at[a], b - a
+                starts, ends, first = word_spans(part, bounds)
+                doc = np.repeat(np.arange(n), np.diff(first))
+                h = span_hashes(part, starts, ends, seeds[0])
+                i = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                hit = keys[i] == h if len(keys) else np.zeros(len(h), bool)
+                hit[hit] = (places[i[hit] + 1] - places[i[hit]]) == (ends - starts)[hit]
+                if not same_spans(part, starts[hit], letters, places[i[hit]], (ends - starts)[hit]):
+                    raise RuntimeError("two words have one hash")  # chance 2 ** -64 a pair; a new call draws new seeds
+                w, d = i[hit], doc[hit]
+                sums = np.stack([np.bincount(d, logp[w, k], minlength=n) for k in range(len(seen))], axis=1).astype(float)
+                rare = ~hit
+                other = span_hashes(part, starts[rare], ends[rare], seeds[1]).view(np.int64)
+                lists = np.searchsorted(doc[rare], np.arange(n + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("__id").slice(a, n), batch.column("held_out").slice(a, n), pa.array(np.arange(key, key + n)), pa.array(np.diff(first)),
+                        pa.array(np.bincount(d[count[w] > 0], minlength=n)), pa.array(np.bincount(d, base[w], minlength=n).astype(float)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(seen)), pa.array(sums.ravel())),
+                        pa.ListArray.from_arrays(pa.array(lists), pa.array(h[rare].view(np.int64))), pa.ListArray.from_arrays(pa.array(lists), pa.array(other)),
+                    ],
+                    ["__id", "held_out", "row", "words", "known", "base", "logp", "h1", "h2"],
+                )
+                key += n
+
+    schema = f"__id {kind}, held_out boolean, row long, words long, known long, base double, logp array<double>, h1 array<long>, h2 array<long>"
+    rows = materialize(texts.select("__id", "text", "held_out").mapInArrow(read, schema))
+    pairs = rows.filter(F.size("h1") > 0).select("row", F.explode(F.arrays_zip("h1", "h2")).alias("x")).select("row", "x.*")
     rest = (
-        pairs.join(weighed.select("h", "c", "logp"), "h")
+        pairs.join(weighed.select("h1", "h2", "c", "logp"), ["h1", "h2"])
         .groupBy("row")
         .agg(
-            F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("r_known"),
-            F.sum(F.col("t") * F.log10((F.col("c") + 0.1) / smooth)).alias("r_base"),
-            *[F.sum(rising(k)).alias(f"r_{k}") for k in range(len(seen))],
+            F.sum((F.col("c") > 0).cast("long")).alias("r_known"),
+            F.sum(F.log10((F.col("c") + 0.1) / smooth)).alias("r_base"),
+            *[F.sum(F.get("logp", F.lit(k))).alias(f"r_{k}") for k in range(len(seen))],
         )
     )
     zero = F.lit(0.0)
     end_base = math.log10((trained + 0.1) / smooth) if smooth else 0.0
-    by_class = [F.get("lattice", F.lit(k)) + F.coalesce(F.col(f"r_{k}"), zero) + float(p) for k, p in enumerate(log_class)]
+    by_class = [F.get("logp", F.lit(k)) + F.coalesce(F.col(f"r_{k}"), zero) + float(p) for k, p in enumerate(log_class)]
     most = F.greatest(*by_class) if len(by_class) > 1 else by_class[0]
     marginal = (most + F.log(sum((F.exp(x - most) for x in by_class), zero))) * scale
-    return rows.drop("rare", "times").join(rest, "row", "left").select(
+    return rows.drop("h1", "h2").join(rest, "row", "left").select(
         F.col("__id").alias(id_col),
         "held_out",
         (F.col("words") + 1).alias("n_tokens"),

@@ -21,10 +21,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _INV, _powers, bit_filter, materialize, maybe_in, mix, slices, span_hashes, text_buffers
+from .common import bit_filter, materialize, maybe_in, mix, slices, text_buffers
 
 _LOW = 23  # bits of a position within a part of a text
 _PART = 1 << 22  # start positions handled at once
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2**64."""
+    out = np.full(n, _ODD, np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _inverse() -> np.uint64:
+    x = int(_ODD)
+    return np.uint64(pow(x, -1, 1 << 64))
+
+
+_INV = _inverse()
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start:end] for each span, in time linear in the data."""
+    n = len(data)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(n), out=total[1:])
+    back = np.full(n + 1, _INV, np.uint64)
+    back[0] = 1
+    back = np.multiply.accumulate(back)
+    h = (total[ends] - total[starts]) * back[starts]
+    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 def _anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:

@@ -30,9 +30,33 @@ def test_vector_hash_equals_scalar():
     data = np.frombuffer(b"abcabcab  xyz", np.uint8)
     h = common.span_hashes(data, np.array([0, 3, 6]), np.array([3, 6, 8]))
     assert h[0] == h[1] != h[2]
-    rows = np.frombuffer(b"abcdabcx", np.uint8).reshape(2, 4)
-    spans = common.row_span_hashes(common.row_prefixes(rows), 1, 3)
-    assert spans[0] == spans[1] == common.span_hashes(np.frombuffer(b"bc", np.uint8), np.array([0]), np.array([2]))[0]
+    text = np.frombuffer(bytes(range(65, 91)) * 90, np.uint8)
+    at = np.arange(0, 1200, 7)
+    for size in (1, 7, 8, 9, 30, 400, 1100):
+        h = common.span_hashes(text, at, at + size, seed=5)
+        raw = [text[a : a + size].tobytes() for a in at]
+        assert len(set(h.tolist())) == len(set(raw)) and all((h[0] == x) == (raw[0] == r) for x, r in zip(h, raw, strict=True))
+    windows = common.window_hashes(text, 400)
+    assert len(windows) == len(text) - 399 and windows[3] == windows[29] != windows[4]
+    assert common.same_spans(text, at, text, at + 26, np.full(len(at), 50)) and not common.same_spans(text, at, text, at + 25, np.full(len(at), 9))
+
+
+def thue_morse(zero, one, n):
+    out = [zero], [one]
+    for _ in range(n):
+        out = out[0] + out[1], out[1] + out[0]
+    return zero[:0].join(out[0]), zero[:0].join(out[1])
+
+
+def test_structured_texts_do_not_collide(spark):
+    """Words and byte strings on which polynomial hashes modulo a power of two agree."""
+    x, y = thue_morse("a", "b", 10)
+    a, b = thue_morse("abcdefgh ", "hgfedcba ", 10)
+    df = docs(spark, [x, y, a, b])
+    assert [r.component_id for r in jaccard_join.jaccard_components(df).orderBy("doc_id").collect()][:2] == [0, 1]
+    assert all(r.n_known <= r.n_tokens for r in lattice_lm.lattice_scores(df, PIECES, rounds=1).collect())
+    one, other = thue_morse("a", "b", 9)
+    assert [r.n_removed for r in repeated_spans.remove_repeats(docs(spark, [one, other])).collect()] == brute_removed([one, other])
 
 
 def test_exact_dedup(spark):
@@ -61,36 +85,63 @@ def test_warc_fixity(spark):
     assert warc_fixity.fixity_audit(left.limit(0), left.limit(0)).count() == 0
 
 
-def test_lattice_sums_all_segmentations():
-    pieces = [b" a", b" ab", b"a", b"b", b"ab", b" "]
-    prob = np.array([0.2, 0.1, 0.2, 0.25, 0.05, 0.2])
-    lattice = lattice_lm.Lattice(pieces, np.log(prob))
+def brute_word(word, pieces, prob):
+    total = 0.0
+    for cuts in product([0, 1], repeat=len(word) - 1):
+        at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(word)]
+        parts = [word[a:b] for a, b in zip(at, at[1:], strict=False)]
+        if all(p in pieces for p in parts):
+            total += np.prod([prob[pieces.index(p)] for p in parts])
+    return total
 
-    def brute(word):
-        total = 0.0
-        for cuts in product([0, 1], repeat=len(word) - 1):
-            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(word)]
-            parts = [word[a:b] for a, b in zip(at, at[1:], strict=False)]
-            if all(p in pieces for p in parts):
-                total += np.prod([prob[pieces.index(p)] for p in parts])
-        return total
 
+def test_lattice_sums_all_segmentations(monkeypatch):
+    pieces = [b" a", b" ab", b"a", b"b", b"ab", b" "]
+    prob = np.array([[0.2, 0.1, 0.2, 0.25, 0.05, 0.2], [0.1, 0.3, 0.1, 0.1, 0.3, 0.1]]).T
+    lattice = lattice_lm.Lattice(pieces, np.log(prob))
     words = [b" ab", b" abab", b" ba", b" aab"]
-    assert np.allclose(np.exp(lattice.log_probability(words)), [brute(w) for w in words])
-    assert np.allclose([np.exp(lattice._one(w)) for w in words], [brute(w) for w in words])
-    counts = lattice.expected_counts([b" ab"], np.array([1.0]))
+    want = [[brute_word(w, pieces, prob[:, k]) for k in range(2)] for w in words]
+    assert np.allclose(np.exp(lattice.log_probability(words)), want)
+    counts = lattice.expected_counts([b" ab"], np.array([0]))
     paths = {(b" ab",): 0.1, (b" a", b"b"): 0.05, (b" ", b"ab"): 0.01, (b" ", b"a", b"b"): 0.01}
-    assert np.isclose(counts[pieces.index(b"b")], (0.05 + 0.01) / sum(paths.values()))
+    assert np.isclose(counts[pieces.index(b"b"), 0], (0.05 + 0.01) / sum(paths.values())) and not counts[:, 1].any()
+    monkeypatch.setattr(lattice_lm, "_LONG", 2)
+    assert np.allclose(np.exp(lattice.log_probability(words)), want)
 
 
 def test_lattice_counts_long_words(monkeypatch):
     pieces = [b" a", b" ab", b"a", b"b", b"ab", b"ba", b" "]
     lattice = lattice_lm.Lattice(pieces, np.log([0.2, 0.1, 0.2, 0.2, 0.05, 0.1, 0.15]))
-    words, times = [b" abab", b" " + b"ab" * 90, b" zz" * 30], np.array([2.0, 3.0, 1.0])
-    got = lattice.expected_counts(words, times)
-    assert np.isclose(got @ [len(p) for p in pieces], 2 * 5 + 3 * 181)  # every byte of a word that can be spelled is in one piece
+    words = [b" abab", b" " + b"ab" * 90, b" zz" * 30]
+    got = lattice.expected_counts(words, np.zeros(3, int))[:, 0]
+    assert np.isclose(got @ [len(p) for p in pieces], 5 + 181)  # every byte of a word that can be spelled is in one piece
     monkeypatch.setattr(lattice_lm, "_LONG", 500)
-    assert np.allclose(got, lattice.expected_counts(words[:2], times[:2]))
+    assert np.allclose(got, lattice.expected_counts(words, np.zeros(3, int))[:, 0])
+
+
+def test_lattice_score_is_the_mixture_of_word_marginals(spark):
+    """Document scores against the formula, with the pieces' own probabilities (no rounds of adaptation)."""
+    texts = ["the cat sat", "the the mat", "le chat noir", "the zebra", None, "le le noir", "a cat", "der hund", "the sat", "le mat"]
+    langs = ["en", "en", "fr", "en", None, "fr", "en", None, "en", "fr"]
+    got = {r.doc_id: r.score for r in lattice_lm.lattice_scores(docs(spark, texts, langs), PIECES, rounds=0, frequent=2).collect()}
+    pieces, own = lattice_lm.load_pieces(PIECES)
+    prob = 1 / (np.argsort(np.argsort(-own)) + 30.0)
+    lattice = lattice_lm.Lattice(pieces, np.log(prob / prob.sum()))
+    train = [i for i in range(10) if zlib.crc32(str(i).encode()) % 10]
+    count = defaultdict(Counter)
+    for i in train:
+        count[langs[i]].update((texts[i] or "").encode().split())
+    size = {k: sum(c.values()) for k, c in count.items() if c}
+    n = sum(size.values()) + len(train)
+    end = (len(train) + 1) / (n + 2)
+    for i, text in enumerate(texts):
+        words, total = (text or "").encode().split(), 0.0
+        for k in size:
+            ones, twos = sum(v == 1 for v in count[k].values()), sum(v == 2 for v in count[k].values())
+            off = min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
+            each = [max(count[k][w] - off, 0) / size[k] + off * len(count[k]) / size[k] * math.exp(lattice.log_probability([b" " + w])[0, 0]) for w in words]
+            total += size[k] / sum(size.values()) * math.prod(each)
+        assert np.isclose(got[i], math.log10(total) + len(words) * math.log10(1 - end) + math.log10(end)), i
 
 
 def test_lattice_scores_base(spark):
@@ -119,11 +170,24 @@ def test_lattice_scores_classes(spark):
     sent = {r.doc_id: r.score for r in lattice_lm.lattice_scores(df, PIECES, rounds=1).collect()}
     assert len(sent) == len(texts) and all(np.isclose(joined[k], sent[k]) for k in sent)
     without = {r.doc_id: r.score for r in lattice_lm.lattice_scores(df.drop("lang"), PIECES, rounds=1).collect()}
-    assert sum(sent.values()) > sum(without.values())
+    assert sum(sent[k] for k in range(40)) > sum(without[k] for k in range(40))
     held = next(k for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10 == 0 and t)
     other = df.withColumn("lang", F.when(F.col("doc_id") == held, F.lit("xx")).otherwise(F.col("lang")))
     assert np.isclose(lattice_lm.lattice_scores(other, PIECES, rounds=1).filter(f"doc_id = {held}").first().score, sent[held])
-    assert np.allclose(lattice_lm._log_gamma(np.array([1.0, 2.5, 9.0, 4000.0])), [math.lgamma(x) for x in (1.0, 2.5, 9.0, 4000.0)])
+
+
+def brute_removed(texts):
+    raws, seen = [(t or "").encode() for t in texts], Counter()
+    for b in raws:
+        seen.update(b[k : k + 400] for k in range(len(b) - 399))
+    out = []
+    for b in raws:
+        gone = np.zeros(len(b) + 1, bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        out.append(int(gone.sum()))
+    return out
 
 
 def brute_components(texts, width, percent):
