@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .tokens import encoded, word_cache
+from .tokens import encoded, token_table
 
 #: Columns of the files. ``part_start`` counts ids from the start of the row's file part.
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -43,20 +43,16 @@ def write_token_files(
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part, at = word_cache(tokenizer), TaskContext.get().partitionId(), 0
+        table, part, at = token_table(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                some = batch.slice(a, 2000)
-                rows = encoded(some, "text", cache, end_id)
-                n = np.array([len(x) // 4 for x in rows], np.int64)
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
-                ids = pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), ids)
+            for a, ids, offsets in encoded(batch, "text", table, end_id):
+                n = np.diff(offsets)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), lists],
+                    [batch.column("doc_id").slice(a, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(n), lists],
                     ["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
+                at += int(offsets[-1])
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
