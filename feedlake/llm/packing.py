@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import encoded, word_cache
+from .tokens import encoded, token_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -76,18 +76,26 @@ def cut_pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, text_c
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part, seen = word_cache(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        table, part, seen = token_table(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(batch, "text", cache, end_id), strict=True):
-                n = len(ids) // 4
-                for piece, start in enumerate(range(0, n, capacity)):
-                    length = min(capacity, n - start)
-                    rows.append((doc, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, int(seen[length])))
-                    seen[length] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+            for a, ids, offsets in encoded(batch, "text", table, end_id):
+                n = np.diff(offsets)
+                many = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                length = np.minimum(capacity, n[row] - start)
+                order = np.argsort(length, kind="stable")
+                kinds, first, times = np.unique(length[order], return_index=True, return_counts=True)
+                nth = np.empty(len(row), np.int64)
+                nth[order] = np.arange(len(row)) + np.repeat(seen[kinds] - first, times)
+                seen[kinds] += times
+                view = memoryview(ids).cast("B")
+                crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip((offsets[row] + start).tolist(), (offsets[row] + start + length).tolist(), strict=True)]
+                columns = [piece.astype(np.int32), start, length, np.array(crc, np.int64), np.full(len(row), part, np.int32), nth]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, len(n)).take(pa.array(row)), *map(pa.array, columns)], [x.split()[0] for x in PIECES.split(", ")]
+                )
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(tokenize, PIECES)
@@ -142,7 +150,7 @@ def pack(
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = pieces.join(firsts.drop("n"), ["part", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
+    ranked = pieces.join(firsts.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
