@@ -29,14 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/feedlake-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, **options: str) -> DataFrame:
+def task_count(spark: SparkSession, nbytes: int, per_task: int = 4 << 20) -> int:
+    """Tasks for a table made of ``nbytes`` of text: two a core, or as many as take ``per_task`` each."""
+    return max(2 * spark.sparkContext.defaultParallelism, nbytes // per_task)
+
+
+def materialize(df: DataFrame, parts: int | None = None, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage with files that every executor can read again, so a lost
-    executor costs a re-read and not a recomputation.
+    executor costs a re-read and not a recomputation. ``parts`` bounds the
+    number of files (and of the tasks that write them) from above, so that a
+    small table isn't scattered over all shuffle partitions.
     """
     path = shared_dir(df.sparkSession)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    narrow = df if parts is None else df.coalesce(parts)
+    narrow.write.options(**{"compression": "zstd"} | options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.feedlake_path = path
     return out
@@ -53,12 +61,13 @@ def discard(*tables: DataFrame) -> None:
 
 
 def text_buffers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column as UTF-8; null counts as empty."""
+    """(bytes, offsets) of a column of strings (as UTF-8) or byte strings; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    wide = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if wide == pa.large_binary() else "")
+    column = column.cast(wide)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
@@ -209,7 +218,7 @@ def sum_blocks(df: DataFrame, cells: int, block: int = 1 << 14, kind: type = np.
         )
 
     out = np.zeros(cells, wide)
-    for row in df.repartition(max(1, min(64, cells // block)), "block").mapInArrow(add, "block long, counts binary").toLocalIterator():
+    for row in df.repartition(max(1, min(64, cells // block)), "block").mapInArrow(add, "block long, counts binary").coalesce(16).toLocalIterator():
         at = int(row["block"]) * block
         out[at : at + block] += np.frombuffer(bytes(row["counts"]), wide)
     return out
@@ -234,7 +243,7 @@ def bit_filter(df: DataFrame, key: str, bits_per_row: int = 16, max_bits: int =
     cells = df.select(F.explode(F.array(*probes)).alias("c"))
     maps = cells.groupBy(F.floor(F.col("c") / 32768).alias("b")).agg(F.bitmap_construct_agg(F.pmod("c", F.lit(32768))).alias("m"))
     out = np.zeros(bits // 8, np.uint8)
-    for row in maps.toLocalIterator():
+    for row in maps.coalesce(16).toLocalIterator():
         out[row["b"] * 4096 : (row["b"] + 1) * 4096] = np.frombuffer(bytes(row["m"]), np.uint8)
     return out
 
