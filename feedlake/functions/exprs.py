@@ -24,6 +24,8 @@ SPAM = {
         + r"|\b(mdma|lsd|dmt|shrooms|onlyfans\.com)\b"
     ),
 }
+# Images, links, emphasis and strike-through, and what is left of each.
+MARKDOWN = ((r"!\[.*?\]\(.*?\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\*{1,2}(.+?)\*{1,2}", "$1"), (r"~~(.+?)~~", "$1"))
 BOTS = r"(?iU)\b(automoderator|remindmebot|sneakpeekbot|imgurlinkcheckerbot|repostsleuthbot|anti[_\-]?meme[_\-]?bot)\b"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " ", "&amp;": "&"}
 
@@ -62,9 +64,9 @@ def _unescape_any(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def html_unescape(text: Column) -> Column:
-    """FN-03/04: common entities in the JVM; a text with any other ``&`` goes, as it was, through Arrow."""
+    """FN-03/04: common entities in the JVM; a text with what may be another one goes, as it was, through Arrow."""
     common = "|".join(e[1:] for e in ENTITIES)
-    rare = text.rlike(rf"&(?!(?:{common}))")
+    rare = text.rlike(rf"&(?!(?:{common}))(?=[#A-Za-z])")
     plain = text
     for entity, char in ENTITIES.items():
         plain = F.replace(plain, F.lit(entity), F.lit(char))
@@ -83,9 +85,7 @@ def clean_text(text: Column) -> Column:
 def clean_markdown(text: Column) -> Column:
     """FN-04: unescape; drop images, keep link labels, drop emphasis; URLs stay."""
     t = html_unescape(F.coalesce(text, F.lit("")))
-    for pattern, into in (
-        (r"!\[.*?\]\(.*?\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\*{1,2}(.+?)\*{1,2}", "$1"), (r"~~(.+?)~~", "$1"),
-    ):
+    for pattern, into in MARKDOWN:
         t = F.regexp_replace(t, pattern, into)
     return _collapse(t)
 
@@ -135,8 +135,9 @@ def parent_or_fallback(raw: Column, fallback: Column) -> Column:
 
 
 def ms_to_iso(ms: Column) -> Column:
-    """FN-13."""
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    """FN-13: as UTC, to the second."""
+    utc = F.convert_timezone(None, F.lit("UTC"), F.timestamp_millis(ms).cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd HH:mm:ss 'UTC'")
 
 
 def json_text(value: Column, kind: str, empty: str | None = "{}") -> Column:

@@ -29,9 +29,13 @@ def trending_hashtags(df: DataFrame, duration: str = "1 hour", top: int = 10, ti
     """OP-38: the most used hashtags of each window, ties by name. On a stream, call it in foreachBatch."""
     tags = df.select(time_col, F.explode("hashtags").alias("hashtag")).filter(F.col("hashtag").isNotNull())
     counts = tags.groupBy(F.window(time_col, duration).alias("w"), "hashtag").agg(F.count("*").alias("count"))
-    flat = counts.select(F.col("w.start").alias("time_start"), F.col("w.end").alias("time_end"), "hashtag", "count")
+    return top_hashtags(counts.select(F.col("w.start").alias("time_start"), F.col("w.end").alias("time_end"), "hashtag", "count"), top)
+
+
+def top_hashtags(counts: DataFrame, top: int = 10) -> DataFrame:
+    """OP-38: the ``top`` of each window's counts, ranked."""
     order = Window.partitionBy("time_start").orderBy(F.col("count").desc(), "hashtag")
-    return flat.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
 def load_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:

@@ -17,15 +17,15 @@ _COUNTS = ("likes", "comments", "shares", "score", "video_views")
 def decode_messages(raw: DataFrame) -> DataFrame:
     """OP-06: (key, value, topic, offset, timestamp) to posts; rows without id or event time go.
 
-    ``extra`` is taken as JSON text; ``event_timestamp`` keeps milliseconds.
+    ``extra`` may be any JSON value and is taken as its text; ``event_timestamp`` keeps milliseconds.
     """
     text = F.col("value").cast("string")
     meta = {"key": ("kafka_key", "string"), "topic": ("kafka_topic", "string"), "offset": ("kafka_offset", "bigint"), "timestamp": ("kafka_timestamp", "timestamp")}
     kept = [F.col(c).cast(t).alias(n) for c, (n, t) in meta.items() if c in raw.columns]
-    post = raw.select(F.from_json(text, CANONICAL_POST).alias("post"), F.get_json_object(text, "$.extra").alias("x"), *kept)
-    post = post.select("post.*", "x", *[n for c, (n, _) in meta.items() if c in raw.columns])
+    schema = CANONICAL_POST.replace("extra string", "extra variant")
+    post = raw.select(F.from_json(text, schema).alias("post"), *kept).select("post.*", *[n for c, (n, _) in meta.items() if c in raw.columns])
     return (
-        post.withColumn("extra", F.col("x")).drop("x").filter(F.col("post_id").isNotNull() & F.col("event_time").isNotNull())
+        post.withColumn("extra", F.try_variant_get("extra", "$", "string")).filter(F.col("post_id").isNotNull() & F.col("event_time").isNotNull())
         .withColumn("event_timestamp", F.timestamp_millis("event_time"))
     )
 

@@ -28,10 +28,14 @@ def mark_processed(ledger: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def partition_presence(raw: DataFrame, date: str, sources: list[str]) -> DataFrame:
-    """OP-45: files and rows of one date for each expected source, zeros included."""
+    """OP-45: files and rows of one date for each expected source, zeros included; reads that day's partitions only, where the lake has such."""
     spark = raw.sparkSession
     expected = spark.createDataFrame([(s,) for s in sources], "source string")
-    day = raw.filter(F.to_date("event_time") == F.lit(date).cast("date"))
+    when = F.lit(date).cast("date")
+    parts = {"year": F.year(when), "month": F.month(when), "day": F.dayofmonth(when)}
+    day = raw.filter(F.to_date("event_time") == when)
+    if set(parts) <= set(raw.columns):
+        day = day.filter((F.col("year") == parts["year"]) & (F.col("month") == parts["month"]) & (F.col("day") == parts["day"]))
     found = day.groupBy(F.col("source").alias("s")).agg(F.countDistinct("_metadata.file_path").alias("files"), F.count("*").alias("rows"))
     joined = expected.join(found, F.col("source") == F.col("s"), "left").drop("s")
     return joined.na.fill(0, ["files", "rows"]).withColumn("has_data", F.col("rows") > 0)

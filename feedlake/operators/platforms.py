@@ -75,9 +75,9 @@ def instagram_posts(df: DataFrame) -> DataFrame:
         "id type shortCode caption hashtags url commentsCount likesCount videoViewCount videoDuration productType "
         "ownerId ownerUsername ownerFullName timestamp timestamp_raw latestComments"
     )
-    f = _fields(df, "raw", names)
     v = lambda n: F.col(f"f.{n}")
-    caption = E.clean_text(v("caption"))
+    f = _fields(df, "raw", names).withColumn("clean", E.clean_text(v("caption")))  # used three times, made once
+    caption = F.col("clean")
     listed = F.from_json(v("hashtags"), "array<string>")
     tags = F.when(v("hashtags").startswith("["), listed).otherwise(E.extract_hashtags(caption))
     likes, comments, views = (E.coalesce_int(v(n)) for n in ("likesCount", "commentsCount", "videoViewCount"))
@@ -118,10 +118,11 @@ def reddit_posts(df: DataFrame) -> DataFrame:
         "post_id title selftext url permalink subreddit flair_text is_video score upvotes upvote_ratio comment_count crossposts_count "
         "author author_fullname author_profile created_utc created_utc_raw comments"
     )
-    f = _fields(df, "raw", names)
     v = lambda n: F.col(f"f.{n}")
-    text = E.clean_markdown(F.trim(F.concat_ws(" ", E.truthy(v("title")), E.truthy(v("selftext")))))
-    content, likes = E.truncate_words(text, 2000), E.coalesce_int(v("upvotes"), v("score"))
+    written = F.trim(F.concat_ws(" ", E.truthy(v("title")), E.truthy(v("selftext"))))
+    f = _fields(df, "raw", names).withColumn("clean", E.clean_markdown(written))
+    f = f.withColumn("short", E.truncate_words(F.col("clean"), 2000))
+    text, content, likes = F.col("clean"), F.col("short"), E.coalesce_int(v("upvotes"), v("score"))
     post_id, time = E.truthy(v("post_id")), _reddit_time(v)
     return _post(
         f, "reddit", post_id=post_id, event_time=time, author_id=F.coalesce(E.truthy(v("author_fullname")), F.lit("unknown")),

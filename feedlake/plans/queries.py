@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions import exprs as E
 from feedlake.operators import aggregates, clean, dedup, incremental, outcome, platforms, threads
 from feedlake.session import scratch_dir
 from feedlake.sources import readers, sinks
+from feedlake.sources.schemas import COMMENT
 from feedlake.streaming import stream
 
 
@@ -17,16 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat posts made of events and documents: ids below 3,000 come twice, as re-scraped versions."""
+    """Flat posts made of events and whole documents: three ids of ten events come twice, as re-scraped versions."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = docs.count()
     e = table(spark, sf_dir, "events")
     source = F.when(F.col("event_type") == "view", "reddit").when(F.col("event_type") == "click", "instagram").when(F.col("event_type") == "error", "other").otherwise("facebook")
     tag = F.concat(F.lit("Tag"), F.col("event_id") % 17)
-    text = F.concat(F.substring("text", 1, 200), F.lit(" https://ex.am/p/"), F.col("event_id"), F.lit("  #"), tag)
+    text = F.concat("text", F.lit(" https://ex.am/p/"), F.col("event_id"), F.lit("  #"), tag)
     joined = e.join(docs, F.col("event_id") % n == F.col("doc_id"))
     return joined.select(
-        (F.col("event_id") % 7000).cast("string").alias("post_id"), source.alias("source"), F.col("ts").alias("event_time"), F.col("ts").alias("ingest_time"),
+        _post_number().cast("string").alias("post_id"), source.alias("source"), F.col("ts").alias("event_time"), F.col("ts").alias("ingest_time"),
         F.when(F.col("event_id") % 50 == 0, "   ").otherwise(text).alias("content"), F.array(tag).alias("hashtags"),
         F.floor(F.col("value") * 40).cast("long").alias("likes"), F.get_json_object("props", "$.k").cast("long").alias("comments"),
         F.floor("value").cast("long").alias("shares"),
@@ -34,12 +35,16 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _post_number() -> Column:
+    return F.col("event_id") - F.when(F.col("event_id") % 10 >= 7, 7).otherwise(0)
+
+
 POSTS_SQL = """posts AS (
-    SELECT CAST(event_id % 7000 AS VARCHAR) AS post_id,
+    SELECT CAST(event_id - CASE WHEN event_id % 10 >= 7 THEN 7 ELSE 0 END AS VARCHAR) AS post_id,
            CASE event_type WHEN 'view' THEN 'reddit' WHEN 'click' THEN 'instagram' WHEN 'error' THEN 'other' ELSE 'facebook' END AS source,
            ts AS event_time, ts AS ingest_time,
            CASE WHEN event_id % 50 = 0 THEN '   '
-                ELSE substr(text, 1, 200) || ' https://ex.am/p/' || event_id || '  #Tag' || (event_id % 17) END AS content,
+                ELSE text || ' https://ex.am/p/' || event_id || '  #Tag' || (event_id % 17) END AS content,
            ['Tag' || (event_id % 17)] AS hashtags, CAST(floor(value * 40) AS BIGINT) AS likes,
            CAST(json_extract_string(props, '$.k') AS BIGINT) AS comments, CAST(floor(value) AS BIGINT) AS shares,
            CASE WHEN event_type = 'click' THEN CAST(floor(value * 1000) AS BIGINT) ELSE 0 END AS video_views, event_id
@@ -55,6 +60,9 @@ tiered AS (SELECT *, CASE WHEN weighted_engagement >= CASE source WHEN 'reddit'
                           WHEN weighted_engagement >= CASE source WHEN 'reddit' THEN 80 WHEN 'instagram' THEN 100 ELSE 20 END THEN 'medium'
                           ELSE 'low' END AS engagement_tier FROM weighed)"""
 
+_CALENDAR = """CAST(event_time::DATE AS VARCHAR) AS event_date, year(event_time)::INT AS event_year, month(event_time)::INT AS event_month,
+       hour(event_time)::INT AS event_hour, (dayofweek(event_time) + 1)::INT AS event_weekday"""
+
 Q: dict = {}
 SQL: dict[str, str] = {}
 
@@ -104,8 +112,7 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.normalize_text(posts(spark, sf_dir)).select("event_id", "content_clean", F.get("hashtags", F.lit(0)).alias("hashtag"))
 
 
-@query(f"""WITH {CLEAN_SQL} SELECT event_id, CAST(event_time::DATE AS VARCHAR) AS event_date, year(event_time)::INT AS event_year, month(event_time)::INT AS event_month,
-       hour(event_time)::INT AS event_hour, (dayofweek(event_time) + 1)::INT AS event_weekday FROM posts""")
+@query(f"""WITH {CLEAN_SQL} SELECT event_id, {_CALENDAR} FROM posts""")
 def calendar_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-30."""
     df = clean.derive_columns(clean.normalize_text(posts(spark, sf_dir)))
@@ -136,10 +143,21 @@ def engagement_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean(posts(spark, sf_dir)).select("event_id", "source", "engagement_tier")
 
 
-@query(f"WITH {CLEAN_SQL} SELECT post_id AS _id, source, content_clean AS content, weighted_engagement, engagement_tier FROM tiered")
+@query(f"""WITH {CLEAN_SQL} SELECT post_id AS _id, post_id, source, event_time, {_CALENDAR}, '' AS author_id, '' AS author_name, content_clean AS content, '' AS url,
+       lower(hashtags[1]) AS hashtags, 1 AS hashtag_count, 0 AS comments_list, likes, comments, shares, 0::BIGINT AS score, video_views,
+       likes + comments + shares AS total_engagement, weighted_engagement, engagement_tier, '1.0' AS etl_version, true AS processed_time FROM tiered""")
 def serving_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-12."""
-    return sinks.serving_view(clean.clean(posts(spark, sf_dir))).select("_id", "source", "content", "weighted_engagement", "engagement_tier")
+    """OP-12: all served columns; lists as text or length, the time of processing as whether there is one."""
+    flat = posts(spark, sf_dir).withColumns({"score": F.lit(0).cast("long"), "comments_list": F.lit("[]"), **{c: F.lit("") for c in ("author_id", "author_name", "url")}})
+    shown = {"event_date": F.col("event_date").cast("string"), "hashtags": F.concat_ws(",", "hashtags"), "comments_list": F.size("comments_list"), "processed_time": F.col("processed_time").isNotNull()}
+    return sinks.serving_view(clean.clean(flat)).withColumns(shown)
+
+
+@query(f"WITH {CLEAN_SQL} SELECT event_id, '1.0' AS etl_version, true AS processed FROM tiered")
+def lineage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-34: version, and a time of processing that is not in the future."""
+    df = clean.clean(posts(spark, sf_dir))
+    return df.select("event_id", "etl_version", (F.col("processed_time") <= F.current_timestamp()).alias("processed"))
 
 
 @query(f"""WITH {CLEAN_SQL}, n AS (SELECT (SELECT count(*) FROM posts) AS raw_count, (SELECT count(*) FROM kept) AS clean_count)
@@ -242,30 +260,82 @@ def comment_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LATIN = r"regexp_replace(text, '[^\p{L}\p{N}\p{M}_]', '', 'g')"
 
 
-@query(rf"""WITH f AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1)
-       SELECT CAST(conv_id AS VARCHAR) AS post_id, count(*)::INT AS comments FROM f WHERE length({_LATIN}) >= 4
-       AND NOT regexp_matches(text, '(?i)\b(mdma|lsd|dmt|shrooms)\b') GROUP BY ALL""")
+_WORDS = r"trim(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '\s+', ' ', 'g'))"
+
+
+def _short(text: str, limit: int) -> str:
+    return rf"CASE WHEN length({text}) > {limit} THEN regexp_replace(substr({text}, 1, {limit}), '(?s)^(.*) .*$', '\1') ELSE {text} END"
+
+
+@query(rf"""WITH f AS (SELECT *, {_WORDS} AS clean FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1)
+       SELECT 'facebook_' || conv_id AS post_id, role AS comment_id, (SELECT c.role FROM conversations c WHERE c.conv_id = f.conv_id AND c.turn = 0 AND f.turn > 0) AS parent_id,
+              'unknown' AS author_id, 'unknown' AS author, {_short('clean', 2000)} AS text, 0::BIGINT AS likes, (1700000000 + turn) * 1000 AS created_at,
+              CASE WHEN turn = 0 THEN 0 ELSE 1 END AS depth, length(clean) > 2000 AS is_truncated
+       FROM f WHERE length({_LATIN}) >= 4 AND NOT regexp_matches(clean, '(?i)\b(mdma|lsd|dmt|shrooms)\b')""")
 def comments_facebook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-20, OP-25."""
+    """OP-20."""
     made = platforms.facebook_comments(conversation_nodes(spark, sf_dir, text="content", time="createdAt"))
-    posts_ = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("post_id")).distinct()
-    nested = threads.nest_comments(posts_.withColumn("comments", F.lit(None)), made)
-    return nested.filter("comments_normalized_count > 0").select("post_id", F.col("comments_normalized_count").alias("comments"))
+    truncated = F.get_json_object("comment.extra", "$.is_truncated").cast("boolean").alias("is_truncated")
+    return made.select(*[f"comment.{c}" for c in "post_id comment_id parent_id author_id author text likes created_at depth".split()], truncated)
+
 
+@query("SELECT CAST(conv_id AS VARCHAR) AS post_id, count(DISTINCT role)::INT AS comments, string_agg(DISTINCT role, ',' ORDER BY role) AS ids FROM conversations GROUP BY ALL")
+def comment_renest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-25: comments back in their posts."""
+    nodes = threads.first_comments(_nodes(spark, sf_dir))
+    comment = F.struct(F.col("key").alias("comment_id"), F.col("post").alias("post_id"), F.lit(None).cast("string").alias("parent_id"), *[F.lit("").alias(c) for c in ("author_id", "author", "text")],
+                       F.lit(0).cast("long").alias("likes"), F.lit(0).cast("long").alias("created_at"), "depth", F.lit("{}").alias("extra"))
+    roots = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("post_id")).distinct().withColumn("comments", F.lit(None))
+    nested = threads.nest_comments(roots, nodes.select("post", "path", comment.cast(COMMENT).alias("comment")))
+    ids = F.array_join(F.array_sort(F.transform("comments", lambda c: c["comment_id"])), ",")
+    return nested.select("post_id", F.col("comments_normalized_count").alias("comments"), ids.alias("ids"))
 
-@query(rf"""WITH f AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1)
+
+_INSTAGRAM_SQL = rf"""WITH f AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1)
        SELECT 'instagram_' || conv_id AS post_id, role AS comment_id, (1700000000 + turn) * 1000 AS created_at, CASE WHEN turn = 0 THEN 0 ELSE 1 END AS depth
-       FROM f WHERE length({_LATIN}) >= 4 AND NOT regexp_matches(text, '(?i)\+\d[\d\s\-\(\)]{{7,}}|\b(mdma|lsd|dmt|shrooms|coke)\b|https?://|\b(telegram|whatsapp|snapchat|wickr)\b[.:@\s]*[\w./]+')""")
+       FROM f WHERE length({_LATIN}) >= 4 AND NOT regexp_matches(text, '(?i)\+\d[\d\s\-\(\)]{{7,}}|\b(mdma|lsd|dmt|shrooms|coke)\b|https?://|\b(telegram|whatsapp|snapchat|wickr)\b[.:@\s]*[\w./]+')"""
+
+
+@query(_INSTAGRAM_SQL)
 def comments_instagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-21, OP-26."""
+    """OP-21."""
     made = platforms.instagram_comments(conversation_nodes(spark, sf_dir))
     return made.select("comment.post_id", "comment.comment_id", "comment.created_at", "comment.depth")
 
 
-@query()
+@query(_INSTAGRAM_SQL)
+def comment_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-26: posts with their comments as JSON text, and one row per comment again."""
+    made = platforms.instagram_comments(conversation_nodes(spark, sf_dir))
+    roots = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("post_id")).distinct().withColumn("comments", F.lit(None))
+    flat = threads.nest_comments(roots, made).select("post_id", F.to_json("comments").alias("comments_list"))
+    return threads.explode_comments(flat).select("post_id", "comment_id", "created_at", "depth")
+
+
+def _plain_sql(text: str) -> str:
+    for pattern, into in E.MARKDOWN:
+        text = f"regexp_replace({text}, '{pattern}', '{into.replace('$', chr(92))}', 'g')"
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+#: Fixed value: the noise pattern of Reddit bodies.
+_BODY_SPAM = r"(?i)https?://|\b(t\.me|telegram\.me)/\S+|\+\d[\d\s\-\(\)]{7,}|\b(mdma|lsd|dmt|shrooms|onlyfans\.com)\b"
+
+
+@query(rf"""WITH n AS (SELECT conv_id // 20 AS post, 'c' || conv_id || '-' || turn AS id, turn, text, row_number() OVER w - 1 AS pos, lag('c' || conv_id || '-' || turn) OVER w AS above
+                      FROM conversations WINDOW w AS (PARTITION BY conv_id // 20 ORDER BY conv_id, turn)),
+       b AS (SELECT *, CASE WHEN turn = 7 THEN '[deleted]' WHEN turn = 5 THEN '![i](u)' ELSE text END AS body FROM n),
+       j AS (SELECT *, bool_or(turn NOT IN (5, 7) AND regexp_matches(body, '{_BODY_SPAM}')) OVER (PARTITION BY post ORDER BY pos) AS gone, {_plain_sql('body')} AS clean FROM b)
+       SELECT CAST(post AS VARCHAR) AS post, id AS comment_id, CASE WHEN pos = 0 THEN 't3_' || post ELSE 't1_' || above END AS parent_id, pos::INT AS depth, {_short('clean', 1000)} AS text
+       FROM j WHERE NOT gone AND pos <= 20 AND turn NOT IN (5, 7) AND clean <> ''""")
 def comments_reddit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-22, OP-24."""
-    nodes = conversation_nodes(spark, sf_dir, id="comment_id", text="body", time="created_utc_raw")
+    """OP-22, OP-24: the turns of twenty conversations as one chain of replies, some deleted or media alone; spam and depth 21 end it."""
+    c, by = table(spark, sf_dir, "conversations"), Window.partitionBy("post").orderBy("conv_id", "turn")
+    c = c.withColumn("post", F.floor(F.col("conv_id") / 20).cast("string")).withColumn("pos", F.row_number().over(by) - 1)
+    body = F.when(F.col("turn") == 7, "[deleted]").when(F.col("turn") == 5, "![i](u)").otherwise(F.col("text"))
+    node = F.struct(F.format_string("c%d-%d", "conv_id", "turn").alias("comment_id"), body.alias("body"), (F.lit(1_700_000_000) + F.col("pos")).alias("created_utc_raw"))
+    zeros = lambda n: F.array_repeat(F.lit(0), n)
+    nodes = c.select("post", zeros(F.col("pos") + 1).alias("path"), F.col("pos").alias("depth"), zeros(F.col("pos")).alias("parent_path"), F.to_json(node).alias("node"))
     return platforms.reddit_comments(nodes).select("post", "comment.comment_id", "comment.parent_id", "comment.depth", "comment.text")
 
 
@@ -287,10 +357,7 @@ def _canonical_sql(source: str, content: str, tags: str, shares: str, score: str
 _STRIPPED = r"trim(regexp_replace(regexp_replace(content, 'https?://\S+', '', 'g'), '\s+', ' ', 'g'))"
 
 
-_PLAIN = "content"
-for _p, _r in ((r"!\[.*?\]\(.*?\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\*{1,2}(.+?)\*{1,2}", r"\1"), (r"~~(.+?)~~", r"\1"), (r"\s+", " ")):
-    _PLAIN = f"regexp_replace({_PLAIN}, '{_p}', '{_r}', 'g')"
-_PLAIN = f"trim({_PLAIN})"
+_PLAIN = _plain_sql("content")
 
 
 @query(_canonical_sql("facebook", _STRIPPED, "''", "shares", "0::BIGINT", "0::BIGINT"))
@@ -300,16 +367,16 @@ def normalize_facebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(platforms.normalize_posts(raw, "facebook", comments=False))
 
 
-@query(_canonical_sql("instagram", _STRIPPED, "lower(hashtags[1])", "0::BIGINT", "likes + 2 * comments + CAST(trunc(ln(1 + video_views) * 10) AS BIGINT)", "video_views"))
+@query(_canonical_sql("instagram", _short(_STRIPPED, 2000), "lower(hashtags[1])", "0::BIGINT", "likes + 2 * comments + CAST(trunc(ln(1 + video_views) * 10) AS BIGINT)", "video_views"))
 def normalize_instagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-15."""
     raw = _raw(spark, sf_dir, id="post_id", timestamp_raw="seconds", caption="content", hashtags="hashtags", likesCount="likes", commentsCount="comments", videoViewCount="video_views")
     return _shown(platforms.normalize_posts(raw, "instagram", comments=False))
 
 
-@query(_canonical_sql("reddit", _PLAIN, "CASE WHEN event_id % 50 = 0 THEN '' ELSE lower(hashtags[1]) END", "shares", "likes", "0::BIGINT"))
+@query(_canonical_sql("reddit", _short(_PLAIN, 2000), f"lower(array_to_string(regexp_extract_all({_short(_PLAIN, 2000)}, '#([\\w]+)', 1), ','))", "shares", "likes", "0::BIGINT"))
 def normalize_reddit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-16, OP-17."""
+    """OP-16."""
     raw = _raw(spark, sf_dir, post_id="post_id", created_utc_raw="seconds", title="content", upvotes="likes", comment_count="comments", crossposts_count="shares")
     return _shown(platforms.normalize_posts(raw, "reddit", comments=False))
 
@@ -428,13 +495,72 @@ def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.coalesce("reject_reason", F.lit("good")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, max(event_id) AS event_id, count(*) AS files FROM events GROUP BY ALL")
+@query("""WITH f AS (SELECT user_id, event_id % 3 AS k, sum(length(event_type) + 1) AS size FROM events GROUP BY ALL)
+       SELECT user_id, max(size)::BIGINT AS length, count(*) AS files, CASE WHEN count(*) > 1 THEN 'cleaned' ELSE 'skipped' END AS status FROM f GROUP BY ALL""")
 def largest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-39 on a listing: a folder per user, a file per event, of its id's size."""
+    """OP-39: a folder per user with up to three files, as found on disk."""
+    path, e = scratch_dir(spark, "files"), table(spark, sf_dir, "events")
+    for k in range(3):
+        e.filter(F.col("event_id") % 3 == k).select("user_id", F.col("event_type").alias("value")).repartition("user_id").write.mode("append").partitionBy("user_id").text(path)
+    best = dedup.largest_file(readers.list_files(spark, path, "part-*"))
+    return best.select(F.regexp_extract("folder", r"user_id=(\d+)$", 1).cast("long").alias("user_id"), "length", "files", "status")
+
+
+def _folders(spark: SparkSession, sf_dir: str) -> str:
+    """Facebook posts, a folder each: the first turns of the conversations."""
+    path, first = scratch_dir(spark, "folders"), table(spark, sf_dir, "conversations").filter("turn = 0")
+    raw = F.to_json(F.struct(F.col("conv_id").cast("string").alias("post_id"), (F.lit(1_700_000_000) + F.col("conv_id")).alias("createdAt"), F.col("text").alias("content"), F.length("text").alias("likes")))
+    value = F.when(F.col("conv_id") % 9 == 0, "").when(F.col("conv_id") % 9 == 1, F.concat(F.lit("\ufeff"), raw)).otherwise(raw)
+    first.select("conv_id", value.alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(path)
+    return path
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS post_id, 1700000000 + conv_id AS created, 'conv_id=' || conv_id AS folder FROM conversations WHERE turn = 0 AND conv_id % 9 <> 0")
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-02: a document per folder; one in nine is blank, one has a byte-order mark."""
+    found = readers.read_post_folders(spark, _folders(spark, sf_dir), "part-*").filter("reject_reason IS NULL")
+    member = lambda n: F.get_json_object("raw", f"$.{n}")
+    return found.select(member("post_id").alias("post_id"), member("createdAt").cast("long").alias("created"), F.regexp_extract("source_file", r"(conv_id=\d+)/[^/]*$", 1).alias("folder"))
+
+
+@query(f"""WITH {POSTS_SQL} SELECT CAST(event_id AS VARCHAR) AS post_id, source, 'social-raw-' || CASE WHEN event_id % 3 = 0 THEN 'realtime' ELSE 'batch' END AS topic, likes
+       FROM posts WHERE source IN ('reddit', 'instagram')
+       UNION ALL SELECT CAST(conv_id AS VARCHAR), 'facebook', 'social-raw-batch', length(text) FROM conversations WHERE turn = 0 AND conv_id % 9 <> 0""")
+def multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-03: three platforms, batch and realtime sets, read as one table of canonical posts."""
+    p, paths = posts(spark, sf_dir).withColumn("seconds", F.unix_timestamp(F.col("event_time").cast("timestamp"))), {}
+    names = {"reddit": {"post_id": "event_id", "created_utc_raw": "seconds", "title": "content", "upvotes": "likes"}, "instagram": {"id": "event_id", "timestamp_raw": "seconds", "caption": "content", "likesCount": "likes"}}
+    for platform, members in names.items():
+        raw = F.to_json(F.struct(*[F.col(c).alias(n) for n, c in members.items()])).alias("value")
+        paths[platform] = {}
+        for kind, some in (("batch", "event_id % 3 <> 0"), ("realtime", "event_id % 3 = 0")):
+            paths[platform][kind] = scratch_dir(spark, f"{platform}-{kind}")
+            p.filter(F.col("source") == platform).filter(some).select(raw).write.text(paths[platform][kind])
+    paths["facebook"] = {"batch": _folders(spark, sf_dir)}
+    return readers.read_sources(spark, paths, name="part-*").select("post_id", "source", "topic", F.col("engagement.likes").alias("likes"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN floor(value)::BIGINT ELSE -1 END AS karma, event_id % 3 <> 0 AND event_id % 2 = 0 AS is_mod,
+       event_id % 3 <> 0 AS present FROM events""")
+def author_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-17: profiles of raw posts, a third of them empty."""
     e = table(spark, sf_dir, "events")
-    files = e.select(F.concat(F.lit("/in/"), F.col("user_id"), F.lit("/"), F.col("event_id"), F.lit(".json")).alias("path"), (F.col("event_id") + 1).alias("length"))
-    best = dedup.largest_file(files)
-    return best.select(F.element_at(F.split("folder", "/"), -1).cast("long").alias("user_id"), (F.col("length") - 1).alias("event_id"), "files")
+    full = F.to_json(F.struct(F.floor("value").cast("long").alias("total_karma"), (F.col("event_id") % 2 == 0).alias("is_mod")))
+    made = platforms.author_profile(F.when(F.col("event_id") % 3 == 0, "{}").otherwise(full))
+    karma, moderates = F.coalesce("p.total_karma", F.lit(-1)).alias("karma"), F.coalesce("p.is_mod", F.lit(False)).alias("is_mod")
+    return e.select("event_id", made.alias("p")).select("event_id", karma, moderates, F.col("p").isNotNull().alias("present"))
+
+
+@query(f"WITH {POSTS_SQL} SELECT DISTINCT source, CAST(event_time::DATE AS VARCHAR) AS date, true AS stamped FROM posts")
+def ledger_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-43, OP-44: what is pending gets done and marked; the next run finds nothing (any rest would come twice)."""
+    path = scratch_dir(spark, "ledger")
+    pairs = posts(spark, sf_dir).select("source", F.to_date("event_time").alias("date")).distinct()
+    old = pairs.filter(F.dayofmonth("date") % 3 == 0).withColumn("processed_at", F.lit("2000-01-01").cast("timestamp"))
+    incremental.mark_processed(old, incremental.pending_partitions(pairs, old)).write.parquet(path)
+    ledger = spark.read.parquet(path)
+    rest = incremental.pending_partitions(pairs, ledger).withColumn("processed_at", F.lit(None).cast("timestamp"))
+    return ledger.unionByName(rest).select("source", F.col("date").cast("string").alias("date"), F.col("processed_at").isNotNull().alias("stamped"))
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,13 +582,74 @@ def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.read.parquet(f"{path}/out"))
 
 
-@query("SELECT min(event_id) > -1 AS some, count(*) AS n FROM events")
+_PARTS_SQL = "p1 AS (SELECT * FROM ev WHERE event_id % 10 <> 0), p2 AS (SELECT * FROM ev WHERE event_id % 10 = 0)"
+
+
+@query(f"""WITH {_EVENT_POSTS}, {_PARTS_SQL}, mark AS (SELECT (SELECT max(event_time) FROM p1) - INTERVAL 5 MINUTE AS first, (SELECT max(event_time) FROM ev) - INTERVAL 5 MINUTE AS last),
+       r AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 WHERE time_bucket(INTERVAL 10 MINUTE, event_time) + INTERVAL 10 MINUTE > (SELECT first FROM mark))
+       SELECT time_bucket(INTERVAL 10 MINUTE, event_time) AS time_start, source, count(*) AS num_posts, max(likes) AS max_likes FROM r
+       WHERE time_bucket(INTERVAL 10 MINUTE, event_time) + INTERVAL 10 MINUTE <= (SELECT last FROM mark) GROUP BY ALL""")
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-48 to OP-50, append mode: a tenth of the events arrives after the others; what is behind the watermark is dropped."""
+    path, e = scratch_dir(spark, "late"), table(spark, sf_dir, "events")
+    for some in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+        e.filter(some).write.mode("append").parquet(f"{path}/in")
+        arriving = event_posts(spark.readStream.schema(e.schema).parquet(f"{path}/in"))
+        windows = stream.window_stream(stream.with_watermark(arriving, delay="5 minutes"))
+        sinks.parquet_sink(windows, f"{path}/out", f"{path}/state", once=True).awaitTermination()
+    return _rounded(spark.read.parquet(f"{path}/out")).select("time_start", "source", "num_posts", "max_likes")
+
+
+@query("SELECT event_type AS source, count(*) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY ALL")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-51, OP-56: by event id, each arrives once."""
-    path = scratch_dir(spark, "dedup")
-    df = stream.with_watermark(event_posts(_event_stream(spark, sf_dir)))
-    sinks.parquet_sink(dedup.first_arrival(df, ["event_id"]), f"{path}/out", f"{path}/state", once=True).awaitTermination()
-    return spark.read.parquet(f"{path}/out").agg((F.min("event_id") > -1).alias("some"), F.count("*").alias("n"))
+    """OP-51, OP-56: a seventh of the events is delivered twice at once, the latest ones once more in a later run."""
+    path, e = scratch_dir(spark, "dedup"), table(spark, sf_dir, "events")
+    last = e.agg(F.max("ts")).first()[0]
+    again = e.filter(F.col("ts") > F.lit(last) - F.expr("INTERVAL 5 MINUTES"))
+    for part in (e.unionByName(e.filter("event_id % 7 = 0")), again):
+        part.write.mode("append").parquet(f"{path}/in")
+        arriving = stream.with_watermark(event_posts(spark.readStream.schema(e.schema).parquet(f"{path}/in")), delay="10 minutes")
+        sinks.parquet_sink(dedup.first_arrival(arriving, ["event_id"]), f"{path}/out", f"{path}/state", once=True).awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
+
+
+@query("""WITH t AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS time_start, 'Tag' || (user_id % 17) AS hashtag FROM events
+                  WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events)),
+       c AS (SELECT time_start, hashtag, count(*) AS count FROM t GROUP BY ALL)
+       SELECT time_start, hashtag, count, (row_number() OVER (PARTITION BY time_start ORDER BY count DESC, hashtag))::INT AS rank FROM c QUALIFY rank <= 10""")
+def stream_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-38 on a stream: windows that have closed."""
+    path = scratch_dir(spark, "trending")
+    tags = _event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("event_time"), F.array(F.concat(F.lit("Tag"), F.col("user_id") % 17)).alias("hashtags"))
+    stream.trending_stream(stream.with_watermark(tags), f"{path}/out", f"{path}/state").awaitTermination()
+    return _rounded(spark.read.parquet(f"{path}/out")).select("time_start", "hashtag", "count", "rank")
+
+
+@query("SELECT count(*) AS total_rows, true AS batches, true AS rate FROM events")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-53: totals of a query that has ended."""
+    path, metrics = scratch_dir(spark, "metrics"), stream.StreamMetrics()
+    spark.streams.addListener(metrics)
+    sinks.parquet_sink(event_posts(_event_stream(spark, sf_dir)), f"{path}/out", f"{path}/state", once=True).awaitTermination()
+    metrics.ended.wait(30)
+    spark.streams.removeListener(metrics)
+    t = metrics.table(spark)
+    return t.select("total_rows", (F.col("batches") > 0).alias("batches"), (F.col("rows_per_second") > 0).alias("rate"))
+
+
+@query(f"""WITH {CLEAN_SQL.replace("FROM posts QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY ingest_time DESC) = 1", "FROM posts")}
+       SELECT 'all' AS sink, source, count(*) AS n, sum(weighted_engagement)::BIGINT AS weighted FROM tiered GROUP BY ALL
+       UNION ALL SELECT 'viral', source, count(*), sum(weighted_engagement)::BIGINT FROM tiered WHERE engagement_tier = 'viral' GROUP BY ALL""")
+def stream_viral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-58 to OP-60: cleaned posts to a table, viral ones to another and counts to the console, each with its own checkpoint."""
+    path = scratch_dir(spark, "viral")
+    flat = posts(spark, sf_dir).withColumns({"post_id": F.col("event_id").cast("string"), "event_time": F.col("event_time").cast("timestamp"), "ingest_time": F.col("ingest_time").cast("timestamp")})
+    flat.write.parquet(f"{path}/in")
+    cleaned = stream.process_stream(spark.readStream.schema(flat.schema).parquet(f"{path}/in"))
+    sink = sinks.MultiSink(f"{path}/state").add_parquet(cleaned, f"{path}/all", once=True).add_viral(cleaned, f"{path}/viral", once=True)
+    sink.add_console(cleaned.select("source").filter("source = 'none'"), once=True).wait()
+    parts = [spark.read.parquet(f"{path}/{name}").groupBy(F.lit(name).alias("sink"), "source").agg(F.count("*").alias("n"), F.sum("weighted_engagement").alias("weighted")) for name in ("all", "viral")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("SELECT event_type AS source, hour(ts)::INT AS hour, count(*) AS n FROM events GROUP BY ALL")
@@ -475,7 +662,7 @@ def stream_land(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type = 'error' AS error, count(*) AS n FROM events GROUP BY ALL")
 def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-59, OP-60: one read, two tables."""
+    """OP-59: one read, two tables."""
     path = scratch_dir(spark, "fan")
     sinks.fan_out(event_posts(_event_stream(spark, sf_dir)), {"source = 'error'": f"{path}/error", "source <> 'error'": f"{path}/rest"}, f"{path}/state").awaitTermination()
     parts = [spark.read.parquet(f"{path}/{name}").agg(F.lit(name == "error").alias("error"), F.count("*").alias("n")) for name in ("error", "rest")]
@@ -500,5 +687,29 @@ def phone_spam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", E.is_spam(F.col("text"), "reddit").alias("spam"))
 
 
+@query(r"""WITH t AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '@u' || user_id || ' @' || event_type || ' ' WHEN 1 THEN '@u' || user_id || ' hello' ELSE event_type END AS text FROM events)
+       SELECT event_id, regexp_full_match(text, '(@\w+\s*)+') AS only FROM t""")
+def mention_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-10."""
+    user = F.concat(F.lit("@u"), F.col("user_id"))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(user, F.lit(" @"), "event_type", F.lit(" "))).when(F.col("event_id") % 3 == 1, F.concat(user, F.lit(" hello"))).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", E.is_mention_only(text).alias("only"))
+
+
+@query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '0' WHEN 1 THEN ' ' WHEN 2 THEN ' t1_' || user_id WHEN 3 THEN 't9_' || user_id END AS raw FROM events)
+       SELECT event_id, CASE WHEN trim(raw) NOT IN ('', '0') THEN trim(raw) END AS instagram, CASE WHEN regexp_full_match(trim(raw), 't[1-6]_\\w+') THEN trim(raw) ELSE 't3_' || event_id END AS reddit FROM t""")
+def parent_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-12."""
+    k, user = F.col("event_id") % 5, F.col("user_id").cast("string")
+    raw = F.when(k == 0, "0").when(k == 1, " ").when(k == 2, F.concat(F.lit(" t1_"), user)).when(k == 3, F.concat(F.lit("t9_"), user))
+    return table(spark, sf_dir, "events").select("event_id", E.parent_or_null(raw).alias("instagram"), E.parent_or_fallback(raw, F.concat(F.lit("t3_"), "event_id")).alias("reddit"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S UTC') AS shown FROM events")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-13."""
+    return table(spark, sf_dir, "events").select("event_id", E.ms_to_iso(F.unix_millis(F.col("ts").cast("timestamp"))).alias("shown"))
+
+
 QUERIES = dict(Q)
 ORACLE_SQL = dict(SQL)

@@ -23,9 +23,9 @@ FLAT_POST = (
     "comments_list string, shares bigint, score bigint, video_views bigint, extra string"
 )
 
-#: Columns of the served document; those absent are left out.
+#: Columns of the served document; those absent are left out.
 SERVED = (
-    "post_id source event_time ingest_time author_id author_name content_clean url hashtags likes comments comments_list "
-    "shares score video_views extra event_date event_hour event_weekday content_len hashtag_count total_engagement "
-    "weighted_engagement engagement_tier processed_time"
+    "post_id source event_time event_date event_year event_month event_hour event_weekday author_id author_name "
+    "content_clean url hashtags hashtag_count comments_list likes comments shares score video_views "
+    "total_engagement weighted_engagement engagement_tier etl_version processed_time"
 ).split()

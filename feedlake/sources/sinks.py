@@ -94,9 +94,11 @@ def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str, key_col
     return kafka_rows(df, key_col).writeStream.format("kafka").options(**options).start()
 
 
-def console_sink(df: DataFrame, rows: int = 20, truncate: bool = False, mode: str = "append") -> StreamingQuery:
+def console_sink(df: DataFrame, rows: int = 20, truncate: bool = False, mode: str = "append", checkpoint: str | None = None, once: bool = False) -> StreamingQuery:
     """OP-58."""
-    return df.writeStream.format("console").outputMode(mode).option("numRows", rows).option("truncate", truncate).start()
+    writer = df.writeStream.format("console").outputMode(mode).option("numRows", rows).option("truncate", truncate)
+    writer = writer.option("checkpointLocation", checkpoint) if checkpoint else writer
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 class MultiSink:
@@ -113,7 +115,7 @@ class MultiSink:
         return self
 
     def add_console(self, df: DataFrame, **options) -> MultiSink:
-        self.queries.append(console_sink(df, **options))
+        self.queries.append(console_sink(df, checkpoint=self._next("console"), **options))
         return self
 
     def add_kafka(self, df: DataFrame, servers: str, topic: str, key_col: str | None = None) -> MultiSink:
@@ -124,18 +126,26 @@ class MultiSink:
         """OP-60: viral posts alone."""
         return self.add_parquet(df.filter(F.col("engagement_tier") == "viral"), path, **options)
 
+    def wait(self) -> None:
+        """Until every query has ended, as those started with ``once`` do."""
+        for query in self.queries:
+            query.awaitTermination()
+
     def stop_all(self) -> None:
         for query in self.queries:
             query.stop()
 
 
 def fan_out(df: DataFrame, paths: dict[str, str], checkpoint: str) -> StreamingQuery:
-    """OP-59 with one read of the source: ``paths`` maps a SQL condition to the Parquet table its rows go to."""
+    """OP-59 with one read of the source: ``paths`` maps a SQL condition to the Parquet table its rows go to.
+
+    A batch has a partition of its own (``batch_id``), which a retry replaces.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         for condition, path in paths.items():
-            batch.filter(condition).write.mode("append").parquet(path)
+            batch.filter(condition).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
         batch.unpersist()
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
