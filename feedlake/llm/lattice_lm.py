@@ -343,7 +343,7 @@ def lattice_scores(
     bound = (F.col("c_all") > 1) & (F.octet_length("word") <= _LONG)
     steps = weighed.filter(bound).groupBy("c_all").agg(F.count("*").alias("n"))
     least, many = None, 0
-    for row in steps.orderBy(F.col("c_all").desc()).toLocalIterator():
+    for row in sorted(steps.collect(), reverse=True):  # far fewer rows than words
         many += row["n"]
         if many > frequent:
             break
