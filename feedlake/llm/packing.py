@@ -122,7 +122,7 @@ def pack(
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = materialize(by_part.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))))
     histogram = firsts.groupBy("length").agg(F.sum("n").alias("n"))
-    counts = {int(r["length"]): int(r["n"]) for r in histogram.toLocalIterator()}
+    counts = {int(r["length"]): int(r["n"]) for r in histogram.collect()}
 
     used, keys, shape = Counter(), [], []
     for first, times, items in plan_sequences(counts, capacity):
