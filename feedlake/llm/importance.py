@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import class_spans, emit_blocks, materialize, mix, slices, span_hashes, sum_blocks, text_buffers
+from .common import class_spans, emit_blocks, join, materialize, mix, slices, span_hashes, sum_blocks, text_buffers
 from .idsets import row_key, without
 
 BITS = 20
@@ -25,45 +25,26 @@ _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 def _features(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text index) of the distinct unigrams and bigrams of words and punctuation runs.
-
-    A feature counts once a text, so that a line repeated in one text has no more say than a line;
-    three more features stand for how varied a text of its length is and how often tokens repeat at once.
-    """
+    """(bucket, text index) of every unigram and bigram of words and punctuation runs; no bigram crosses texts."""
     starts, ends, first = class_spans(data, bounds, _KIND)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = span_hashes(data, starts, ends)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
-    pair = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[doc[:-1] == doc[1:]]
-    shift = np.uint64(64 - bits)
-    both = np.concatenate([doc, doc[:-1][doc[:-1] == doc[1:]]]) << bits
-    both |= np.concatenate([h >> shift, pair >> shift]).astype(np.int64)
-    both.sort()
-    total = np.bincount(both >> bits, minlength=len(bounds) - 1)
-    both = both[np.append(True, both[1:] != both[:-1])]
-    some = np.flatnonzero(total)
-    varied = np.bincount(both >> bits, minlength=len(bounds) - 1)[some] * 8 // total[some]
-    style = [varied * 64 + np.log2(total[some]).astype(np.int64)]
-    for lag in (1, 2):  # how often a token comes again at once, or after one other
-        again = (h[:-lag] == h[lag:]) & (doc[:-lag] == doc[lag:])
-        times = np.bincount(doc[:-lag][again], minlength=len(bounds) - 1)[some]
-        style.append(np.log2(times + 1).astype(np.int64) + 1024 * lag)
-    both = np.concatenate([both, *[(some << bits) | (mix((x + (1 << 20)).astype(np.uint64)) >> shift).astype(np.int64) for x in style]])
-    return both & ((1 << bits) - 1), both >> bits
-
-
-def fit_log_ratio(docs: DataFrame, bits: int, shrink: float, least: float, sure: float) -> np.ndarray:
-    """log(p target / p all) by bucket, from ``docs`` (text, target boolean).
-
-    ``shrink`` pseudo-counts draw rare buckets towards 0. The median
-    feature's ratio is taken off and the rest is drawn towards 0 by ``least``
-    (soft threshold): features about as common in the target as elsewhere say
-    nothing, however many of them a long text has. The threshold fades with
-    target counts below ``shrink``, so that it spares what the target lacks. A
-    bucket whose target count is z < ``sure`` standard deviations from what is
-    expected weighs (z / sure) ** 4 of its ratio.
-    """
+    inside = doc[:-1] == doc[1:]
+    pair = mix(join(h[:-1], h[1:]))[inside]
+    return (np.concatenate([h, pair]) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate([doc, doc[:-1][inside]])
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray, pseudo: float) -> np.ndarray:
+    """log(p target / p raw) by bucket: both models are smoothed with ``pseudo`` counts, raw ones scaled to the target's size."""
+    if not target.sum():
+        return np.zeros(len(raw), np.float32)
+    return np.log((target + pseudo) / (raw * (target.sum() / raw.sum()) + pseudo)).astype(np.float32)
+
+
+def fit_log_ratio(docs: DataFrame, bits: int, pseudo: float) -> np.ndarray:
+    """:func:`log_ratio` from ``docs`` (text, target boolean); all of them make the raw model."""
     cells = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,17 +59,7 @@ def fit_log_ratio(docs: DataFrame, bits: int, shrink: float, least: float, sure:
         yield emit_blocks(counts)
 
     total = sum_blocks(docs.mapInArrow(count, "block long, counts binary"), 2 * cells)
-    raw, target = total[:cells].astype(float), total[cells:].astype(float)
-    if not target.sum():
-        return np.zeros(cells, np.float32)
-    expected = raw * (target.sum() / raw.sum())
-    ratio = np.log((target + shrink) / (expected + shrink))
-    order = np.argsort(ratio)
-    middle = order[np.searchsorted(np.cumsum(raw[order]), raw.sum() / 2)]
-    ratio -= ratio[middle]
-    off = np.abs(target - expected) / np.maximum(sure * np.sqrt(expected), 1e-9)
-    bar = least * np.minimum(1, target / shrink)
-    return (np.sign(ratio) * np.maximum(np.abs(ratio) - bar, 0) * np.minimum(1, off) ** 4).astype(np.float32)
+    return log_ratio(total[:cells].astype(float), total[cells:].astype(float), pseudo)
 
 
 def importance_resample(
@@ -96,10 +67,7 @@ def importance_resample(
     labels: DataFrame,
     share: float | None = None,
     broadcast_labels: int = 8_000_000,
-    sharpness: float = 4.0,
-    shrink: float = 8.0,
-    least: float = 0.9,
-    sure: float = 4.0,
+    pseudo: float = 4.0,
     bits: int = BITS,
     seed: int = 7,
     text_col: str = "text",
@@ -113,7 +81,9 @@ def importance_resample(
     which the raw model counts. Up to ``broadcast_labels`` of their ids are
     broadcast, counted before; beyond that texts shuffle to meet them. ``share`` of the rows is kept; by
     default the share of good ones among labelled documents. A weight is the
-    likelihood ratio to the power ``sharpness``.
+    ratio of the text's likelihoods under the two models, each a product over
+    its n-grams; keys are log weights with Gumbel noise, so that the top k are
+    a sample without replacement in proportion to the weights.
 
     Null or empty text has weight 1 (log weight 0). Rows with a null id are
     scored and sampled like others, with one common noise. Repeated rows each
@@ -134,7 +104,7 @@ def importance_resample(
     named = docs.select(F.col(label_col or id_col).alias("__named"), F.col(text_col).alias("text"))
     marked = named.join(target, F.col("__named") == F.col("__label_id"), "left")
     model = spark.sparkContext.broadcast(
-        fit_log_ratio(marked.select("text", F.col("__label_id").isNotNull().alias("target")), bits, shrink, least, sure)
+        fit_log_ratio(marked.select("text", F.col("__label_id").isNotNull().alias("target")), bits, pseudo)
     )
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +123,7 @@ def importance_resample(
     kind = text.schema["__id"].dataType.simpleString()
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "__id"), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
     keyed = text.mapInArrow(weigh, f"__id {kind}, n_features long, log_weight double").withColumn(
-        "sample_key", F.col("log_weight") * sharpness - F.log(-F.log(uniform))
+        "sample_key", F.col("log_weight") - F.log(-F.log(uniform))
     )
     # Exact top k: ranges of the key in descending order, then the row's place within its range.
     keyed = materialize(keyed)
