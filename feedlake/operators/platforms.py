@@ -155,9 +155,13 @@ def facebook_comments(posts: DataFrame, most: int = 1000, mode: str = "as_writte
     )
     n = _fields(threads.tree_nodes(posts, "children"), "node", names)
     v = lambda x: F.col(f"f.{x}")
-    a, b = E.truthy(v("id")), E.truthy(v("commentId"))
-    n = n.withColumn("key", F.when(a.isNotNull() & b.isNotNull() & (a != b), F.concat_ws("|", a, b)).otherwise(F.coalesce(a, b)))
-    n = threads.first_comments(threads.with_parent_key(n))
+
+    def key(member: Callable[[str], Column]) -> Column:
+        a, b = E.truthy(member("id")), E.truthy(member("commentId"))
+        return F.when(a.isNotNull() & b.isNotNull() & (a != b), F.concat_ws("|", a, b)).otherwise(F.coalesce(a, b))
+
+    n = threads.with_parent_key(n.withColumn("key", key(v)), lambda text: key(lambda name: _member(text, name)))
+    n = threads.first_comments(n)
     n = n.withColumn("clean", E.clean_text(F.coalesce(E.truthy(v("content")), v("message"))))
     n = threads.cap_comments(n.filter(~E.is_low_value(F.col("clean")) & ~E.is_spam(F.col("clean"), "facebook", mode=mode)), most)
     who = F.coalesce(E.truthy(v("author")), v("user"))
@@ -178,7 +182,7 @@ def instagram_comments(posts: DataFrame, most: int = 20) -> DataFrame:
     """OP-21: spam is judged on the raw text, before URLs go."""
     n = _fields(threads.tree_nodes(posts, "replies"), "node", "id text ownerUsername timestamp timestamp_raw repliesCount likesCount owner")
     v = lambda x: F.col(f"f.{x}")
-    n = threads.first_comments(threads.with_parent_key(n.withColumn("key", E.truthy(v("id")))))
+    n = threads.first_comments(threads.with_parent_key(n.withColumn("key", E.truthy(v("id"))), lambda text: E.truthy(_member(text, "id"))))
     time = E.epoch_ms(F.coalesce(F.nullif(E.truthy(v("timestamp_raw")), F.lit("0")), E.truthy(v("timestamp"))))
     n = n.withColumn("clean", E.clean_text(v("text"))).withColumn("time", time)
     clean = F.col("clean")
@@ -203,7 +207,7 @@ def reddit_comments(posts: DataFrame, most: int = 5000, max_depth: int = 20, on_
     v = lambda x: F.col(f"f.{x}")
     body = F.regexp_replace(F.coalesce(v("body"), F.lit("")), r"(?U)^\s+|\s+$", "")
     n = n.withColumns({"key": E.truthy(v("comment_id")), "body": body, "time": _reddit_time(v)})
-    n = threads.with_parent_key(n).withColumn("clean", E.clean_markdown(F.col("body")))
+    n = threads.with_parent_key(n, lambda text: E.truthy(_member(text, "comment_id"))).withColumn("clean", E.clean_markdown(F.col("body")))
     deleted = F.col("body").isin("[deleted]", "[removed]")
     shown = ~deleted & (F.col("clean") != "") & (F.col("body") != "")
     spam = ~deleted & E.is_spam(F.col("body"), "reddit", author=v("author"))

@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.sources.schemas import COMMENTS
 
-NODES = "post string, path array<int>, depth int, parent_path array<int>, node string"
+NODES = "post string, path array<int>, depth int, parent_path array<int>, node string, parent string"
+_IDS = ("id", "commentId", "comment_id")  # members of a parent that its replies carry
 
 
 def flatten_tree(df: DataFrame, child_key: str, post_col: str = "post_id", comments_col: str = "comments") -> DataFrame:
     """OP-18: one row per node of the JSON trees in ``comments_col``.
 
     ``path`` orders a post's nodes depth first; the root's depth is 0. A node
-    that is no object is skipped with what is below it. Only the structure is
-    made here; everything about a node's content is expressions over ``node``.
+    that is no object is skipped with what is below it. ``parent`` has the ids
+    of the node one level up. Only the structure is made here; everything about a node's content is expressions over ``node``.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,18 +31,19 @@ def flatten_tree(df: DataFrame, child_key: str, post_col: str = "post_id", comme
                     roots = json.loads(text) if text else []
                 except ValueError:
                     roots = []
-                stack = [((i,), c) for i, c in reversed(list(enumerate(roots if isinstance(roots, list) else [])))]
+                stack = [((i,), c, None) for i, c in reversed(list(enumerate(roots if isinstance(roots, list) else [])))]
                 while stack:
-                    path, node = stack.pop()
+                    path, node, parent = stack.pop()
                     if not isinstance(node, dict):
                         continue
                     below = node.get(child_key)
-                    rows.append((post, path, len(path) - 1, path[:-1], json.dumps({k: v for k, v in node.items() if k != child_key}, ensure_ascii=False)))
+                    rows.append((post, path, len(path) - 1, path[:-1], json.dumps({k: v for k, v in node.items() if k != child_key}, ensure_ascii=False), parent))
                     if isinstance(below, list):
-                        stack.extend(((*path, i), c) for i, c in reversed(list(enumerate(below))))
-            kinds = [pa.string(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int32()), pa.string()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["post", "path", "depth", "parent_path", "node"])
+                        ids = json.dumps({k: node[k] for k in _IDS if k in node})
+                        stack.extend(((*path, i), c, ids) for i, c in reversed(list(enumerate(below))))
+            kinds = [pa.string(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["post", "path", "depth", "parent_path", "node", "parent"])
 
     return df.select(F.col(post_col).alias("post"), F.col(comments_col).alias("tree")).mapInArrow(walk, NODES)
 
@@ -73,8 +75,13 @@ def reply_nodes(rows: DataFrame, order: list[str], path: str) -> DataFrame:
     )
 
 
-def with_parent_key(nodes: DataFrame, key_col: str = "key") -> DataFrame:
-    """Add ``parent_key``: the key of the node one level up (null at the root or if that has none)."""
+def with_parent_key(nodes: DataFrame, key_of: Callable[[Column], Column], key_col: str = "key") -> DataFrame:
+    """Add ``parent_key``: the key of the node one level up (null at the root or if that has none).
+
+    ``key_of`` makes a key from a node's JSON; a node table without ``parent`` is joined with itself.
+    """
+    if "parent" in nodes.columns:
+        return nodes.withColumn("parent_key", key_of(F.col("parent")))
     up = nodes.select(F.col("post").alias("up_post"), F.col("path").alias("up_path"), F.col(key_col).alias("parent_key"))
     same = F.col("post").eqNullSafe(F.col("up_post")) & (F.col("parent_path") == F.col("up_path"))
     return nodes.join(up, same, "left").drop("up_post", "up_path")
