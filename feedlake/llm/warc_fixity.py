@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, task_count
 
 
 def warc_records(pages: DataFrame, pages_per_file: int = 512, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
@@ -48,22 +48,24 @@ def _combine(order: str) -> Column:
     return F.unhex(F.sha2(F.concat_ws("", parts), 256)).alias("hash")
 
 
-def tree_levels(leaves: DataFrame, leaf_range: int, fanout: int, file_levels: int, top_levels: int) -> list[DataFrame]:
+def tree_levels(leaves: DataFrame, leaf_range: int, fanout: int, file_levels: int, top_levels: int, parts: int | None = None) -> list[DataFrame]:
     """Node tables (file, node, hash) from offset ranges of ``leaf_range`` bytes up to the root.
 
     Level k has ranges of ``leaf_range * fanout**k`` bytes within a file; the
     top levels group files by number. A node collects at most ``fanout``
     hashes, the lowest one the records that start within ``leaf_range`` bytes.
     """
-    levels = [leaves.groupBy("file", F.floor(F.col("offset") / leaf_range).alias("node")).agg(_combine("offset"))]
+    levels = [materialize(leaves.groupBy("file", F.floor(F.col("offset") / leaf_range).alias("node")).agg(_combine("offset")), parts)]
     for _ in range(file_levels):
-        levels.append(levels[-1].groupBy("file", F.floor(F.col("node") / fanout).alias("parent")).agg(_combine("node")).withColumnRenamed("parent", "node"))
+        up = levels[-1].groupBy("file", F.floor(F.col("node") / fanout).alias("parent")).agg(_combine("node")).withColumnRenamed("parent", "node")
+        levels.append(materialize(up, parts))
     files = levels[-1].groupBy("file").agg(_combine("node")).withColumnRenamed("file", "node")
-    levels.append(files.select(F.lit(None).cast("long").alias("file"), "node", "hash"))
+    levels.append(materialize(files.select(F.lit(None).cast("long").alias("file"), "node", "hash"), parts))
     for _ in range(top_levels):
-        levels.append(levels[-1].groupBy(F.floor(F.col("node") / fanout).alias("parent")).agg(_combine("node")).select(F.lit(None).cast("long").alias("file"), F.col("parent").alias("node"), "hash"))
+        up = levels[-1].groupBy(F.floor(F.col("node") / fanout).alias("parent")).agg(_combine("node"))
+        levels.append(materialize(up.select(F.lit(None).cast("long").alias("file"), F.col("parent").alias("node"), "hash"), parts))
     root = levels[-1].groupBy(F.lit(0).cast("long").alias("root")).agg(_combine("node"))
-    levels.append(root.select(F.lit(None).cast("long").alias("file"), F.col("root").alias("node"), "hash"))
+    levels.append(materialize(root.select(F.lit(None).cast("long").alias("file"), F.col("root").alias("node"), "hash"), 1))
     return levels
 
 
@@ -85,17 +87,12 @@ def fixity_audit(left: DataFrame, right: DataFrame, leaf_range: int = 1 << 16, f
     distinct hash.
     """
     sides = [materialize(x.distinct()) for x in (left, right)]
-    most = sides[0].unionByName(sides[1]).agg(F.max("offset").alias("o"), F.max(F.abs("file")).alias("f")).first()
+    most = sides[0].unionByName(sides[1]).agg(F.max("offset").alias("o"), F.max(F.abs("file")).alias("f"), (F.count("*") * 64).alias("n")).first()
     file_levels = _levels((most["o"] or 0) // leaf_range, fanout)
     top_levels = _levels(most["f"] or 0, fanout)
-    trees = []
-    for side in sides:
-        made = tree_levels(side, leaf_range, fanout, file_levels, top_levels)
-        whole = made[0].withColumn("level", F.lit(0))
-        for k, level in enumerate(made[1:], 1):
-            whole = whole.unionByName(level.withColumn("level", F.lit(k)))
-        trees.append(materialize(whole))
-    levels = [tuple(t.filter(F.col("level") == k) for t in trees) for k in range(file_levels + top_levels + 3)]
+    parts = task_count(left.sparkSession, most["n"] or 0)
+    trees = [tree_levels(side, leaf_range, fanout, file_levels, top_levels, parts) for side in sides]
+    levels = list(zip(*trees, strict=True))
     bad = None
     for k in range(len(levels) - 1, -1, -1):
         a, b = levels[k]
@@ -114,7 +111,7 @@ def fixity_audit(left: DataFrame, right: DataFrame, leaf_range: int = 1 << 16, f
             F.col("file").eqNullSafe(F.col("rf")) & (F.col("node") == F.col("rn")), "full_outer",
         )
         bad = materialize(
-            both.filter(~F.col("l").eqNullSafe(F.col("r"))).select(F.coalesce("file", "rf").alias("bad_file"), F.coalesce("node", "rn").alias("bad_node"))
+            both.filter(~F.col("l").eqNullSafe(F.col("r"))).select(F.coalesce("file", "rf").alias("bad_file"), F.coalesce("node", "rn").alias("bad_node")), parts
         )
     hit = (F.col("file") == F.col("bad_file")) & (F.floor(F.col("offset") / leaf_range) == F.col("bad_node"))
     a, b = (x.join(bad, hit, "left_semi") for x in sides)
