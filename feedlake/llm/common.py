@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,13 +52,34 @@ def materialize(df: DataFrame, parts: int | None = None, **options: str) -> Data
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables from :func:`materialize` whose last reader is done; others are left alone."""
+    """Delete the files of tables from :func:`materialize` whose last reader is done; others are left alone.
+
+    The driver's heap is collected, too: Spark removes the shuffle files of
+    plans that nothing refers to any more only after a collection.
+    """
     for df in tables:
         path = getattr(df, "feedlake_path", None)
+        jvm = df.sparkSession._jvm
         if path is not None:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
             where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if tables:
+        gc.collect()
+        jvm.java.lang.System.gc()
+
+
+def join_names(rows: DataFrame, names: DataFrame, keys: list[str], count: str, how: str = "inner", share: float = 1e-3) -> DataFrame:
+    """``rows`` joined with ``names`` (materialized; one row for each key, ``count`` how often rows have it), ``how`` inner or left.
+
+    Keys that more than ``share`` of the counted rows have are at most
+    ``1 / share``; they join by a broadcast of that size, so that the rows of a
+    hot key stay where they are.
+    """
+    bound = (names.agg(F.sum(count)).first()[0] or 0) * share
+    hot = F.broadcast(names.filter(F.col(count) > bound).drop(count))
+    cold = names.filter(F.col(count) <= bound).drop(count)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 def text_buffers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

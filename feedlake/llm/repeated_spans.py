@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, discard, join, materialize, maybe_in, mix, slices, span_hashes, task_count, text_buffers, window_hashes
+from .common import bit_filter, discard, join, join_names, materialize, maybe_in, mix, slices, span_hashes, task_count, text_buffers, window_hashes
 
 _LOW = 23  # bits of a position within a part of a text
 _PART = 1 << 22  # start positions handled at once
@@ -103,8 +103,8 @@ def _lists(values: np.ndarray, text: np.ndarray, rows: int, kind: pa.DataType) -
 def _rerank(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
     """(run, k, w, rank) of the positions whose ``keys`` occur more than once; the rank is the least position that has them."""
     position = F.col("run") * _NODES + F.col("k")
-    names = rows.groupBy(*keys).agg(F.sum("w").alias("__n"), F.min(position).alias("__rank")).filter("__n > 1").drop("__n")
-    return materialize(rows.join(names, keys).select("run", "k", "w", F.col("__rank").alias("rank")), parts)
+    names = materialize(rows.groupBy(*keys).agg(F.sum("w").alias("__n"), F.min(position).alias("__rank")).filter("__n > 1"), parts)
+    return materialize(join_names(rows, names, keys, "__n").select("run", "k", "w", F.col("__rank").alias("rank")), parts)
 
 
 def _pairs(ranked: DataFrame, parts: int) -> DataFrame:
@@ -122,9 +122,10 @@ def _settle(rows: DataFrame, place: list[str], parts: int) -> tuple[DataFrame, D
     with weight 2; others go on if their shared string repeats.
     """
     at = F.struct(*place)
-    same = rows.filter("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.sum("w").alias("n"), F.min(at).alias("lead")).filter("n > 1").drop("n")
+    same = materialize(rows.filter("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.sum("w").alias("n"), F.min(at).alias("lead")).filter("n > 1"), parts)
+    some, none = rows.filter("s1 IS NOT NULL"), rows.filter("s1 IS NULL").withColumn("lead", F.lit(None).cast(same.schema["lead"].dataType))
     ranked = materialize(
-        rows.join(same, ["s1", "s2"], "left").select(
+        join_names(some, same, ["s1", "s2"], "n", "left").unionByName(none).select(
             *place, "c1", "c2", F.col("lead").isNotNull().alias("found"), F.coalesce(F.col("lead") == at, F.lit(False)).alias("leads"), "w"
         ),
         parts,
@@ -145,8 +146,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
     ignored.
 
     Hashes that stand for strings have 128 bits and seeds drawn for each call.
-    Joins on a string that very many texts share are left to adaptive
-    execution, which splits such partitions; groupings combine before they
+    Strings that very many texts share join by broadcast (see
+    :func:`~feedlake.llm.common.join_names`); groupings combine before they
     shuffle.
     """
     spark, seeds = docs.sparkSession, (secrets.randbits(64), secrets.randbits(64))
@@ -225,9 +226,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
             )
 
     runs = materialize(segments.select("seg", "data", "runs").mapInArrow(name_runs, "seg long, x long, first long, last long, s1 long, s2 long"))
-    lead = runs.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("seg", "x")).alias("lead")).filter("n > 1").drop("n")
+    lead = materialize(runs.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("seg", "x")).alias("lead")).filter("n > 1"), parts)
     found = F.col("lead").isNotNull()
-    ranked = runs.join(lead, ["s1", "s2"], "left").select(
+    ranked = join_names(runs, lead, ["s1", "s2"], "n", "left").select(
         "seg", "x", "first", "last", found.alias("found"), (~found | (F.col("lead") == F.struct("seg", "x"))).alias("goes_on"), F.when(found, 2).otherwise(1).cast("long").alias("w")
     )
     ranked = materialize(ranked.withColumn("run", F.monotonically_increasing_id()), parts)
