@@ -5,18 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, importance, jaccard_join, language_id, lattice_lm, packing, repeated_spans, token_output, warc_fixity
+from . import (
+    alignment,
+    decontaminate,
+    exact_dedup,
+    importance,
+    jaccard_join,
+    language_id,
+    lattice_lm,
+    packing,
+    repeated_spans,
+    target_resampling,
+    token_counts,
+    token_output,
+    warc_fixity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def word_bpe() -> str:
-    """Place of the public word-level BPE vocabulary."""
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
+
+
+def word_bpe() -> str:
+    """Place of the public word-level BPE vocabulary."""
+    return vocabulary("word_bpe_49k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +49,7 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+    return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +84,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("slots", F.concat_ws(",", F.array_sort("slots")))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.target_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +109,9 @@ QUERIES = {
         op8_bin_slack_packing,
         op9_importance_resampling,
         op10_decontaminate,
+        op11_token_counts,
+        op12_tokenizer_alignment,
+        op13_target_resampling,
     )
 }
 
