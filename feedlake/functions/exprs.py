@@ -28,6 +28,7 @@ SPAM = {
 WHITE_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Images, links, emphasis and strike-through, and what is left of each.
 MARKDOWN = ((r"!\[.*?\]\(.*?\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\*{1,2}(.+?)\*{1,2}", "$1"), (r"~~(.+?)~~", "$1"))
+# Fixed value: names of bots.
 BOTS = r"(?iU)\b(automoderator|remindmebot|sneakpeekbot|imgurlinkcheckerbot|repostsleuthbot|anti[_\-]?meme[_\-]?bot)\b"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " ", "&amp;": "&"}
 

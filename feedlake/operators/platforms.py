@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions import exprs as E
-from feedlake.operators import threads
+from feedlake.operators import threads, visits
 from feedlake.sources.schemas import COMMENT, COMMENTS, ENGAGEMENT
 
 Normalizer = Callable[[DataFrame], DataFrame]
@@ -147,13 +147,13 @@ def _comment(df: DataFrame, source: str, **c: Column) -> DataFrame:
     return df.select("post", "path", F.struct(*[v.alias(k) for k, v in parts.items()]).cast(COMMENT).alias("comment"))
 
 
-def facebook_comments(posts: DataFrame, most: int = 1000, mode: str = "as_written") -> DataFrame:
-    """OP-20: (post, path, comment) of posts with a ``tree`` of JSON comments."""
+def facebook_comments(posts: DataFrame, most: int = 1000, mode: str = "as_written", path: str | None = None) -> DataFrame:
+    """OP-20: (post, path, comment) of posts with a ``tree`` of JSON comments; with a folder ``path``, without Python."""
     names = (
         "id commentId content message createdAt author user like_count likes reactionsCount reply_count subCommentsCount "
         "feedbackId attachments parent_id parentFeedbackId"
     )
-    n = _fields(threads.tree_nodes(posts, "children"), "node", names)
+    n = _fields(threads.tree_nodes(posts, "children", path), "node", names)
     v = lambda x: F.col(f"f.{x}")
 
     def key(member: Callable[[str], Column]) -> Column:
@@ -178,9 +178,9 @@ def facebook_comments(posts: DataFrame, most: int = 1000, mode: str = "as_writte
     )
 
 
-def instagram_comments(posts: DataFrame, most: int = 20) -> DataFrame:
+def instagram_comments(posts: DataFrame, most: int = 20, path: str | None = None) -> DataFrame:
     """OP-21: spam is judged on the raw text, before URLs go."""
-    n = _fields(threads.tree_nodes(posts, "replies"), "node", "id text ownerUsername timestamp timestamp_raw repliesCount likesCount owner")
+    n = _fields(threads.tree_nodes(posts, "replies", path), "node", "id text ownerUsername timestamp timestamp_raw repliesCount likesCount owner")
     v = lambda x: F.col(f"f.{x}")
     n = threads.first_comments(threads.with_parent_key(n.withColumn("key", E.truthy(v("id"))), lambda text: E.truthy(_member(text, "id"))))
     time = E.epoch_ms(F.coalesce(F.nullif(E.truthy(v("timestamp_raw")), F.lit("0")), E.truthy(v("timestamp"))))
@@ -200,10 +200,13 @@ def instagram_comments(posts: DataFrame, most: int = 20) -> DataFrame:
     )
 
 
-def reddit_comments(posts: DataFrame, most: int = 5000, max_depth: int = 20, on_overflow: str = "stop") -> DataFrame:
-    """OP-22, OP-24: deleted and media-only bodies go but not their replies; spam and undated comments cut their branch."""
+def reddit_comments(posts: DataFrame, most: int = 5000, max_depth: int = 20, on_overflow: str = "stop", path: str | None = None) -> DataFrame:
+    """OP-22, OP-24: deleted and media-only bodies go but not their replies; spam and undated comments cut their branch.
+
+    With a folder ``path`` for steps between, no Python runs and no task holds a post.
+    """
     names = "comment_id parent_id author author_fullname body score reply_count controversiality is_submitter gilded created_utc created_utc_raw"
-    n = _fields(threads.tree_nodes(posts, "replies"), "node", names)
+    n = _fields(threads.tree_nodes(posts, "replies", path and f"{path}/levels", max_depth + 1), "node", names)
     v = lambda x: F.col(f"f.{x}")
     body = F.regexp_replace(F.coalesce(v("body"), F.lit("")), r"(?U)^\s+|\s+$", "")
     n = n.withColumns({"key": E.truthy(v("comment_id")), "body": body, "time": _reddit_time(v)})
@@ -212,7 +215,10 @@ def reddit_comments(posts: DataFrame, most: int = 5000, max_depth: int = 20, on_
     shown = ~deleted & (F.col("clean") != "") & (F.col("body") != "")
     spam = ~deleted & E.is_spam(F.col("body"), "reddit", author=v("author"))
     n = n.withColumn("cut", spam | (shown & F.col("time").isNull())).withColumn("emit", shown)
-    n = threads.visit_threads(n, most, max_depth, on_overflow=on_overflow)
+    if path:
+        n = visits.visit_wide(n, most, max_depth, f"{path}/visit", on_overflow=on_overflow)
+    else:
+        n = threads.visit_threads(n, most, max_depth, on_overflow=on_overflow)
     above = F.when(F.col("depth") == 0, F.concat(F.lit("t3_"), F.col("post"))).otherwise(F.concat(F.lit("t1_"), F.col("parent_key")))
     parent = E.parent_or_fallback(v("parent_id"), above)
     extra = F.struct(
@@ -236,17 +242,17 @@ PLATFORMS: dict[str, tuple[Normalizer, Normalizer]] = {
 
 
 def register_platform(name: str, posts: Normalizer, comments: Normalizer) -> None:
-    """Add a platform: its posts need the columns of ``facebook_posts``, its comments (post, path, comment)."""
+    """Add a platform: its posts need the columns of ``facebook_posts``, its comments (post, path, comment) and an argument ``path``."""
     PLATFORMS[name] = (posts, comments)
 
 
-def normalize_posts(df: DataFrame, platform: str, comments: bool = True) -> DataFrame:
-    """Canonical posts with ``invalid``, of a frame with a ``raw`` JSON column."""
+def normalize_posts(df: DataFrame, platform: str, comments: bool = True, path: str | None = None) -> DataFrame:
+    """Canonical posts with ``invalid``, of a frame with a ``raw`` JSON column; ``path`` is a folder for the comments' steps between."""
     make_posts, make_comments = PLATFORMS[platform]
     posts = make_posts(df)
     if not comments:
         return posts.drop("tree")
     kept = posts.filter(F.col("post_id").isNotNull())
-    nested = threads.nest_comments(posts, make_comments(kept))
+    nested = threads.nest_comments(posts, make_comments(kept, path=path) if path else make_comments(kept))
     count = F.col("comments_normalized_count").cast("int")
     return nested.withColumn("engagement", F.col("engagement").withField("comments_normalized_count", count)).drop("tree", "comments_normalized_count")

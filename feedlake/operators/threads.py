@@ -48,9 +48,43 @@ def flatten_tree(df: DataFrame, child_key: str, post_col: str = "post_id", comme
     return df.select(F.col(post_col).alias("post"), F.col(comments_col).alias("tree")).mapInArrow(walk, NODES)
 
 
-def tree_nodes(df: DataFrame, child_key: str, comments_col: str = "tree") -> DataFrame:
-    """The node table of posts: their trees flattened, or ``df`` itself if it is one."""
-    return df if "parent_path" in df.columns else flatten_tree(df, child_key, comments_col=comments_col)
+def flatten_levels(df: DataFrame, child_key: str, path: str, post_col: str = "post_id", comments_col: str = "comments", max_depth: int | None = None) -> DataFrame:
+    """OP-18 without Python: the rows of :func:`flatten_tree`, a level of all trees at a time.
+
+    A level's nodes are VARIANT values, taken apart into members and children
+    and written below ``path``; the next level is read from there, so that a
+    lost executor costs one level, and a tree that fills a task is in many from
+    its second level on. The first level without nodes ends it, or ``max_depth``:
+    nodes below are neither made nor written. A tree that is no JSON
+    array gives no rows, nor does one that repeats a member of an object.
+    """
+    spark, depth, kinds = df.sparkSession, 0, "array<variant>"
+    level = df.select(
+        F.col(post_col).cast("string").alias("post"), F.array().cast("array<int>").alias("parent_path"),
+        F.lit(None).cast("string").alias("parent"), F.try_parse_json(comments_col).alias("below"),
+    )
+    while max_depth is None or depth <= max_depth:
+        child = level.select("post", "parent_path", "parent", F.posexplode(F.try_variant_get("below", "$", kinds)).alias("at", "child"))
+        members = child.withColumn("m", F.try_variant_get("child", "$", "map<string,variant>")).filter(F.col("m").isNotNull())
+        part = lambda keep: F.to_json(F.map_filter("m", keep))
+        below = F.try_element_at("m", F.lit(child_key))
+        members.select(
+            "post", F.concat("parent_path", F.array("at")).alias("path"), "parent_path", part(lambda k, _: k != child_key).alias("node"), "parent",
+            part(lambda k, _: k.isin(*_IDS)).alias("ids"), below.alias("below"),
+        ).write.parquet(f"{path}/depth={depth}")
+        written = spark.read.parquet(f"{path}/depth={depth}")
+        level = written.select("post", F.col("path").alias("parent_path"), F.col("ids").alias("parent"), "below")
+        if level.isEmpty():
+            break
+        depth += 1
+    return spark.read.parquet(path).select("post", "path", F.col("depth").cast("int").alias("depth"), "parent_path", "node", "parent")
+
+
+def tree_nodes(df: DataFrame, child_key: str, path: str | None = None, max_depth: int | None = None) -> DataFrame:
+    """The node table of posts with a ``tree``: flattened by levels below ``path``, without one by the walk; or ``df`` itself if it is such a table."""
+    if "parent_path" in df.columns:
+        return df
+    return flatten_levels(df, child_key, path, comments_col="tree", max_depth=max_depth) if path else flatten_tree(df, child_key, comments_col="tree")
 
 
 def reply_nodes(rows: DataFrame, order: list[str], path: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.functions import exprs as E
-from feedlake.operators import aggregates, clean, dedup, incremental, outcome, platforms, threads
+from feedlake.operators import aggregates, clean, dedup, incremental, outcome, platforms, threads, visits
 from feedlake.session import scratch_dir
 from feedlake.sources import readers, sinks
 from feedlake.sources.schemas import COMMENT
@@ -39,7 +41,7 @@ def _post_number() -> Column:
     return F.col("event_id") - F.when(F.col("event_id") % 10 >= 7, 7).otherwise(0)
 
 
-POSTS_SQL = """posts AS (
+POSTS_SQL = """posts AS MATERIALIZED (
     SELECT CAST(event_id - CASE WHEN event_id % 10 >= 7 THEN 7 ELSE 0 END AS VARCHAR) AS post_id,
            CASE event_type WHEN 'view' THEN 'reddit' WHEN 'click' THEN 'instagram' WHEN 'error' THEN 'other' ELSE 'facebook' END AS source,
            ts AS event_time, ts AS ingest_time,
@@ -240,11 +242,54 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS post, CAST(turn AS INT) AS turn, CASE WHEN turn = 0 THEN 0 ELSE 1 END AS depth, role AS key FROM conversations")
-def thread_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-18."""
+def reply_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node table of rows: roots and their replies."""
     return _nodes(spark, sf_dir).select("post", "turn", "depth", "key")
 
 
+def conversation_trees(spark: SparkSession, sf_dir: str, children: str, node: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """(conv_id, tree): each turn is a reply to the one before and has two replies that are no objects and a leaf besides."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+    def written(t: Column) -> Column:
+        return F.to_json(F.struct(*[v.alias(k) for k, v in node(t).items()]))
+
+    def around(below: Column, t: Column) -> Column:
+        text, comma = written(t), F.when(below == "", "").otherwise(",")
+        leaf = written(F.struct(t["turn"].alias("turn"), F.lit("leaf").alias("role"), F.lit("a leaf of the tree").alias("text")))
+        return F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(f',"{children}":['), below, comma, F.lit("17,null,"), leaf, F.lit("]}"))
+
+    tree = F.aggregate(F.reverse("turns"), F.lit(""), around)
+    return turns.select("conv_id", F.concat(F.lit("["), tree, F.lit("]")).alias("tree"))
+
+
+_TREE_SQL = """t AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n, lag(role || '-' || turn) OVER w AS above
+                     FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+       nodes AS (SELECT conv_id, turn, role, text, k AS depth, repeat('0.', k::INT) || '0' AS path, role || '-' || turn AS key, above, k AS visit, k FROM t
+                 UNION ALL SELECT conv_id, turn, 'leaf', 'a leaf of the tree', k + 1, repeat('0.', k::INT + 1) || CASE WHEN k < n - 1 THEN 3 ELSE 2 END,
+                                  'leaf-' || turn, role || '-' || turn, 2 * n - k, k FROM t)"""
+
+
+def _turn_id(t: Column) -> Column:
+    return F.concat_ws("-", t["role"], t["turn"])
+
+
+@query(f"WITH {_TREE_SQL} SELECT CAST(conv_id AS VARCHAR) AS post, path, depth::INT AS depth, key, above FROM nodes")
+def thread_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-18: JSON trees of up to nine levels, flattened a level at a time without Python."""
+    trees = conversation_trees(spark, sf_dir, "children", lambda t: {"id": _turn_id(t), "content": t["text"]})
+    nodes = threads.flatten_levels(trees, "children", scratch_dir(spark, "levels"), "conv_id", "tree")
+    return nodes.select("post", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "depth", F.get_json_object("node", "$.id").alias("key"), F.get_json_object("parent", "$.id").alias("above"))
+
+
+@query(f"WITH {_TREE_SQL} SELECT CAST(conv_id AS VARCHAR) AS post, path, depth::INT AS depth, key, above FROM nodes")
+def thread_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-18: the same by a walk over each tree, a task at a time, for trees of any depth."""
+    trees = conversation_trees(spark, sf_dir, "children", lambda t: {"id": _turn_id(t), "content": t["text"]})
+    nodes = threads.flatten_tree(trees.withColumn("conv_id", F.col("conv_id").cast("string")), "children", "conv_id", "tree")
+    return nodes.select("post", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "depth", F.get_json_object("node", "$.id").alias("key"), F.get_json_object("parent", "$.id").alias("above"))
+
+
 @query("SELECT CAST(conv_id AS VARCHAR) AS post, role AS key, CAST(min(turn) AS INT) AS turn FROM conversations GROUP BY ALL")
 def comment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-19."""
@@ -291,9 +336,11 @@ def comment_renest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("post_id", F.col("comments_normalized_count").alias("comments"), ids.alias("ids"))
 
 
+# Fixed value: the noise pattern of Instagram comments.
+_COMMENT_SPAM = r"(?i)\+\d[\d\s\-\(\)]{7,}|\b(mdma|lsd|dmt|shrooms|coke)\b|https?://|\b(telegram|whatsapp|snapchat|wickr)\b[.:@\s]*[\w./]+"
 _INSTAGRAM_SQL = rf"""WITH f AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1)
        SELECT 'instagram_' || conv_id AS post_id, role AS comment_id, (1700000000 + turn) * 1000 AS created_at, CASE WHEN turn = 0 THEN 0 ELSE 1 END AS depth
-       FROM f WHERE length({_LATIN}) >= 4 AND NOT regexp_matches(text, '(?i)\+\d[\d\s\-\(\)]{{7,}}|\b(mdma|lsd|dmt|shrooms|coke)\b|https?://|\b(telegram|whatsapp|snapchat|wickr)\b[.:@\s]*[\w./]+')"""
+       FROM f WHERE length({_LATIN}) >= 4 AND NOT regexp_matches(text, '{_COMMENT_SPAM}')"""
 
 
 @query(_INSTAGRAM_SQL)
@@ -330,13 +377,14 @@ _BODY_SPAM = r"(?i)https?://|\b(t\.me|telegram\.me)/\S+|\+\d[\d\s\-\(\)]{7,}|\b(
        FROM j WHERE NOT gone AND pos <= 20 AND turn NOT IN (5, 7) AND clean <> ''""")
 def comments_reddit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-22, OP-24: the turns of twenty conversations as one chain of replies, some deleted or media alone; spam and depth 21 end it."""
-    c, by = table(spark, sf_dir, "conversations"), Window.partitionBy("post").orderBy("conv_id", "turn")
-    c = c.withColumn("post", F.floor(F.col("conv_id") / 20).cast("string")).withColumn("pos", F.row_number().over(by) - 1)
     body = F.when(F.col("turn") == 7, "[deleted]").when(F.col("turn") == 5, "![i](u)").otherwise(F.col("text"))
-    node = F.struct(F.format_string("c%d-%d", "conv_id", "turn").alias("comment_id"), body.alias("body"), (F.lit(1_700_000_000) + F.col("pos")).alias("created_utc_raw"))
+    c = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 20).cast("string").alias("post"), "conv_id", "turn", body.alias("body"))
+    placed = visits.running(visits.ordered(c, ["post", "conv_id", "turn", "body"], scratch_dir(spark, "turns")), F.lit(1), "before", how="sum")
+    placed = placed.withColumn("pos", F.coalesce("before", F.lit(0)).cast("int")).filter("pos <= 21")  # deeper replies can't be reached
+    node = F.struct(F.format_string("c%d-%d", "conv_id", "turn").alias("comment_id"), "body", (F.lit(1_700_000_000) + F.col("pos")).alias("created_utc_raw"))
     zeros = lambda n: F.array_repeat(F.lit(0), n)
-    nodes = c.select("post", zeros(F.col("pos") + 1).alias("path"), F.col("pos").alias("depth"), zeros(F.col("pos")).alias("parent_path"), F.to_json(node).alias("node"))
-    return platforms.reddit_comments(nodes).select("post", "comment.comment_id", "comment.parent_id", "comment.depth", "comment.text")
+    nodes = placed.select("post", zeros(F.col("pos") + 1).alias("path"), F.col("pos").alias("depth"), zeros(F.col("pos")).alias("parent_path"), F.to_json(node).alias("node"))
+    return platforms.reddit_comments(nodes, path=scratch_dir(spark, "visit")).select("post", "comment.comment_id", "comment.parent_id", "comment.depth", "comment.text")
 
 
 def _raw(spark: SparkSession, sf_dir: str, **names) -> DataFrame:
@@ -381,6 +429,61 @@ def normalize_reddit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(platforms.normalize_posts(raw, "reddit", comments=False))
 
 
+def _with_comments(spark: SparkSession, sf_dir: str, platform: str, children: str, post: dict[str, Column], comments: str, node: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """Raw posts with a comment tree each, normalized with their comments: one row a post, its thread as text."""
+    trees = conversation_trees(spark, sf_dir, children, node)
+    text = F.to_json(F.struct(*[v.alias(k) for k, v in post.items()]))
+    raw = trees.select(F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(f',"{comments}":'), "tree", F.lit("}")).alias("raw"))
+    made = platforms.normalize_posts(raw, platform, path=scratch_dir(spark, "comments"))
+    shown = F.transform("comments", lambda c: F.concat_ws(":", c["comment_id"], c["depth"], F.coalesce(c["parent_id"], F.lit("-")), F.length(c["text"]), c["created_at"]))
+    return made.select("post_id", F.col("engagement.comments_normalized_count").alias("comments"), F.array_join(shown, ",").alias("thread"))
+
+
+def _threads_sql(kept: str, parent: str, text: str) -> str:
+    """One row a post of nodes that satisfy ``kept``, in the order of the visit."""
+    return f"""SELECT CAST(c.conv_id AS VARCHAR) AS post_id, count(key)::INT AS comments, coalesce(string_agg(key || ':' || depth || ':' || coalesce({parent}, '-') || ':' || length({text})
+        || ':' || (1700000000 + turn) * 1000, ',' ORDER BY visit), '') AS thread FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT * FROM {kept}) f ON f.conv_id = c.conv_id GROUP BY c.conv_id"""
+
+
+def _post(id_name: str, time_name: str, text_name: str) -> dict[str, Column]:
+    return {id_name: F.col("conv_id").cast("string"), time_name: F.lit(1_700_000_000) + F.col("conv_id"), text_name: F.lit("talk")}
+
+
+@query(rf"""WITH {_TREE_SQL}, cleaned AS (SELECT *, {_WORDS} AS clean FROM nodes),
+       kept AS (SELECT * FROM cleaned WHERE length({_LATIN.replace("text", "clean")}) >= 4 AND NOT regexp_matches(clean, '(?i)\b(mdma|lsd|dmt|shrooms)\b'))
+       {_threads_sql("kept", "above", _short("clean", 2000))}""")
+def facebook_with_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-14, OP-18 to OP-20, OP-25: raw posts and their comment trees in one go."""
+    node = lambda t: {"id": _turn_id(t), "content": t["text"], "createdAt": F.lit(1_700_000_000) + t["turn"]}
+    return _with_comments(spark, sf_dir, "facebook", "children", _post("post_id", "createdAt", "content"), "comments", node)
+
+
+@query(rf"""WITH {_TREE_SQL}, cleaned AS (SELECT *, {_WORDS} AS clean FROM nodes),
+       kept AS (SELECT * FROM cleaned WHERE length({_LATIN.replace("text", "clean")}) >= 4 AND NOT regexp_matches(text, '{_COMMENT_SPAM}'))
+       {_threads_sql("kept", "above", _short("clean", 2000))}""")
+def instagram_with_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-15, OP-18, OP-19, OP-21, OP-25: at most sixteen comments a post, so that the cap cuts none."""
+    node = lambda t: {"id": _turn_id(t), "text": t["text"], "timestamp_raw": F.lit(1_700_000_000) + t["turn"], "ownerUsername": t["role"]}
+    return _with_comments(spark, sf_dir, "instagram", "replies", _post("id", "timestamp_raw", "caption"), "latestComments", node)
+
+
+@query(rf"""WITH {_TREE_SQL}, keyed AS (SELECT * REPLACE (CASE WHEN role = 'leaf' THEN key ELSE role || '-' || turn % 5 END AS key), role || '-' || turn % 5 AS own,
+                                              CASE WHEN turn % 4 = 3 AND role <> 'leaf' THEN '[deleted]' ELSE text END AS body, {_plain_sql("text")} AS clean FROM nodes),
+       seen AS (SELECT *, role <> 'leaf' AND row_number() OVER (PARTITION BY conv_id, key ORDER BY visit) > 1 AS again,
+                       lag(own) OVER (PARTITION BY conv_id, role = 'leaf' ORDER BY k) AS before FROM keyed),
+       ends AS (SELECT conv_id, min(k) AS stop FROM seen WHERE role <> 'leaf' AND (again OR (body <> '[deleted]' AND regexp_matches(body, '{_BODY_SPAM}'))) GROUP BY ALL),
+       kept AS (SELECT s.*, CASE WHEN depth = 0 THEN 't3_' || s.conv_id WHEN role = 'leaf' THEN 't1_' || s.last_own ELSE 't1_' || before END AS parent
+                FROM (SELECT *, max(CASE WHEN role <> 'leaf' THEN own END) OVER (PARTITION BY conv_id, k) AS last_own FROM seen) s LEFT JOIN ends e ON e.conv_id = s.conv_id
+                WHERE (e.stop IS NULL OR k < e.stop) AND body <> '[deleted]' AND clean <> '')
+       {_threads_sql("kept", "parent", _short("clean", 1000))}""")
+def reddit_with_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-16, OP-18, OP-22, OP-24, OP-25: ids repeat every five turns and cut their branch, every fourth comment is deleted."""
+    name = lambda t: F.concat_ws("-", t["role"], F.when(t["role"] == "leaf", t["turn"]).otherwise(t["turn"] % 5))
+    body = lambda t: F.when((t["turn"] % 4 == 3) & (t["role"] != "leaf"), "[deleted]").otherwise(t["text"])
+    node = lambda t: {"comment_id": name(t), "body": body(t), "created_utc_raw": F.lit(1_700_000_000) + t["turn"]}
+    return _with_comments(spark, sf_dir, "reddit", "replies", _post("post_id", "created_utc_raw", "title"), "comments", node)
+
+
 def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.unix_millis(F.col("event_time").cast("timestamp"))
     zero = F.lit(0).cast("long")
@@ -681,7 +784,7 @@ def low_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", E.is_low_value(F.col("text")).alias("low"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?i)https?://|\b(t\.me|telegram\.me)/\S+|\+\d[\d\s\-\(\)]{7,}|\b(mdma|lsd|dmt|shrooms|onlyfans\.com)\b') AS spam FROM documents""")
+@query(f"SELECT doc_id, regexp_matches(text, '{_BODY_SPAM}') AS spam FROM documents")
 def phone_spam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-09."""
     return table(spark, sf_dir, "documents").select("doc_id", E.is_spam(F.col("text"), "reddit").alias("spam"))

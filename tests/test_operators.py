@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedlake.functions import exprs as E
-from feedlake.operators import aggregates, clean, dedup, incremental, outcome, platforms, threads
+from feedlake.operators import aggregates, clean, dedup, incremental, outcome, platforms, threads, visits
 from feedlake.sources import readers, sinks
 
 POST = "post_id string, source string, event_time timestamp, ingest_time timestamp, content string, hashtags array<string>, likes long, comments long, shares long, video_views long"
@@ -121,7 +122,58 @@ def test_conversation_of_more_than_a_million_turns_is_whole(spark, tmp_path):
 
     turns = spark.range(1_000_003).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("r").alias("role"), F.lit("t").alias("text"))
     turns.write.parquet(str(tmp_path / "conversations.parquet"))
-    assert queries.thread_flatten(spark, str(tmp_path)).count() == 1_000_003
+    assert queries.reply_table(spark, str(tmp_path)).count() == 1_000_003
+
+
+def random_tree(rng, depth, keys):
+    """A list of nodes, some without key, some no objects; keys repeat."""
+    out = []
+    for _ in range(rng.randint(0, 3) if depth else 3):
+        node = {"id": rng.choice(keys), "cut": rng.random() < 0.1, "emit": rng.random() < 0.8}
+        if depth < 7 and rng.random() < 0.7:
+            node["replies"] = random_tree(rng, depth + 1, keys)
+        out.append(rng.choice([7, None, "text", [1]]) if rng.random() < 0.05 else node)
+    return out
+
+
+def flags(nodes):
+    member = lambda n: F.get_json_object("node", f"$.{n}")
+    return nodes.withColumns({"key": member("id"), "cut": member("cut") == "true", "emit": member("emit") == "true"})
+
+
+def test_levels_are_the_walk(spark, tmp_path):
+    rng = random.Random(1)
+    odd = [{"id": "a", "n": 1.5, "x": None, "u": 'é "q', "replies": [7, None, [1], {"commentId": 5, "o": {"k": [1, {"z": True}]}}, {"id": "e", "replies": "no"}]}, []]
+    trees = [("p", json.dumps(odd)), ("q", None), ("r", "[bad"), ("s", "{}"), (None, '[{"id": "n"}]')] + [(str(k), json.dumps(random_tree(rng, 0, "abcde"))) for k in range(20)]
+    df = spark.createDataFrame(trees, "post_id string, comments string")
+    plain = lambda rows: sorted((str(r.post), r.path, r.depth, r.parent_path, json.dumps(json.loads(r.node), sort_keys=True), r.parent and json.dumps(json.loads(r.parent))) for r in rows.collect())
+    got = threads.flatten_levels(df, "replies", str(tmp_path / "a"))
+    assert plain(got) == plain(threads.flatten_tree(df, "replies"))
+    assert "Python" not in got._jdf.queryExecution().toString() and "MapInArrow" not in got._jdf.queryExecution().toString()
+    shallow = threads.flatten_levels(df, "replies", str(tmp_path / "b"), max_depth=2)
+    assert plain(shallow) == [r for r in plain(got) if r[2] <= 2]
+
+
+@pytest.mark.parametrize("mode", ["stop", "prune"])
+def test_wide_visit_is_the_fold(spark, tmp_path, mode):
+    rng = random.Random(5)
+    trees = [(str(k), json.dumps(random_tree(rng, 0, [None, "", *range(4 + 4 * k)]))) for k in range(25)]
+    df = flags(threads.flatten_tree(spark.createDataFrame(trees, "post_id string, comments string"), "replies")).repartition(6).cache()
+    for cap, deepest in ((1000, 20), (6, 20), (1000, 3), (4, 2)):
+        plain = lambda rows: sorted((r.post, r.path) for r in rows.collect())
+        want = plain(threads.visit_threads(df, cap, deepest, on_overflow=mode))
+        assert plain(visits.visit_wide(df, cap, deepest, str(tmp_path / f"{cap}-{deepest}"), on_overflow=mode)) == want and want
+
+
+def test_wide_visit_of_one_deep_chain(spark, tmp_path):
+    chain = {"id": "c29"}
+    for k in range(28, -1, -1):
+        chain = {"id": f"c{k}", "replies": [chain]}
+    tree = [("p", json.dumps([chain, {"id": "after"}]))]
+    df = threads.flatten_tree(spark.createDataFrame(tree, "post_id string, comments string"), "replies").withColumns({"key": F.get_json_object("node", "$.id"), "cut": F.lit(False), "emit": F.lit(True)})
+    for mode, last in (("stop", "c20"), ("prune", "after")):
+        got = visits.visit_wide(df, 1000, 20, str(tmp_path / mode), on_overflow=mode).orderBy("path").collect()
+        assert [r.key for r in got] == [f"c{k}" for k in range(21)] + ["after"] * (mode == "prune") and got[-1].key == last
 
 
 def test_jsonl_and_folders(spark, tmp_path):
