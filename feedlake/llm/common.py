@@ -68,14 +68,26 @@ def discard(*tables: DataFrame) -> None:
         jvm.java.lang.System.gc()
 
 
-def join_names(rows: DataFrame, names: DataFrame, keys: list[str], count: str, how: str = "inner", share: float = 1e-3) -> DataFrame:
+def hottest(names: DataFrame, count: str, most: int, step: int = 8) -> float:
+    """A bound that at most ``most`` rows' ``count`` exceeds; ``step`` bounds are tried for each power of two."""
+    grade = F.floor(F.log2(F.greatest(F.col(count), F.lit(1))) * step)
+    left, bound = most, 0.0
+    for row in names.groupBy(grade.alias("grade")).agg(F.count("*").alias("n"), F.max(count).alias("top")).orderBy(F.col("grade").desc()).collect():  # 64 * step rows at most
+        left -= row["n"]
+        if left < 0:
+            bound = float(row["top"])
+            break
+    return bound
+
+
+def join_names(rows: DataFrame, names: DataFrame, keys: list[str], count: str, how: str = "inner", share: float = 1e-3, bound: float | None = None) -> DataFrame:
     """``rows`` joined with ``names`` (materialized; one row for each key, ``count`` how often rows have it), ``how`` inner or left.
 
     Keys that more than ``share`` of the counted rows have are at most
     ``1 / share``; they join by a broadcast of that size, so that the rows of a
-    hot key stay where they are.
+    hot key stay where they are. ``bound`` (of :func:`hottest`) replaces the share.
     """
-    bound = (names.agg(F.sum(count)).first()[0] or 0) * share
+    bound = (names.agg(F.sum(count)).first()[0] or 0) * share if bound is None else bound
     hot = F.broadcast(names.filter(F.col(count) > bound).drop(count))
     cold = names.filter(F.col(count) <= bound).drop(count)
     rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_pieces import ByteLevelSplitter, span_array
-from .common import join_names, materialize, slices, text_buffers
+from .common import discard, hottest, join_names, materialize, slices, text_buffers
 
 _PIECES = pa.list_(pa.struct([("piece", pa.binary()), ("n", pa.int32())]))
 
@@ -69,15 +69,14 @@ def pieces_of(distinct: DataFrame, tokenizer: str) -> DataFrame:
     return distinct.select("piece", "uses").mapInArrow(count, "piece binary, uses long, n_pieces long")
 
 
-def token_counts(df: DataFrame, tokenizer: str, limit: int = 1024, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def token_counts(df: DataFrame, tokenizer: str, limit: int = 1024, text_col: str = "text", id_col: str = "doc_id", most_hot: int = 1 << 19) -> DataFrame:
     """One row per document: id, n_bytes (UTF-8), n_tokens, over_limit (more tokens than ``limit``).
 
     The tokenizer is a byte-level BPE one of the tokenizers library. Each
     distinct pre-token of the table is encoded once; its number of pieces
-    meets the documents' frequencies of pre-tokens in a join. Pre-tokens that
-    make up 1 in 100,000 of all or more join by broadcast: at most 100,000,
-    and as those of length L take L bytes of text at each use, their bytes
-    together are at most 100,000 times the mean length.
+    meets the documents' frequencies of pre-tokens in a join. The ``most_hot``
+    commonest pre-tokens of up to 64 bytes, and longer ones that make up 1 in
+    10,000 of all, join by broadcast; the others' rows shuffle.
 
     Null text counts as empty and has no tokens. An added token's string in a
     text is one token. Repeated rows and rows that share an id or have none
@@ -87,7 +86,11 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 1024, text_col: str
     counted = materialize(pre_token_frequencies(df, tokenizer, text_col, id_col))
     uses = counted.select(F.inline("pieces")).groupBy("piece").agg(F.sum("n").alias("uses"))
     names = materialize(pieces_of(uses, tokenizer))
-    met = join_names(counted.select("row", F.inline("pieces")), names, ["piece"], "uses", share=1e-5)
+    discard(uses)
+    bound = hottest(names.filter(F.length("piece") <= 64), "uses", most_hot)
+    far = (names.agg(F.sum("uses")).first()[0] or 0) * 1e-4
+    ranked = names.withColumn("uses", F.when((F.length("piece") <= 64) | (F.col("uses") > far), F.col("uses")).otherwise(0))
+    met = join_names(counted.select("row", F.inline("pieces")), ranked, ["piece"], "uses", bound=bound)
     sums = met.groupBy(F.col("row").alias("of")).agg(F.sum(F.col("n") * F.col("n_pieces")).alias("sum"))
     n = F.col("n_special") + F.coalesce(F.col("sum"), F.lit(0))
     return (
