@@ -57,12 +57,12 @@ def _post(df: DataFrame, source: str, **c: Column) -> DataFrame:
 def facebook_posts(df: DataFrame) -> DataFrame:
     """OP-14."""
     names = "post_id id createdAt author content url feedbackId storyId reactionsCount likes commentCount shareCount comments"
-    f = _fields(df, "raw", names)
     v = lambda n: F.col(f"f.{n}")
+    f = E.with_clean(_fields(df, "raw", names), v("content"), "clean")
     post_id, time = F.coalesce(E.truthy(v("post_id")), E.truthy(v("id"))), E.epoch_ms(v("createdAt"), zulu=False)
     return _post(
         f, "facebook", post_id=post_id, event_time=time, author_id=_member(v("author"), "id"), author_name=_member(v("author"), "name"),
-        content=E.clean_text(v("content")), url=v("url"), hashtags=F.array().cast("array<string>"),
+        content=F.col("clean"), url=v("url"), hashtags=F.array().cast("array<string>"),
         engagement=_engagement(likes=E.coalesce_int(v("reactionsCount"), v("likes")), comments=E.coalesce_int(v("commentCount")), shares=E.coalesce_int(v("shareCount"))),
         extra=F.struct(v("feedbackId").alias("feedback_id"), v("storyId").alias("story_id")),
         invalid=F.when(post_id.isNull(), "missing id").when(time.isNull(), "missing time"), tree=v("comments"),
@@ -76,7 +76,7 @@ def instagram_posts(df: DataFrame) -> DataFrame:
         "ownerId ownerUsername ownerFullName timestamp timestamp_raw latestComments"
     )
     v = lambda n: F.col(f"f.{n}")
-    f = _fields(df, "raw", names).withColumn("clean", E.clean_text(v("caption")))  # used three times, made once
+    f = E.with_clean(_fields(df, "raw", names), v("caption"), "clean")
     caption = F.col("clean")
     listed = F.from_json(v("hashtags"), "array<string>")
     tags = F.when(v("hashtags").startswith("["), listed).otherwise(E.extract_hashtags(caption))
@@ -120,7 +120,7 @@ def reddit_posts(df: DataFrame) -> DataFrame:
     )
     v = lambda n: F.col(f"f.{n}")
     written = F.trim(F.concat_ws(" ", E.truthy(v("title")), E.truthy(v("selftext"))))
-    f = _fields(df, "raw", names).withColumn("clean", E.clean_markdown(written))
+    f = E.with_clean(_fields(df, "raw", names), written, "clean", markdown=True)
     f = f.withColumn("short", E.truncate_words(F.col("clean"), 2000))
     text, content, likes = F.col("clean"), F.col("short"), E.coalesce_int(v("upvotes"), v("score"))
     post_id, time = E.truthy(v("post_id")), _reddit_time(v)
@@ -162,7 +162,7 @@ def facebook_comments(posts: DataFrame, most: int = 1000, mode: str = "as_writte
 
     n = threads.with_parent_key(n.withColumn("key", key(v)), lambda text: key(lambda name: _member(text, name)))
     n = threads.first_comments(n)
-    n = n.withColumn("clean", E.clean_text(F.coalesce(E.truthy(v("content")), v("message"))))
+    n = E.with_clean(n, F.coalesce(E.truthy(v("content")), v("message")), "clean")
     n = threads.cap_comments(n.filter(~E.is_low_value(F.col("clean")) & ~E.is_spam(F.col("clean"), "facebook", mode=mode)), most)
     who = F.coalesce(E.truthy(v("author")), v("user"))
     parent = F.coalesce(E.truthy(F.col("parent_key")), E.truthy(v("parent_id")), E.truthy(v("parentFeedbackId")))
@@ -184,7 +184,7 @@ def instagram_comments(posts: DataFrame, most: int = 20, path: str | None = None
     v = lambda x: F.col(f"f.{x}")
     n = threads.first_comments(threads.with_parent_key(n.withColumn("key", E.truthy(v("id"))), lambda text: E.truthy(_member(text, "id"))))
     time = E.epoch_ms(F.coalesce(F.nullif(E.truthy(v("timestamp_raw")), F.lit("0")), E.truthy(v("timestamp"))))
-    n = n.withColumn("clean", E.clean_text(v("text"))).withColumn("time", time)
+    n = E.with_clean(n, v("text"), "clean").withColumn("time", time)
     clean = F.col("clean")
     good = ~E.is_spam(v("text"), "instagram") & ~E.is_low_value(clean) & ~E.is_mention_only(clean) & F.col("time").isNotNull()
     n = threads.cap_comments(n.filter(good), most)
@@ -210,7 +210,7 @@ def reddit_comments(posts: DataFrame, most: int = 5000, max_depth: int = 20, on_
     v = lambda x: F.col(f"f.{x}")
     body = F.regexp_replace(F.coalesce(v("body"), F.lit("")), r"(?U)^\s+|\s+$", "")
     n = n.withColumns({"key": E.truthy(v("comment_id")), "body": body, "time": _reddit_time(v)})
-    n = threads.with_parent_key(n, lambda text: E.truthy(_member(text, "comment_id"))).withColumn("clean", E.clean_markdown(F.col("body")))
+    n = E.with_clean(threads.with_parent_key(n, lambda text: E.truthy(_member(text, "comment_id"))), F.col("body"), "clean", markdown=True)
     deleted = F.col("body").isin("[deleted]", "[removed]")
     shown = ~deleted & (F.col("clean") != "") & (F.col("body") != "")
     spam = ~deleted & E.is_spam(F.col("body"), "reddit", author=v("author"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from feedlake.functions import exprs as E
 from feedlake.operators import aggregates, clean, dedup, incremental, outcome, platforms, threads, visits
 from feedlake.session import scratch_dir
-from feedlake.sources import readers, sinks
+from feedlake.sources import readers, sinks, tables
 from feedlake.sources.schemas import COMMENT
-from feedlake.streaming import stream
+from feedlake.streaming import state, stream
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -570,12 +570,12 @@ def clean_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {POSTS_SQL} SELECT post_id AS _id, event_id FROM posts QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY ingest_time DESC) = 1")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-55: even events first, then the odd ones and all again."""
-    path = scratch_dir(spark, "served")
+    """OP-55: even events first, then all, then one post in a hundred again; each writes the buckets that it touches."""
+    served = tables.BucketTable(spark, scratch_dir(spark, "served"), buckets=16)
     p = posts(spark, sf_dir).withColumn("_id", F.col("post_id"))
-    sinks.write_upsert(spark, p.filter("event_id % 2 = 0"), path, 1)
-    sinks.write_upsert(spark, p, path, 2)
-    return sinks.write_upsert(spark, p, path, 3).select("_id", "event_id")
+    for some in ("event_id % 2 = 0", "true", "_id % 100 = 0"):
+        served.upsert(p.filter(some))
+    return served.read().select("_id", "event_id")
 
 
 @query(f"WITH {POSTS_SQL} SELECT CASE WHEN event_time < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) THEN 'batch' ELSE 'stream' END AS phase, count(*) AS n FROM posts GROUP BY ALL")
@@ -654,16 +654,18 @@ def author_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", made.alias("p")).select("event_id", karma, moderates, F.col("p").isNotNull().alias("present"))
 
 
-@query(f"WITH {POSTS_SQL} SELECT DISTINCT source, CAST(event_time::DATE AS VARCHAR) AS date, true AS stamped FROM posts")
+@query(f"""WITH {POSTS_SQL}, pairs AS (SELECT DISTINCT source, event_time::DATE AS date FROM posts UNION SELECT DISTINCT 'ALL', event_time::DATE FROM posts WHERE dayofmonth(event_time) % 2 = 0)
+       SELECT source, CAST(date AS VARCHAR) AS date, CASE WHEN source = 'ALL' THEN 3 WHEN dayofmonth(date) % 3 = 0 THEN 1 ELSE 2 END AS commit FROM pairs""")
 def ledger_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-43, OP-44: what is pending gets done and marked; the next run finds nothing (any rest would come twice)."""
-    path = scratch_dir(spark, "ledger")
+    """OP-43, OP-44: what is pending gets done and committed; whole-lake runs have keys of their own; the last run finds nothing (any rest would come with commit 0)."""
+    ledger = tables.Ledger(spark, scratch_dir(spark, "ledger"))
     pairs = posts(spark, sf_dir).select("source", F.to_date("event_time").alias("date")).distinct()
-    old = pairs.filter(F.dayofmonth("date") % 3 == 0).withColumn("processed_at", F.lit("2000-01-01").cast("timestamp"))
-    incremental.mark_processed(old, incremental.pending_partitions(pairs, old)).write.parquet(path)
-    ledger = spark.read.parquet(path)
-    rest = incremental.pending_partitions(pairs, ledger).withColumn("processed_at", F.lit(None).cast("timestamp"))
-    return ledger.unionByName(rest).select("source", F.col("date").cast("string").alias("date"), F.col("processed_at").isNotNull().alias("stamped"))
+    whole = pairs.filter(F.dayofmonth("date") % 2 == 0).select(F.lit("ALL").alias("source"), "date").distinct()
+    for some in (pairs.filter(F.dayofmonth("date") % 3 == 0), pairs, whole, pairs.unionByName(whole)):
+        ledger.mark(some)
+    rest = ledger.pending(pairs.unionByName(whole)).withColumn("commit", F.lit(0))
+    done = ledger.read(numbered=True).select("source", "date", "commit").unionByName(rest)
+    return done.withColumn("date", F.col("date").cast("string")).withColumn("commit", F.col("commit").cast("int"))
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -728,6 +730,49 @@ def stream_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.read.parquet(f"{path}/out")).select("time_start", "hashtag", "count", "rank")
 
 
+_TOP_SQL = """SELECT time_start, hashtag, count, (row_number() OVER (PARTITION BY time_start ORDER BY count DESC, hashtag))::INT AS rank FROM c QUALIFY rank <= 10"""
+
+
+@query(f"""WITH c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS time_start, 'Tag' || (user_id % 17) AS hashtag, count(*) AS count FROM events GROUP BY ALL),
+       mark AS (SELECT max(ts) - INTERVAL 5 MINUTE AS last FROM events), r AS ({_TOP_SQL})
+       SELECT CASE WHEN time_start + INTERVAL 1 HOUR <= last THEN 'closed' ELSE 'open' END AS list, r.* FROM r, mark
+       UNION ALL SELECT 'state', c.time_start, hashtag, count, 0 FROM c, mark WHERE time_start + INTERVAL 1 HOUR > last""")
+def stream_running_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-38 on a stream while windows are open: the lists of closed and of open windows, and the counts that the state still holds."""
+    path = scratch_dir(spark, "top")
+    tags = _event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("event_time"), F.array(F.concat(F.lit("Tag"), F.col("user_id") % 17)).alias("hashtags"))
+    state.running_top(stream.with_watermark(tags), path, f"{path}/state").awaitTermination()
+    columns = ["time_start", "hashtag", "count", "rank"]
+    closed = spark.read.parquet(f"{path}/closed").select(F.lit("closed").alias("list"), *columns)
+    opened = state.open_top(spark, path).join(closed.select("time_start"), "time_start", "left_anti").select(F.lit("open").alias("list"), *columns)
+    held = state.state_table(spark, f"{path}/state", "counts").select(
+        F.lit("state").alias("list"), F.col("key.time_start").alias("time_start"), F.col("user_map_key.hashtag").alias("hashtag"), F.col("user_map_value.n").alias("count"), F.lit(0).alias("rank")
+    )
+    return _rounded(closed.unionByName(opened).unionByName(held))
+
+
+@query(f"""WITH {_EVENT_POSTS}, {_PARTS_SQL}, mark AS (SELECT (SELECT max(event_time) FROM p1) - INTERVAL 12 HOUR AS first, (SELECT max(event_time) FROM ev) - INTERVAL 12 HOUR AS last),
+       r AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 WHERE time_bucket(INTERVAL 10 MINUTE, event_time) + INTERVAL 10 MINUTE > (SELECT first FROM mark)),
+       w AS (SELECT time_bucket(INTERVAL 10 MINUTE, event_time) AS time_start, source, count(*) AS n FROM r GROUP BY ALL)
+       SELECT 'window' AS held, time_start, source, n FROM w WHERE time_start + INTERVAL 10 MINUTE > (SELECT last FROM mark)
+       UNION ALL SELECT 'key', NULL, source, count(*) FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 WHERE event_time > (SELECT first FROM mark)) k
+       WHERE event_time > (SELECT last FROM mark) GROUP BY ALL""")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-48, OP-50, OP-51 with RocksDB: after two runs, the windows and keys that the state holds; what is behind the watermark has been evicted."""
+    path, e = scratch_dir(spark, "state"), table(spark, sf_dir, "events")
+    with state.rocksdb_state(spark):
+        for some in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+            e.filter(some).write.mode("append").parquet(f"{path}/in")
+            arriving = stream.with_watermark(event_posts(spark.readStream.schema(e.schema).parquet(f"{path}/in")), delay="12 hours")
+            sinks.parquet_sink(stream.window_stream(arriving), f"{path}/windows", f"{path}/window-state", once=True).awaitTermination()
+            keyed = arriving.withColumn("key", F.concat_ws("/", "source", "event_id"))
+            sinks.parquet_sink(dedup.first_arrival(keyed, ["key"]), f"{path}/first", f"{path}/key-state", once=True).awaitTermination()
+    windows = state.state_table(spark, f"{path}/window-state")
+    held = windows.select(F.lit("window").alias("held"), F.col("key.window.start").alias("time_start"), F.col("key.source").alias("source"), F.col("value.count_0").alias("n"))
+    keys = state.state_table(spark, f"{path}/key-state").groupBy(F.substring_index("key.key", "/", 1).alias("source")).agg(F.count("*").alias("n"))
+    return _rounded(held.unionByName(keys.select(F.lit("key").alias("held"), F.lit(None).cast("timestamp").alias("time_start"), "source", "n")))
+
+
 @query("SELECT count(*) AS total_rows, true AS batches, true AS rate FROM events")
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-53: totals of a query that has ended."""

@@ -49,13 +49,6 @@ def upsert(target: DataFrame | None, updates: DataFrame, keys: Sequence[str] = (
     return fresh if target is None else target.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def write_upsert(spark: SparkSession, updates: DataFrame, path: str, version: int, keys: Sequence[str] = ("_id",)) -> DataFrame:
-    """OP-55: write version ``version`` of a keyed table from the one before; readers switch when it is complete."""
-    target = spark.read.parquet(f"{path}/v={version - 1}") if version > 1 else None
-    upsert(target, updates, keys).write.mode("overwrite").parquet(f"{path}/v={version}")
-    return spark.read.parquet(f"{path}/v={version}")
-
-
 def hour_columns(df: DataFrame) -> DataFrame:
     """Partition columns of the raw lake, in UTC; posts without event time go."""
     t = F.col("event_time")

@@ -1,3 +1,4 @@
+import html.entities
 import json
 import random
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import exprs as E
 from feedlake.operators import aggregates, clean, dedup, incremental, outcome, platforms, threads, visits
-from feedlake.sources import readers, sinks
+from feedlake.sources import readers, sinks, tables
 
 POST = "post_id string, source string, event_time timestamp, ingest_time timestamp, content string, hashtags array<string>, likes long, comments long, shares long, video_views long"
 
@@ -46,6 +47,26 @@ def test_text_cleaning(spark):
     assert (row.a, row.b, row.c) == ("a <b>& c d", "see this bold no", "<é&lt;")
 
 
+def test_entities_are_those_of_the_standard_library(spark):
+    rng = random.Random(2)
+    texts = [f"a&{n}b {n} &{n.rstrip(';')}" for n in html.entities.html5]
+    texts += [f"&#{c}; &#{c} &#x{c:x};&#X{c:X}z &#0{c};" for c in [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFE, 0x10FFFF, 0x110000, 10**9, 10**30]]
+    texts += ["".join(rng.choices([*"&#;xX0129aAz \t\n", "amp", "lt", "not", "notin", "notit;", "&", "é", "&#", "&#x"], k=rng.randint(1, 25))) for _ in range(1500)] + ["", "&", "&;", "&#;", "&" + "x" * 40 + ";"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", E.html_unescape(F.col("t")).alias("u"))
+    assert "Python" not in df._jdf.queryExecution().toString()
+    wrong = [(texts[r.k], r.u, html.unescape(texts[r.k])) for r in df.collect() if r.u != html.unescape(texts[r.k])]
+    assert not wrong, wrong[:5]
+
+
+def test_cleaning_in_steps_is_cleaning_in_one_expression(spark):
+    rng = random.Random(3)
+    parts = ["see ", "https://x.y/z ", "&amp;", "*", "**", "~~", "![i](u)", "[l](http://u)", "\n", "\u00a0", "é"]
+    df = spark.createDataFrame([("".join(rng.choices(parts, k=9)),) for _ in range(200)] + [(None,)], "t string")
+    for markdown, whole in ((False, E.clean_text), (True, E.clean_markdown)):
+        both = E.with_clean(df, F.col("t"), "steps", markdown).withColumn("whole", whole(F.col("t")))
+        assert both.filter(~F.col("steps").eqNullSafe(F.col("whole"))).count() == 0
+
+
 def test_coalesce_int_and_truncate(spark):
     row = spark.createDataFrame([("x", "0", "aaa bbb ccc")], "a string, b string, t string").select(E.coalesce_int(F.col("a"), F.col("b"), F.lit("7")).alias("n"), E.truncate_words(F.col("t"), 9).alias("t")).first()
     assert (row.n, row.t) == (0, "aaa bbb")
@@ -216,6 +237,69 @@ def test_ledger_skips_second_run(spark):
     assert {(r.source, r.date is None) for r in incremental.pending_partitions(pairs, ledger).collect()} == {("ALL", False), ("reddit", True)}
 
 
+def keyed(spark, ids, text, when):
+    rows = [(i, text, when) for i in ids]
+    return spark.createDataFrame(rows, "_id string, content string, t string").select("_id", "content", F.col("t").cast("timestamp").alias("ingest_time"))
+
+
+def bucket_files(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("*.parquet") if "staged" not in p.parts}
+
+
+def test_upsert_rewrites_touched_buckets_alone(spark, tmp_path):
+    table = tables.BucketTable(spark, str(tmp_path), buckets=32)
+    table.upsert(keyed(spark, [str(k) for k in range(400)], "old", "2024-01-01"))
+    before, few = bucket_files(tmp_path / "data"), ["7", "11", "new"]
+    touched = table.upsert(keyed(spark, few, "fresh", "2024-01-02"))
+    after = bucket_files(tmp_path / "data")
+    assert len(touched) <= 3 and before.items() <= after.items()
+    assert {int(p.split("bucket=")[1].split("/")[0]) for p in after.keys() - before.keys()} == set(touched)
+    rows = {r._id: r.content for r in tables.BucketTable(spark, str(tmp_path)).read().collect()}
+    assert len(rows) == 401 and {k for k, v in rows.items() if v == "fresh"} == set(few)
+    assert table.read(1).count() == 400
+    twice = table.upsert(keyed(spark, few, "fresh", "2024-01-02"))
+    assert twice == touched and table.read().count() == 401
+
+
+def test_upsert_that_fails_before_its_manifest_changes_nothing(spark, tmp_path):
+    table = tables.BucketTable(spark, str(tmp_path), buckets=4)
+    table.upsert(keyed(spark, ["a", "b"], "old", "2024-01-01"))
+
+    def crash():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        table.upsert(keyed(spark, ["a"], "half", "2024-01-02"), before_commit=crash)
+    assert {r.content for r in table.read().collect()} == {"old"}
+    other, raced = tables.BucketTable(spark, str(tmp_path)), []
+
+    def race():
+        if not raced:
+            raced.append(other.upsert(keyed(spark, ["c"], "other", "2024-01-03")))
+
+    table.upsert(keyed(spark, ["a"], "mine", "2024-01-04"), before_commit=race)
+    assert {(r._id, r.content) for r in table.read().collect()} == {("a", "mine"), ("b", "old"), ("c", "other")}
+
+
+def test_ledger_has_both_writers_and_writes_nothing_twice(spark, tmp_path):
+    one, two = (tables.Ledger(spark, str(tmp_path)) for _ in range(2))
+    pairs = spark.createDataFrame([("reddit", "2024-01-01"), ("ALL", "2024-01-01"), ("reddit", None), ("x", "2024-01-02")], "source string, date string").withColumn("date", F.col("date").cast("date"))
+    numbers, create = [], two.log.create
+
+    def late(number, entry):  # the other writer takes the number first
+        if not numbers:
+            numbers.append(one.mark(pairs.filter("source = 'reddit'")))
+        return create(number, entry)
+
+    two.log.create = late
+    assert two.mark(pairs.filter("source = 'x'")) == 2 and numbers == [1]
+    assert {(r.source, r.date is None) for r in one.pending(pairs).collect()} == {("ALL", False), ("reddit", True)}
+    assert one.mark(pairs.filter("source = 'ALL'")) == 3 and one.mark(pairs) is None and one.log.numbers() == [1, 2, 3]
+    log = tables.CommitLog(spark, str(tmp_path / "commits"), stale=0.0)
+    (tmp_path / "commits" / ".claim-0000000004").touch()  # of a writer that died
+    assert not log.create(4, {}) and log.create(4, {"entry": "none"})
+
+
 def test_split_and_largest_file(spark):
     raw = spark.createDataFrame([('{"createdAt": 1776185999}',), ('{"createdAt": 1776186000}',), ("{}",)], "raw string")
     assert [r.phase for r in incremental.split_at(raw, incremental.raw_event_seconds(F.col("raw"), "facebook")).collect()] == ["batch", "stream", "failed"]
