@@ -64,3 +64,9 @@ def raw_event_seconds(raw: Column, platform: str) -> Column:
 def split_at(df: DataFrame, seconds: Column, instant: int = SPLIT_AT) -> DataFrame:
     """OP-47: add ``phase``: ``batch`` before the instant, ``stream`` from it on, ``failed`` without a time."""
     return df.withColumn("phase", F.when(seconds.isNull(), "failed").when(seconds < instant, "batch").otherwise("stream"))
+
+
+def write_split(raw: DataFrame, platform: str, path: str, instant: int = SPLIT_AT, raw_col: str = "raw") -> None:
+    """OP-47: raw posts as lines of text below ``phase=batch``, ``phase=stream`` and ``phase=failed``, in one pass; the text stays as it is."""
+    phased = split_at(raw, raw_event_seconds(F.col(raw_col), platform), instant)
+    phased.select(F.col(raw_col).alias("value"), "phase").write.partitionBy("phase").text(path)

@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat posts made of events and whole documents: three ids of ten events come twice, as re-scraped versions."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = docs.count()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # one file is one task otherwise; a larger join keeps this partitioning
+    n = table(spark, sf_dir, "documents").count()
     e = table(spark, sf_dir, "events")
     source = F.when(F.col("event_type") == "view", "reddit").when(F.col("event_type") == "click", "instagram").when(F.col("event_type") == "error", "other").otherwise("facebook")
     tag = F.concat(F.lit("Tag"), F.col("event_id") % 17)
@@ -176,6 +176,12 @@ def counts_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.counts_by_tier(clean.clean(posts(spark, sf_dir)))
 
 
+@query(f"WITH {CLEAN_SQL} SELECT source, count(*) AS count FROM tiered GROUP BY ALL")
+def counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-42."""
+    return aggregates.counts_by_source(clean.clean(posts(spark, sf_dir)))
+
+
 _EVENT_POSTS = """ev AS (SELECT ts AS event_time, event_type AS source, CAST(floor(value * 40) AS BIGINT) AS likes,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS comments, CAST(floor(value) AS BIGINT) AS shares, user_id, event_id FROM events)"""
 _WINDOWS = """w AS (SELECT time_bucket(INTERVAL 10 MINUTE, event_time) AS time_start, source, count(*) AS num_posts, avg(likes) AS avg_likes,
@@ -587,6 +593,29 @@ def split_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.split_at(raw, seconds, (low + (high - low) // 2) / 1e6).groupBy("phase").agg(F.count("*").alias("n"))
 
 
+@query("""WITH m AS (SELECT epoch_ms(min(ts) + (max(ts) - min(ts)) / 2) // 1000 AS middle FROM events),
+       p AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'facebook' WHEN 1 THEN 'reddit' ELSE 'instagram' END AS platform, epoch_ms(ts) // 1000 AS seconds, event_id % 5 AS form FROM events)
+       SELECT platform, CASE WHEN form = 4 OR (platform = 'facebook' AND form = 3) THEN 'failed' WHEN platform = 'facebook' AND form = 1 THEN 'stream'
+                             WHEN seconds < middle THEN 'batch' ELSE 'stream' END AS phase, count(*) AS n, count(*) AS unchanged FROM p, m GROUP BY ALL""")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-47 for three platforms: times as seconds, milliseconds, text of seconds, ISO text or none; written by phase in one pass and read again byte for byte."""
+    path, e = scratch_dir(spark, "split"), table(spark, sf_dir, "events")
+    low, high = e.agg(F.min(F.unix_millis(F.col("ts").cast("timestamp"))), F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    seconds, form = F.floor(ms / 1000).cast("long"), F.col("event_id") % 5
+    value = F.when(form == 0, seconds.cast("string")).when(form == 1, (seconds * 1000).cast("string")).when(form == 2, F.concat(F.lit('"'), seconds, F.lit('"')))
+    value = value.when(form == 3, F.concat(F.lit('"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"'))).otherwise("null")
+    out = None
+    for k, (platform, member) in enumerate((("facebook", "createdAt"), ("reddit", "created_utc"), ("instagram", "timestamp"))):
+        raw = e.filter(F.col("event_id") % 3 == k).select(F.concat(F.lit('{"n" :  '), "event_id", F.lit(f', "{member}": '), value, F.lit(', "text": "caf\u00e9 \\u00e9"}')).alias("raw"))
+        incremental.write_split(raw, platform, f"{path}/{platform}", ((low + high) // 2) // 1000)
+        got = spark.read.option("basePath", f"{path}/{platform}").text(f"{path}/{platform}")
+        same = got.join(raw, got["value"] == raw["raw"], "left").groupBy("phase").agg(F.count("*").alias("n"), F.count("raw").alias("unchanged"))
+        part = same.select(F.lit(platform).alias("platform"), "phase", "n", "unchanged")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(f"""WITH {POSTS_SQL} SELECT CASE WHEN event_id % 13 = 0 THEN 'malformed' WHEN event_id % 17 = 0 THEN 'not an object' ELSE 'good' END AS outcome, count(*) AS n
        FROM posts WHERE event_id % 50 <> 0 GROUP BY ALL""")
 def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -756,7 +785,7 @@ def stream_running_top(spark: SparkSession, sf_dir: str) -> DataFrame:
        w AS (SELECT time_bucket(INTERVAL 10 MINUTE, event_time) AS time_start, source, count(*) AS n FROM r GROUP BY ALL)
        SELECT 'window' AS held, time_start, source, n FROM w WHERE time_start + INTERVAL 10 MINUTE > (SELECT last FROM mark)
        UNION ALL SELECT 'key', NULL, source, count(*) FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 WHERE event_time > (SELECT first FROM mark)) k
-       WHERE event_time > (SELECT last FROM mark) GROUP BY ALL""")
+       WHERE event_time > (SELECT last FROM mark) - INTERVAL 12 HOUR GROUP BY ALL""")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-48, OP-50, OP-51 with RocksDB: after two runs, the windows and keys that the state holds; what is behind the watermark has been evicted."""
     path, e = scratch_dir(spark, "state"), table(spark, sf_dir, "events")
@@ -773,16 +802,22 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(held.unionByName(keys.select(F.lit("key").alias("held"), F.lit(None).cast("timestamp").alias("time_start"), "source", "n")))
 
 
-@query("SELECT count(*) AS total_rows, true AS batches, true AS rate FROM events")
+@query("""SELECT count(*) AS total_rows, 2::BIGINT AS runs, true AS batches, true AS rate, true AS mean FROM events
+       UNION ALL SELECT count(*), 1, true, true, true FROM events WHERE event_id % 10 = 0""")
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-53: totals of a query that has ended."""
-    path, metrics = scratch_dir(spark, "metrics"), stream.StreamMetrics()
-    spark.streams.addListener(metrics)
-    sinks.parquet_sink(event_posts(_event_stream(spark, sf_dir)), f"{path}/out", f"{path}/state", once=True).awaitTermination()
-    metrics.ended.wait(30)
-    spark.streams.removeListener(metrics)
-    t = metrics.table(spark)
-    return t.select("total_rows", (F.col("batches") > 0).alias("batches"), (F.col("rows_per_second") > 0).alias("rate"))
+    """OP-53: totals of a query that ran twice, and of its second run alone, from the table of its batches."""
+    path, e = scratch_dir(spark, "metrics"), table(spark, sf_dir, "events")
+    last = 0
+    for some in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+        e.filter(some).write.mode("append").parquet(f"{path}/in")
+        arriving = event_posts(spark.readStream.schema(e.schema).parquet(f"{path}/in"))
+        with stream.recorded(spark, f"{path}/batches"):
+            run = sinks.parquet_sink(arriving, f"{path}/out", f"{path}/state", once=True)
+            run.awaitTermination()
+        last = run.runId
+    batches = stream.recorded_batches(spark, f"{path}/batches")
+    both = [stream.totals(batches), stream.totals(batches.filter(F.col("run") == str(last)))]
+    return both[0].unionByName(both[1]).select("total_rows", "runs", (F.col("batches") > 0).alias("batches"), (F.col("rows_per_second") > 0).alias("rate"), (F.col("mean_batch_seconds") > 0).alias("mean"))
 
 
 @query(f"""WITH {CLEAN_SQL.replace("FROM posts QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY ingest_time DESC) = 1", "FROM posts")}
@@ -800,12 +835,19 @@ def stream_viral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query("SELECT event_type AS source, hour(ts)::INT AS hour, count(*) AS n FROM events GROUP BY ALL")
+@query("""WITH h AS (SELECT event_type AS source, ts::DATE AS date, hour(ts)::INT AS hour, count(*) AS n FROM events GROUP BY ALL)
+       SELECT source, CAST(date AS VARCHAR) AS date, hour, n, 1::BIGINT AS files, true AS bounded FROM h""")
 def stream_land(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-52."""
-    path = scratch_dir(spark, "land")
-    sinks.land_raw(event_posts(_event_stream(spark, sf_dir)), f"{path}/out", f"{path}/state", interval=None).awaitTermination()
-    return spark.read.parquet(f"{path}/out").groupBy("source", "hour").agg(F.count("*").alias("n"))
+    """OP-52: two deliveries landed by hour in files of at most 5,000 rows; then hours of several small files get compacted."""
+    path, e = scratch_dir(spark, "land"), table(spark, sf_dir, "events")
+    for some in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+        e.filter(some).write.mode("append").parquet(f"{path}/in")
+        arriving = event_posts(spark.readStream.schema(e.schema).parquet(f"{path}/in"))
+        sinks.land_raw(arriving, f"{path}/out", f"{path}/state", interval=None).awaitTermination()
+    sinks.compact_hours(spark, f"{path}/out")
+    landed = spark.read.parquet(f"{path}/out").withColumn("file", F.col("_metadata.file_path"))
+    sizes = landed.groupBy("source", F.make_date("year", "month", "day").cast("string").alias("date"), "hour", "file").agg(F.count("*").alias("rows"))
+    return sizes.groupBy("source", "date", "hour").agg(F.sum("rows").alias("n"), F.count("*").alias("files"), (F.max("rows") <= 5000).alias("bounded"))
 
 
 @query("SELECT event_type = 'error' AS error, count(*) AS n FROM events GROUP BY ALL")

@@ -56,14 +56,60 @@ def hour_columns(df: DataFrame) -> DataFrame:
     return df.filter(t.isNotNull()).withColumns(parts)
 
 
-def land_raw(df: DataFrame, path: str, checkpoint: str | None = None, interval: str | None = "60 seconds") -> StreamingQuery | None:
-    """OP-52: flat posts to Parquet by source and UTC hour. A stream without ``interval`` runs once over what is there."""
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def land_raw(df: DataFrame, path: str, checkpoint: str | None = None, interval: str | None = "60 seconds", rows: int = 5000) -> StreamingQuery | None:
+    """OP-52: flat posts to Parquet by source and UTC hour, in files of at most ``rows`` rows. A stream without ``interval`` runs once over what is there.
+
+    A stream's batch has folders of its own (``batch``) within its hours, which a retry replaces; the source's limit for each
+    trigger bounds what an hour can have in one.
+    """
     landed = hour_columns(df)
     if not df.isStreaming:
-        landed.hint("rebalance", *RAW_PARTITIONS).write.mode("append").partitionBy(*RAW_PARTITIONS).parquet(path)
+        landed.hint("rebalance", *RAW_PARTITIONS).write.mode("append").option("maxRecordsPerFile", rows).partitionBy(*RAW_PARTITIONS).parquet(path)
         return None
+    options = {"maxRecordsPerFile": rows, "partitionOverwriteMode": "dynamic"}
+
+    def write(batch: DataFrame, number: int) -> None:
+        parts = (*RAW_PARTITIONS, "batch")
+        dealt = batch.repartition(_tasks(batch.sparkSession), *RAW_PARTITIONS)  # by number: many small files take long in one task
+        dealt.withColumn("batch", F.lit(number)).write.mode("overwrite").options(**options).partitionBy(*parts).parquet(path)
+
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return landed.writeStream.format("parquet").partitionBy(*RAW_PARTITIONS).option("checkpointLocation", checkpoint).trigger(**trigger).start(path)
+    return landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def compact_hours(spark: SparkSession, path: str, rows: int = 5000, where: str = "true") -> DataFrame:
+    """OP-52: hours of a landed stream that have more files than their rows need, written anew; the hours (with files and rows before).
+
+    An hour's rows go to ``batch=-1``. All such hours are written in one job to
+    a folder aside; then each hour's folder is replaced by two renames. Compact
+    hours that get no more rows, while nothing reads them: between the renames an hour
+    is absent, and what a crash leaves below ``_compacted`` and ``_replaced`` can be moved back by hand.
+    """
+    keys = list(RAW_PARTITIONS)
+    lake = spark.read.parquet(path).filter(where)
+    files = lake.groupBy(*keys, F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    hours = files.groupBy(*keys).agg(F.count("*").alias("files"), F.sum("n").alias("rows"))
+    many = hours.filter(F.col("files") > F.ceil(F.col("rows") / rows))
+    aside = f"{path}/_compacted"
+    sliced = many.select(*keys, F.ceil(F.col("rows") / rows).alias("__slices"))
+    chosen = lake.join(sliced, keys).withColumn("batch", F.lit(-1))
+    part = F.pmod(F.xxhash64(*[c for c in lake.columns if c not in keys]), F.col("__slices"))  # an hour of many files is many tasks' work
+    chosen.repartition(_tasks(spark), *keys, part).drop("__slices").write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(*keys, "batch").parquet(aside)
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    fs = made(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = fs.globStatus(made("/".join([aside, *(f"{k}=*" for k in keys)])))
+    for status in found or []:
+        name = "/".join(str(status.getPath()).rsplit("/", len(keys))[1:])
+        fs.mkdirs(made(f"{path}/_replaced/{name}").getParent())
+        if not (fs.rename(made(f"{path}/{name}"), made(f"{path}/_replaced/{name}")) and fs.rename(status.getPath(), made(f"{path}/{name}"))):
+            raise RuntimeError(f"{name} could not be replaced")
+    for name in ("_replaced", "_compacted"):
+        fs.delete(made(f"{path}/{name}"), True)
+    return many
 
 
 def parquet_sink(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = (), mode: str = "append", once: bool = False) -> StreamingQuery:
