@@ -43,9 +43,20 @@ def flag(df: DataFrame, key: str, maps: DataFrame, bits: int) -> DataFrame:
     return df.withColumn("__dd_maybe", found).drop(*[f"__dd_{x}{i}" for x in "bm" for i in range(_PROBES)])
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with as many underscores behind it as no column of ``df`` needs."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def row_key(id_col: str, text_col: str) -> Column:
-    """A row's own key, whatever other rows share its id; rows alike in id and text have one key."""
-    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.lit("|"), F.col(text_col))
+    """A row's own key of 128 bits, whatever other rows share its id; rows alike in id and text have one key."""
+    name, text = F.col(id_col).cast("string"), F.col(text_col)
+    parts = [name.isNull(), F.length(name), name, text.isNull(), text]
+    told = F.concat(*[F.concat(F.coalesce(p.cast("string"), F.lit("")), F.lit("|")) for p in parts])
+    return F.unhex(F.substring(F.sha2(told, 256), 1, 32))
 
 
 def without(df: DataFrame, gone: DataFrame, key: str, gone_key: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import class_spans, emit_blocks, join, materialize, mix, slices, span_hashes, sum_blocks, text_buffers
-from .idsets import row_key, without
+from .idsets import free_name, row_key, without
 
 BITS = 20
 _KIND = np.full(256, 2, np.uint8)  # punctuation
@@ -148,7 +148,8 @@ def keep_sampled(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
     Rows that share an id, or have none, are sampled one by one; rows alike in
     id and text stay if one of them was sampled.
     """
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    found = importance_resample(keyed, labels, text_col=text_col, id_col="__key", label_col=id_col, **options)
-    gone = found.groupBy(F.col("__key").alias("__gone")).agg(F.max("kept").alias("__kept")).filter(~F.col("__kept")).select("__gone")
-    return without(keyed, materialize(gone), "__key", "__gone").drop("__key")
+    key = free_name(docs, "__key")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    found = importance_resample(keyed, labels, text_col=text_col, id_col=key, label_col=id_col, **options)
+    gone = found.groupBy(F.col(key).alias("__gone")).agg(F.max("kept").alias("__kept")).filter(~F.col("__kept")).select("__gone")
+    return without(keyed, materialize(gone), key, "__gone").drop(key)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import bit_filter, discard, emit_blocks, join, lower_ascii, materialize, maybe_in, mix, slices, span_hashes, sum_blocks, task_count, text_buffers, word_spans
 from .components import components
-from .idsets import without
+from .idsets import free_name, without
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,11 +139,15 @@ def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     return found
 
 
+def _alike_long(n: Column, n2: Column, percent: int) -> Column:
+    """Length filter."""
+    return F.least(n, n2) * 100 >= F.greatest(n, n2) * percent
+
+
 def _may_match(n: Column, at: Column, n2: Column, at2: Column, percent: int) -> Column:
     """Length filter, and positional filter for a pair's first common shingle."""
-    length = (F.least(n, n2) * 100) >= (F.greatest(n, n2) * percent)
     most = F.lit(1) + F.least(n - at - 1, n2 - at2 - 1)
-    return length & (most * (100 + percent) >= (n + n2) * percent)
+    return _alike_long(n, n2, percent) & (most * (100 + percent) >= (n + n2) * percent)
 
 
 def jaccard_components(
@@ -267,7 +271,7 @@ def jaccard_components(
             break
         met = apart.filter(F.col("label") != F.col("main")).select("c", F.explode("hubs").alias("hub")).distinct()
         met = met.join(marks, "c").join(marks.select(F.col("c").alias("hub"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "hub")
-        met = met.withColumn("apart", _apart(F.col("bits"), F.col("bits2"))).filter(_may_overlap(F.col("n"), F.col("n2"), F.col("apart"), percent))
+        met = met.filter(_alike_long(F.col("n"), F.col("n2"), percent)).withColumn("apart", _apart(F.col("bits"), F.col("bits2"))).filter(_may_overlap(F.col("n"), F.col("n2"), F.col("apart"), percent))
         met = met.select(F.greatest("c", "hub").alias("a"), F.least("c", "hub").alias("b"), "c", "hub", (F.col("apart") / (F.col("n") + F.col("n2"))).alias("apart"))
         best = met.join(tried, ["a", "b"], "left_anti").groupBy("c").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "hub")).alias("p"))
         new = materialize(best.select("p.*").distinct(), parts)
@@ -310,8 +314,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tex
     rows with one id, or none, a hash of the text decides, and of rows that
     are alike in both any one stays.
     """
-    keyed = materialize(docs.withColumn("__key", F.monotonically_increasing_id()))
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("__key").alias("key"))
+    key = free_name(docs, "__key")
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(key).alias("key"))
     found = jaccard_components(keyed.select(order.alias("__row"), text_col), width, percent, text_col, "__row")
     gone = materialize(found.filter(F.col("component_id.key") != F.col("__row.key")).select(F.col("__row.key").alias("__gone")))
-    return without(keyed, gone, "__key", "__gone").drop("__key")
+    return without(keyed, gone, key, "__gone").drop(key)
