@@ -1,6 +1,14 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage gets what its predecessor kept, written as Parquet and read again.
+
+In every stage null text counts as empty; empty texts are rows like others
+(they are one group of exact copies, near nothing, free of benchmark passages
+and packed as their end id alone). Texts of any length are read whole. Ties
+go to the greater doc_id among exact copies and to the smaller one among near
+copies. Repeated rows, rows that share a doc_id and rows without one are told
+apart by their text. Stages but the last return the columns they were given, whatever
+else these are called; an empty table gives an empty one.
 """
 
 from __future__ import annotations
