@@ -18,8 +18,10 @@ def warc_records(pages: DataFrame, pages_per_file: int = 512, id_col: str = "pag
     """Response records (file, offset, length, record_id, payload) of ``pages``, laid out in id order.
 
     A file holds the pages of ``pages_per_file`` consecutive ids, so its
-    window is bounded. Null url or body counts as empty; rows without an id
-    have no place in a file and go to file -1, ordered by url and body.
+    window is bounded. Null url or body counts as empty. Rows without an id
+    are dealt to files -1, -2, ... by a hash of their payload, one file for each ``pages_per_file`` of them,
+    and ordered by payload; those alike in url and body share a file. A text of any length is one record.
+    Repeated rows are records each; an empty table gives none; other columns are ignored.
     """
     body = F.coalesce(F.col(body_col), F.lit(""))
     url = F.coalesce(F.col(url_col), F.lit(""))
@@ -31,8 +33,9 @@ def warc_records(pages: DataFrame, pages_per_file: int = 512, id_col: str = "pag
         F.coalesce(F.floor(F.col(id_col) / pages_per_file), F.lit(-1)).cast("long").alias("file"),
         F.col(id_col).cast("long").alias("record_id"), payload.alias("payload"),
     ).withColumn("length", F.octet_length("payload").cast("long"))
-    # Without an id, rows are spread over files of their own by hash, so that none grows without bound.
-    rows = rows.withColumn("file", F.when(F.col("file") < 0, -1 - F.pmod(F.xxhash64("payload"), F.lit(4096))).otherwise(F.col("file")))
+    nameless = pages.filter(F.col(id_col).isNull()).count()
+    dealt = -1 - F.pmod(F.xxhash64("payload"), F.lit(1 + nameless // pages_per_file))
+    rows = rows.withColumn("file", F.when(F.col("record_id").isNull(), dealt).otherwise(F.col("file")))
     order = Window.partitionBy("file").orderBy("record_id", "payload").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0))).select("file", "offset", "length", "record_id", "payload")
 
@@ -132,7 +135,7 @@ def fixity_audit(left: DataFrame, right: DataFrame, leaf_range: int = 1 << 16, f
 
 def damaged_copy(records: DataFrame) -> DataFrame:
     """A replica with deterministic faults, for drills: by the MD5 of its
-    offset and id, one record in 16 loses its last character and one in 256 is lost."""
+    offset and id, one record in 16 loses its last five characters and one in 256 is lost."""
     digest = F.md5(F.concat_ws("/", "file", "offset", "record_id").cast("binary"))
     kept = records.filter(~digest.startswith("ab"))
     return kept.withColumn("payload", F.when(digest.startswith("7"), F.expr("substring(payload, 1, length(payload) - 5)")).otherwise(F.col("payload")))
