@@ -68,7 +68,7 @@ def identify_language(
     per_language: int = 500,
     landmarks: int = 160,
     penalty: float = 0.1,
-    most_languages: int = 200,
+    most_rows: int = 100_000,
     text_col: str = "text",
     id_col: str = "doc_id",
     lang_col: str = "lang",
@@ -76,8 +76,8 @@ def identify_language(
     """``docs``' id with lang_pred and score (0 to 1), learned from ``training``.
 
     The fit uses at most ``per_language`` rows of each language, taken in hash
-    order of the id, and ``landmarks`` of those, of the ``most_languages``
-    commonest languages. Training rows with a null
+    order of the id, and ``landmarks`` of those; fewer of each, but one at
+    least, where all languages together would have more than ``most_rows``. Every language is learned. Training rows with a null
     text, language or id are left out. Text that is null or has no letter is
     ``und`` with score 0, and so is every text if nothing could be learned.
     Repeated rows are predicted each; ties go to the first language by name;
@@ -88,9 +88,10 @@ def identify_language(
         F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")
     )
     # Rows far from the head of a language's hash order go before any sort: their share follows from its number of rows.
-    sizes = some.groupBy(F.col("__lang").alias("__of")).agg(F.count("*").alias("__n")).orderBy(F.col("__n").desc(), "__of").limit(most_languages)
+    sizes = some.groupBy(F.col("__lang").alias("__of")).agg(F.count("*").alias("__n"))
+    per_language = max(1, min(per_language, most_rows // max(1, sizes.count())))
     place = F.pmod(F.xxhash64("__id"), F.lit(1 << 32))
-    near = some.join(F.broadcast(sizes), F.col("__lang") == F.col("__of")).filter(place * F.col("__n") <= F.lit(2 * per_language + 200) * F.lit(float(1 << 32)))
+    near = some.join(sizes, F.col("__lang") == F.col("__of")).filter(place * F.col("__n") <= F.lit(2 * per_language + 200) * F.lit(float(1 << 32)))
     by = Window.partitionBy("__lang").orderBy(place, "__id")
     chosen = near.withColumn("__nth", F.row_number().over(by)).filter(F.col("__nth") <= per_language).select(F.col("__id").alias("__chosen"), "__lang")
     sample = training.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(
@@ -104,7 +105,7 @@ def identify_language(
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__lang"), pa.array(rows, pa.binary())], ["__id", "lang", "bits"])
 
     kind = sample.schema["__id"].dataType.simpleString()
-    # At most per_language rows of 2 KB for each language.
+    # Rows of 2 KB: at most most_rows, or one for each language.
     fit = sorted(sample.select("__id", "__lang", "text").mapInArrow(bits, f"__id {kind}, lang string, bits binary").collect())
     model = None
     if fit:
