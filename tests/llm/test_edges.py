@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from feedlake.llm import decontaminate, exact_dedup, importance, jaccard_join, language_id, lattice_lm, packing, repeated_spans, token_output
+from feedlake.llm import decontaminate, exact_dedup, importance, jaccard_join, language_id, lattice_lm, packing, repeated_spans, token_output, warc_fixity
 
 from .test_llm import MIXED, PIECES, WORD, docs
 
@@ -145,9 +145,40 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     text = "some text of its own that nothing else in this small table repeats at all"
     rows = [(1, text, "en", "a", 3), (1, text, "en", "a", 3), (None, None, None, None, None), (2, "", None, "b", 0), (None, text + " or nearly", "en", None, 5), (3, "word " * 50_000, "en", "a", 1)]
-    df = spark.createDataFrame(rows, schema)
+    df = spark.createDataFrame(rows, schema).withColumn("__key", F.lit("own"))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, df, sf)
-        assert name == "packing" or (out.columns == df.columns and 0 < out.count() <= len(rows))
+        assert name == "packing" or (out.columns == df.columns and 0 < out.count() <= len(rows) and out.filter("__key = 'own'").count() == out.count())
         assert stage(spark, df.limit(0), sf).count() == 0
     assert corpus_pipeline.STAGES[1][1](spark, df, sf).count() == 4 and corpus_pipeline.STAGES[2][1](spark, df, sf).count() == 4
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice([chr(0x4E00 + 40 * k + j) for j in range(30)], 60)) for k in range(201)]
+    df = spark.createDataFrame([(k, t, f"l{k:03d}") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = language_id.identify_language(df, df, per_language=5, landmarks=402, most_rows=100).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:03d}" for r in got) >= 195
+
+
+def test_fixity_of_records_without_id_and_repeats(spark):
+    rows = [(k if k % 3 else None, f"u{k % 5}", "text " * (k % 50)) for k in range(300)] + [(None, None, None)] * 3 + [(7, "u", "again")] * 2 + [(1008, "long", "x" * 200_000)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, offset long")
+    records = warc_fixity.warc_records(pages, pages_per_file=40)
+    assert records.count() == len(rows) and records.filter("record_id IS NULL").select("file").distinct().count() > 1
+    leaves = warc_fixity.leaf_hashes(records)
+    assert warc_fixity.fixity_audit(leaves, warc_fixity.leaf_hashes(warc_fixity.warc_records(pages.repartition(7), pages_per_file=40))).count() == 0
+    lost = warc_fixity.leaf_hashes(records.filter("record_id IS NULL OR record_id <> 1008"))
+    assert [(r.record_id, r.kind) for r in warc_fixity.fixity_audit(leaves, lost).collect()] == [(1008, "missing")]
+    assert warc_fixity.fixity_audit(leaves.limit(0), leaves.limit(0)).count() == 0
+
+
+def test_decontamination_takes_nulls_repeats_and_empty_tables(spark):
+    item = "then 3 old men and 5 young dogs walked over the long bridge into the dark town"
+    df = docs(spark, [*MIXED, item, item, "ab " * 50_000]).unionByName(docs(spark, [item, None]).withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.createDataFrame([(1, item, "x", 1), (1, item, "y", 2), (2, None, None, None), (None, "", "z", 0)], "item_id long, text string, doc_id string, n long")
+    got = decontaminate.contaminated(df, bench).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.verbatim) for r in got) == sorted((str(k), 1, True) for k in (len(MIXED), len(MIXED) + 1, None))
+    assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
+    kept = decontaminate.drop_contaminated(df.withColumn("__key", F.lit(1)), bench)
+    assert kept.count() == df.count() - 3 and "__key" in kept.columns
