@@ -182,3 +182,17 @@ def test_decontamination_takes_nulls_repeats_and_empty_tables(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
     kept = decontaminate.drop_contaminated(df.withColumn("__key", F.lit(1)), bench)
     assert kept.count() == df.count() - 3 and "__key" in kept.columns
+
+
+def test_a_benchmark_of_many_words_is_met_by_all_of_them(spark):
+    """Names, units and changed numbers in a benchmark of 47,500 different words."""
+    rng = np.random.default_rng(8)
+    made = iter(rng.permutation([f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in [f"{x}{y}{z}" for x in "bdfgklmnpr" for y in "aeiou" for z in "bdfgklmnprstvwxz"]])[:47_500])
+    filler = [" ".join(next(made) for _ in range(250)) for _ in range(190)]
+    items = [f"the farmer {w[0]} said that Marta walked 12 km from {w[1]} to the {w[2]} market and paid 30 dollars for {w[3]} eggs" for w in (f.split() for f in filler[:20])]
+    bench = spark.createDataFrame(list(enumerate([f"{a} . {b}" for a, b in zip(items, filler, strict=False)] + filler[20:])), "item_id long, text string")
+    copies = [t.replace("Marta", "Olga").replace("12", "7").replace("30", "45") for t in items]
+    clean = [" ".join(f"{w}q" for w in f.split()) for f in filler[:20]]
+    got = decontaminate.contaminated(docs(spark, copies + clean), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(20)} and not any(r.verbatim for r in got)
+    assert {s for r in got for s in r.slots} == {"marta=olga", "12=7", "30=45"}
