@@ -551,11 +551,11 @@ def partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {POSTS_SQL}, s AS (SELECT unnest(['reddit', 'instagram', 'facebook', 'other', 'absent']) AS source)
-       SELECT s.source, count(post_id) AS rows, count(post_id) > 0 AS has_data FROM s LEFT JOIN posts p ON p.source = s.source AND event_time::DATE = {_DAY} GROUP BY ALL""")
+       SELECT s.source, count(post_id) AS rows, count(post_id) > 0 AS has_files, count(post_id) > 0 AS has_data FROM s LEFT JOIN posts p ON p.source = s.source AND event_time::DATE = {_DAY} GROUP BY ALL""")
 def presence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-45."""
     raw = spark.read.parquet(_landed(spark, sf_dir))
-    return incremental.partition_presence(raw, _first_day(spark, sf_dir), ["reddit", "instagram", "facebook", "other", "absent"]).select("source", "rows", "has_data")
+    return incremental.partition_presence(raw, _first_day(spark, sf_dir), ["reddit", "instagram", "facebook", "other", "absent"]).select("source", "rows", (F.col("files") > 0).alias("has_files"), "has_data")
 
 
 @query(f"""WITH {CLEAN_SQL}, c AS (SELECT count(*) AS n FROM kept WHERE event_time::DATE = {_DAY})
@@ -655,11 +655,12 @@ def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(member("post_id").alias("post_id"), member("createdAt").cast("long").alias("created"), F.regexp_extract("source_file", r"(conv_id=\d+)/[^/]*$", 1).alias("folder"))
 
 
-@query(f"""WITH {POSTS_SQL} SELECT CAST(event_id AS VARCHAR) AS post_id, source, 'social-raw-' || CASE WHEN event_id % 3 = 0 THEN 'realtime' ELSE 'batch' END AS topic, likes
+@query(f"""WITH {POSTS_SQL}, found AS (SELECT CAST(event_id AS VARCHAR) AS post_id, source, CASE WHEN event_id % 3 = 0 THEN 'realtime' ELSE 'batch' END AS kind, likes
        FROM posts WHERE source IN ('reddit', 'instagram')
-       UNION ALL SELECT CAST(conv_id AS VARCHAR), 'facebook', 'social-raw-batch', length(text) FROM conversations WHERE turn = 0 AND conv_id % 9 <> 0""")
+       UNION ALL SELECT CAST(conv_id AS VARCHAR), 'facebook', 'batch', length(text) FROM conversations WHERE turn = 0 AND conv_id % 9 <> 0)
+       SELECT phase, post_id, source, 'social-raw-' || kind AS topic, likes FROM found, (SELECT unnest(['all', 'realtime']) AS phase) WHERE phase IN ('all', kind)""")
 def multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-03: three platforms, batch and realtime sets, read as one table of canonical posts."""
+    """OP-03: three platforms, batch and realtime sets, read as one table of canonical posts in each phase."""
     p, paths = posts(spark, sf_dir).withColumn("seconds", F.unix_timestamp(F.col("event_time").cast("timestamp"))), {}
     names = {"reddit": {"post_id": "event_id", "created_utc_raw": "seconds", "title": "content", "upvotes": "likes"}, "instagram": {"id": "event_id", "timestamp_raw": "seconds", "caption": "content", "likesCount": "likes"}}
     for platform, members in names.items():
@@ -669,18 +670,25 @@ def multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
             paths[platform][kind] = scratch_dir(spark, f"{platform}-{kind}")
             p.filter(F.col("source") == platform).filter(some).select(raw).write.text(paths[platform][kind])
     paths["facebook"] = {"batch": _folders(spark, sf_dir)}
-    return readers.read_sources(spark, paths, name="part-*").select("post_id", "source", "topic", F.col("engagement.likes").alias("likes"))
+    out = None
+    for phase in ("all", "realtime"):
+        found = readers.read_sources(spark, paths, phase, name="part-*").select(F.lit(phase).alias("phase"), "post_id", "source", "topic", F.col("engagement.likes").alias("likes"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN floor(value)::BIGINT ELSE -1 END AS karma, event_id % 3 <> 0 AND event_id % 2 = 0 AS is_mod,
-       event_id % 3 <> 0 AS present FROM events""")
+       event_id % 3 <> 0 AND event_id % 5 = 0 AS verified, event_id % 3 <> 0 AND event_id % 7 = 0 AS is_gold,
+       CASE WHEN event_id % 3 <> 0 THEN value ELSE -1 END AS age, event_id % 3 <> 0 AS present FROM events""")
 def author_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-17: profiles of raw posts, a third of them empty."""
-    e = table(spark, sf_dir, "events")
-    full = F.to_json(F.struct(F.floor("value").cast("long").alias("total_karma"), (F.col("event_id") % 2 == 0).alias("is_mod")))
+    """OP-17: profiles of raw posts, a third of them empty; members that are not there count as false."""
+    e, every = table(spark, sf_dir, "events"), lambda k: F.when(F.col("event_id") % k == 0, True)
+    full = F.to_json(F.struct(F.floor("value").cast("long").alias("total_karma"), (F.col("event_id") % 2 == 0).alias("is_mod"), every(5).alias("verified"), every(7).alias("is_gold"), F.col("value").alias("created_utc_raw")))
     made = platforms.author_profile(F.when(F.col("event_id") % 3 == 0, "{}").otherwise(full))
-    karma, moderates = F.coalesce("p.total_karma", F.lit(-1)).alias("karma"), F.coalesce("p.is_mod", F.lit(False)).alias("is_mod")
-    return e.select("event_id", made.alias("p")).select("event_id", karma, moderates, F.col("p").isNotNull().alias("present"))
+    or_else = lambda name, other: F.coalesce(F.col(f"p.{name}"), F.lit(other))
+    flags = [or_else(n, False).alias(n) for n in ("is_mod", "verified", "is_gold")]
+    shown = [or_else("total_karma", -1).alias("karma"), *flags, or_else("account_age_utc_raw", -1.0).alias("age"), F.col("p").isNotNull().alias("present")]
+    return e.select("event_id", made.alias("p")).select("event_id", *shown)
 
 
 @query(f"""WITH {POSTS_SQL}, pairs AS (SELECT DISTINCT source, event_time::DATE AS date FROM posts UNION SELECT DISTINCT 'ALL', event_time::DATE FROM posts WHERE dayofmonth(event_time) % 2 = 0)
@@ -824,13 +832,13 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT 'all' AS sink, source, count(*) AS n, sum(weighted_engagement)::BIGINT AS weighted FROM tiered GROUP BY ALL
        UNION ALL SELECT 'viral', source, count(*), sum(weighted_engagement)::BIGINT FROM tiered WHERE engagement_tier = 'viral' GROUP BY ALL""")
 def stream_viral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-58 to OP-60: cleaned posts to a table, viral ones to another and counts to the console, each with its own checkpoint."""
+    """OP-58 to OP-60: cleaned posts to a table, viral ones to another and a few to the console, each with its own checkpoint."""
     path = scratch_dir(spark, "viral")
     flat = posts(spark, sf_dir).withColumns({"post_id": F.col("event_id").cast("string"), "event_time": F.col("event_time").cast("timestamp"), "ingest_time": F.col("ingest_time").cast("timestamp")})
     flat.write.parquet(f"{path}/in")
     cleaned = stream.process_stream(spark.readStream.schema(flat.schema).parquet(f"{path}/in"))
     sink = sinks.MultiSink(f"{path}/state").add_parquet(cleaned, f"{path}/all", once=True).add_viral(cleaned, f"{path}/viral", once=True)
-    sink.add_console(cleaned.select("source").filter("source = 'none'"), once=True).wait()
+    sink.add_console(cleaned.filter("post_id < 100").select("post_id", "source", "engagement_tier"), once=True).wait()
     parts = [spark.read.parquet(f"{path}/{name}").groupBy(F.lit(name).alias("sink"), "source").agg(F.count("*").alias("n"), F.sum("weighted_engagement").alias("weighted")) for name in ("all", "viral")]
     return parts[0].unionByName(parts[1])
 
