@@ -180,7 +180,7 @@ def test_wide_visit_is_the_fold(spark, tmp_path, mode):
     rng = random.Random(5)
     trees = [(str(k), json.dumps(random_tree(rng, 0, [None, "", *range(4 + 4 * k)]))) for k in range(25)]
     df = flags(threads.flatten_tree(spark.createDataFrame(trees, "post_id string, comments string"), "replies")).repartition(6).cache()
-    for cap, deepest in ((1000, 20), (6, 20), (1000, 3), (4, 2)):
+    for cap, deepest in ((1000, 20), (5, 3)):
         plain = lambda rows: sorted((r.post, r.path) for r in rows.collect())
         want = plain(threads.visit_threads(df, cap, deepest, on_overflow=mode))
         assert plain(visits.visit_wide(df, cap, deepest, str(tmp_path / f"{cap}-{deepest}"), on_overflow=mode)) == want and want
