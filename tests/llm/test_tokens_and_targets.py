@@ -138,7 +138,7 @@ def test_target_resampling_breaks_ties_and_keeps_repeats(spark):
     assert empty.columns == ["doc_id", "n_features", "weight", "score", "rank"] and not empty.count()
 
 
-@pytest.mark.parametrize("n", [1, 2, 3000])
+@pytest.mark.parametrize("n", [2, 3000])
 def test_cutoff_is_the_exact_key(spark, n):
     keys = spark.range(n).select((F.xxhash64("id") % 9).alias("score"), (F.xxhash64("id", F.lit(1)) % 50).alias("id"), F.col("id").alias("row")).repartition(6)
     keys = spark.createDataFrame(keys.collect(), keys.schema).repartition(6)
