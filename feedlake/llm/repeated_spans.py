@@ -10,11 +10,13 @@ anchor is the position whose 100-byte string has the least hash in some 301
 consecutive positions; every 400-byte string holds one, and equal strings hold
 theirs at the same place. The start positions with one anchor are its run.
 Anchors whose 100-byte string is unique leave first, and of runs that repeat
-as a whole, one stands for all. The rounds then name the blocks of 100, 200
-and 300 bytes at steps of 100 around the anchors of the other runs. Start
-positions between two steps extend the name of the 300 bytes that all of them
-contain by the bytes left and right of these: ten positions at a time, and at
-last one by one where the ten do not agree.
+as a whole, one stands for all. The rounds then name the strings of 50, 100
+and 200 bytes at steps of 50 around the anchors of the other runs, by the
+pair of names at an offset of 50 and of 100, and those of 350 bytes by two
+names of 200 bytes that overlap (offset 150). Start positions between two
+steps extend the name of the 350 bytes that all of them contain by the bytes
+left and right of these: ten positions at a time, and at last one by one
+where the ten do not agree.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from .common import bit_filter, discard, join, join_names, materialize, maybe_in
 
 _LOW = 23  # bits of a position within a part of a text
 _PART = 1 << 22  # start positions handled at once
-_NODES = 8  # places of a run's blocks in the number of a position
+_NODES = 16  # places of a run's blocks in the number of a position
 
 
 def _anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -107,11 +109,10 @@ def _rerank(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
     return materialize(join_names(rows, names, keys, "__n").select("run", "k", "w", F.col("__rank").alias("rank")), parts)
 
 
-def _pairs(ranked: DataFrame, parts: int) -> DataFrame:
-    """(run, k, w, rank, next): each position's rank with that of the next step, where both are left."""
-    here = Window.partitionBy("run").orderBy("k")
-    ahead = ranked.withColumns({"next": F.lead("rank").over(here), "step": F.lead("k").over(here) - F.col("k")})
-    return materialize(ahead.filter("step = 1").drop("step"), parts)
+def _pairs(ranked: DataFrame, offset: int, parts: int) -> DataFrame:
+    """(run, k, w, rank, next): each position's rank with that ``offset`` steps on, where both are left."""
+    there = Window.partitionBy("run").orderBy("k").rangeBetween(offset, offset)
+    return materialize(ranked.withColumn("next", F.max("rank").over(there)).filter("next IS NOT NULL"), parts)
 
 
 def _settle(rows: DataFrame, place: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +140,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, n_kept.
 
     Texts are UTF-8 bytes. Every byte covered by a ``length``-byte string (a
-    multiple of 4) that also starts anywhere else, in the same text or another
+    multiple of 8) that also starts anywhere else, in the same text or another
     row's, is removed, as judged on the input. Null text counts as empty;
     texts shorter than ``length`` lose nothing; of equal texts at least that
     long, every byte goes. A null id is an ordinary id. Other columns are
@@ -153,8 +154,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
     spark, seeds = docs.sparkSession, (secrets.randbits(64), secrets.randbits(64))
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    block = length // 4
-    tenth = -(-block // 10)
+    gram, step = length // 4, length // 8
+    few = -(-step // 5)  # start positions looked at together
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -163,7 +164,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
         for batch in batches:
             n = batch.num_rows
             data, at = text_buffers(batch.column("text"))
-            parts = list(_runs(data, at, length, block, seeds[0]))
+            parts = list(_runs(data, at, length, gram, seeds[0]))
             text = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
             h = np.concatenate([p[4] for p in parts]).view(np.int64) if parts else np.zeros(0, np.int64)
             raws = [data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -182,7 +183,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
     groups = materialize(every.groupBy("h1", "h2").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.max("n").alias("n")), parts)
     whole = groups.filter((F.col("copies") > 1) & (F.col("n") >= length)).select("h1", "h2")
 
-    # Anchors by their block, one of equal texts taking part.
+    # Anchors by their gram, one of equal texts taking part.
     once = every.join(groups.select("row"), "row", "left_semi").select(F.explode("grams").alias("gram"))
     repeated = materialize(once.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), parts)
     alive = spark.sparkContext.broadcast(bit_filter(repeated, "gram"))
@@ -193,7 +194,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
         for batch in batches:
             data, at = text_buffers(batch.column("text"))
             rows, hashes = [], {}
-            for text, x, first, last, h in _runs(data, at, length, block, seeds[0]):
+            for text, x, first, last, h in _runs(data, at, length, gram, seeds[0]):
                 ok = maybe_in(alive.value, h)
                 text, x, first, last = text[ok], x[ok], first[ok], last[ok]
                 if not len(x):
@@ -233,7 +234,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
     )
     ranked = materialize(ranked.withColumn("run", F.monotonically_increasing_id()), parts)
 
-    # Cells: the start positions of a run between two steps, with the bytes before and after the three blocks they share.
+    # Cells: the start positions of a run between two steps, with the bytes before and after the seven blocks they share.
     listed = ranked.filter("goes_on").groupBy("seg").agg(F.flatten(F.collect_list(F.array("run", "x", "first", "last", "w"))).alias("list"))
 
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,35 +244,43 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
             run, x, first, last, w = lists.flatten().to_numpy().reshape(-1, 5).T
             many = np.diff(lists.offsets.to_numpy()) // 5
             base, seg = np.repeat(at[:-1], many), np.repeat(batch.column("seg").to_numpy(), many)
-            low, high = (first - x) // block, (last - x) // block
+            low, high = (first - x) // step, (last - x) // step
             cells = high - low + 1
             i = np.repeat(np.arange(len(x)), cells)
             j = np.arange(len(i)) - np.repeat(np.cumsum(cells) - cells, cells) + low[i]
-            zero = x[i] + j * block  # the step at or before the cell's positions, within the segment
-            d1, d2 = np.maximum(first[i] - zero, 0), np.minimum(last[i] - zero, block - 1)
-            padded = np.concatenate([np.zeros(block, np.uint8), data, np.zeros(block, np.uint8)])
-            k = np.arange(block)
-            left = padded[(base[i] + zero + block)[:, None] + k] * (k >= d1[:, None])
-            right = padded[(base[i] + zero + 5 * block)[:, None] + k] * (k < d2[:, None])
+            zero = x[i] + j * step  # the step at or before the cell's positions, within the segment
+            d1, d2 = np.maximum(first[i] - zero, 0), np.minimum(last[i] - zero, step - 1)
+            padded = np.concatenate([np.zeros(step, np.uint8), data, np.zeros(step, np.uint8)])
+            k = np.arange(step)
+            left = padded[(base[i] + zero + step)[:, None] + k] * (k >= d1[:, None])
+            right = padded[(base[i] + zero + length + step)[:, None] + k] * (k < d2[:, None])
             sides = np.concatenate([left, right], axis=1).astype(np.uint8)
-            p = base[i] + zero + block  # the three blocks
-            names = [h for n in range(3) for h in _two(data, p + n * block, p + (n + 1) * block, seeds)]
+            # Each cell names the first of its blocks, the last of a run all seven.
+            own = np.where(j == high[i], 7, 1)
+            ends = np.cumsum(own)
+            of = np.repeat(np.arange(len(i)), own)
+            p = (base[i] + zero + step)[of] + (np.arange(len(of)) - (ends - own)[of]) * step
+            offsets = pa.array(np.append(0, ends).astype(np.int32))
+            names = [pa.ListArray.from_arrays(offsets, pa.array(h)) for h in _two(data, p, p + step, seeds)]
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, (seg[i], run[i], j + 3, w[i], zero, d1, d2)), *map(pa.array, names), pa.array([r.tobytes() for r in sides], pa.binary())],
-                ["seg", "run", "k", "w", "zero", "d1", "d2", "a1", "a2", "b1", "b2", "c1", "c2", "sides"],
+                [*map(pa.array, (seg[i], run[i], j + 6, w[i], zero, d1, d2)), *names, pa.array([r.tobytes() for r in sides], pa.binary())],
+                ["seg", "run", "k", "w", "zero", "d1", "d2", "n1", "n2", "sides"],
             )
 
-    schema = "seg long, run long, k long, w long, zero long, d1 long, d2 long, a1 long, a2 long, b1 long, b2 long, c1 long, c2 long, sides binary"
+    schema = "seg long, run long, k long, w long, zero long, d1 long, d2 long, n1 array<long>, n2 array<long>, sides binary"
     cells = materialize(segments.select("seg", "data").join(listed, "seg").mapInArrow(cells_of, schema), parts)
 
-    # Rounds: blocks, then pairs of ranks at the next step, for 100, 200 and 300 bytes. Block k of a run is the first that cell k contains.
-    blocks = cells.select("run", "w", F.explode(F.array(*[F.struct((F.col("k") + n).alias("k"), F.col(f"{c}1").alias("n1"), F.col(f"{c}2").alias("n2")) for n, c in enumerate("abc")])).alias("b"))
-    blocks = blocks.groupBy("run", F.col("b.k").alias("k")).agg(F.first("w").alias("w"), F.first("b.n1").alias("n1"), F.first("b.n2").alias("n2"))
-    one = _rerank(materialize(blocks, parts), ["n1", "n2"], parts)
-    two = _rerank(_pairs(one, parts), ["rank", "next"], parts)
-    three = _rerank(_pairs(two, parts), ["rank", "next"], parts)
-    opened = materialize(cells.select("seg", "run", "k", "w", "zero", "d1", "d2", "sides").join(three.select("run", "k", "rank"), ["run", "k"]).withColumn("cell", F.monotonically_increasing_id()), parts)
-    discard(cells, one, two, three)
+    # Rounds: names of one block, then pairs of names at growing offsets: 2, 4 and 7 blocks. Block k of a run is the first that cell k contains.
+    blocks = cells.select("run", "w", "k", F.posexplode(F.arrays_zip("n1", "n2")).alias("n", "b")).select("run", (F.col("k") + F.col("n")).alias("k"), "w", "b.n1", "b.n2")
+    named = [_rerank(blocks, ["n1", "n2"], parts)]
+    for offset in (1, 2, 3):
+        pairs = _pairs(named[-1], offset, parts)
+        named.append(_rerank(pairs, ["rank", "next"], parts))
+        discard(pairs)
+    opened = materialize(
+        cells.select("seg", "run", "k", "w", "zero", "d1", "d2", "sides").join(named[-1].select("run", "k", "rank"), ["run", "k"]).withColumn("cell", F.monotonically_increasing_id()), parts
+    )
+    discard(cells, *named)
 
     def extend(batch: pa.RecordBatch, i: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
         """Hash of the rank of cell i's shared bytes, those before them from ``low`` on and those after them up to ``high``."""
@@ -279,19 +288,19 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
         rank = batch.column("rank").to_numpy().view(np.uint64)[i]
         out = []
         for s in seeds:
-            before = span_hashes(data, at[i] + low, at[i] + block, s)
-            after = span_hashes(data, at[i] + block, at[i] + block + high, s)
+            before = span_hashes(data, at[i] + low, at[i] + step, s)
+            after = span_hashes(data, at[i] + step, at[i] + step + high, s)
             out.append(mix(join(join(mix(rank ^ np.uint64(s)), before), after)).view(np.int64))
         return out
 
     def tens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d1, d2 = batch.column("d1").to_numpy(), batch.column("d2").to_numpy()
-            low = d1 // tenth
-            many = d2 // tenth - low + 1
+            low = d1 // few
+            many = d2 // few - low + 1
             i = np.repeat(np.arange(len(d1)), many)
             t = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + low[i]
-            start, end = t * tenth, np.minimum(t * tenth + tenth - 1, block - 1)
+            start, end = t * few, np.minimum(t * few + few - 1, step - 1)
             full = (start >= d1[i]) & (end <= d2[i])
             c1, c2 = extend(batch, i, end, start)
             s1, s2 = extend(batch, i, start, end)
@@ -310,8 +319,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
             lists = batch.column("list")
             t, w = lists.flatten().to_numpy().reshape(-1, 2).T
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()) // 2)
-            a = np.maximum(t * tenth, batch.column("d1").to_numpy()[row])
-            b = np.minimum(np.minimum(t * tenth + tenth - 1, block - 1), batch.column("d2").to_numpy()[row])
+            a = np.maximum(t * few, batch.column("d1").to_numpy()[row])
+            b = np.minimum(np.minimum(t * few + few - 1, step - 1), batch.column("d2").to_numpy()[row])
             many = b - a + 1
             d = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a, many)
             i = np.repeat(row, many)
@@ -322,7 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
     leaves = materialize(sides.drop("w").join(asked, "cell").mapInArrow(singles, "cell long, d long, c1 long, c2 long, w long"), parts)
     twice = leaves.groupBy("c1", "c2").agg(F.sum("w").alias("n")).filter("n > 1").select("c1", "c2")
     single = leaves.filter("w = 1").join(twice, ["c1", "c2"], "left_semi").select("cell", F.col("d").alias("a"), F.col("d").alias("b"))
-    ten = settled.filter("found").select("cell", (F.col("t") * tenth).alias("a"), F.least((F.col("t") + 1) * tenth - 1, F.lit(block - 1)).alias("b"))
+    ten = settled.filter("found").select("cell", (F.col("t") * few).alias("a"), F.least((F.col("t") + 1) * few - 1, F.lit(step - 1)).alias("b"))
     by_cell = single.unionByName(ten).groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     shifted = F.transform("spans", lambda s: F.struct((s["a"] + F.col("zero")).alias("a"), (s["b"] + F.col("zero") + length).alias("b")))
     between = opened.select("seg", "cell", "zero").join(by_cell, "cell").select("seg", shifted.alias("spans"))
