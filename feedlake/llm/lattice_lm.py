@@ -82,11 +82,12 @@ class Lattice:
                     break
         return sorted(out, key=lambda x: x[1])
 
-    def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _groups(self, words: list[bytes], columns: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of up to 64 bytes by length, as many at once as their forward sums in ``columns`` classes leave memory for."""
         sizes = np.array([len(w) for w in words])
         for size in np.unique(sizes[sizes <= _LONG]):
             rows = np.flatnonzero(sizes == size)
-            step = 500_000 // int(size)
+            step = max(1, 4_000_000 // (int(size) * max(8, columns)))
             for a in range(0, len(rows), step):
                 some = rows[a : a + step]
                 yield some, np.frombuffer(b"".join(words[k] for k in some), np.uint8).reshape(len(some), -1)
@@ -128,7 +129,7 @@ class Lattice:
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's marginal probability, one column a class; words are given with their leading space."""
         out = np.zeros((len(words), self.logp.shape[1]))
-        for rows, w in self._groups(words):
+        for rows, w in self._groups(words, out.shape[1]):
             start = np.zeros((len(rows), self.logp.shape[1]))
             out[rows] = self._forward(self.arcs(w), w.shape[1], start, lambda _, ids: self.logp[ids])[-1]
         for k in [k for k, w in enumerate(words) if len(w) > _LONG]:
@@ -231,7 +232,6 @@ def lattice_scores(
     rounds: int = 2,
     frequent: int = 1 << 17,
     class_col: str | None = "lang",
-    most_classes: int = 8,
     text_col: str = "text",
     id_col: str = "doc_id",
 ) -> DataFrame:
@@ -247,17 +247,18 @@ def lattice_scores(
     ``score`` the log10 marginal probability of the token sequence over
     segmentations and classes.
 
-    Classes are the ``most_classes`` commonest values of ``class_col`` among
-    training rows; all other values, and null, form one more (without the
-    column there is that one only). A document's own value is never used in
-    its score.
+    Classes are all values of ``class_col`` among training rows; null, and
+    values of held-out rows only, form one more (without the column there is
+    that one only). A document's own value is never used in its score. Memory
+    and the tables of words grow with pieces or words times classes, so that
+    ``class_col`` should hold languages or the like.
 
     Null or empty text has the end token alone. A null id counts as empty
     text in the checksum. Repeated rows are scored each. Other columns are
     ignored; an empty table gives no rows.
 
     The counts stay distributed. At most ``frequent`` of the commonest words
-    are broadcast, those above a count that a histogram of counts tells; the
+    (fewer beyond eight classes, as a word has a number for each) are broadcast, those above a count that a histogram of counts tells; the
     others of each document, as 128-bit hashes with a seed of this call, are
     joined with the counts.
     """
@@ -266,31 +267,28 @@ def lattice_scores(
     named = F.col(class_col).cast("string") if class_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), _held_out(id_col).alias("held_out"), named.alias("name"))
     by_name = texts.filter(~F.col("held_out") & F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("n"))
-    names = [r["name"] for r in by_name.orderBy(F.col("n").desc(), "name").limit(most_classes).collect()]
-    number = F.coalesce(*[F.when(F.col("name") == name, F.lit(k)) for k, name in enumerate(names)], F.lit(len(names)))
+    names = [r["name"] for r in by_name.orderBy(F.col("n").desc(), "name").collect()]  # a row a class
+    numbers = F.create_map(*[F.lit(x) for pair in enumerate(names) for x in reversed(pair)]) if names else None
+    number = F.lit(0) if numbers is None else F.coalesce(F.try_element_at(numbers, F.col("name")), F.lit(len(names)))
     texts = texts.withColumn("class", number).drop("name")
     partial = texts.select("text", "held_out", "class").mapInArrow(_word_counts, "word binary, class int, c long, c_all long")
     every = range(len(names) + 1)
     per_class = F.array(*[F.sum(F.when(F.col("class") == k, F.col("c")).otherwise(0)) for k in every])
     lexicon = materialize(partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"), per_class.alias("by_class")))
 
-    def of(k: int) -> Column:
-        return F.get("by_class", F.lit(k))
-
-    total = lexicon.agg(
-        F.sum("c").alias("c"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.count("*").alias("all"),
-        *[F.array(*[F.sum(f(of(k))) for k in every]).alias(name) for name, f in {
-            "words": lambda x: x, "kinds": lambda x: (x > 0).cast("long"), "once": lambda x: (x == 1).cast("long"), "twice": lambda x: (x == 2).cast("long")
-        }.items()],
-    ).first()
-    # Summing a word's lattice is the work here, so that the lexicon is dealt out by its number of words.
-    dealt = lexicon.repartition(max(spark.sparkContext.defaultParallelism, total["all"] // 100_000))
+    total = lexicon.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v"), F.count("*").alias("all")).first()
+    own = lexicon.select(F.posexplode("by_class").alias("k", "n")).filter("n > 0").groupBy("k")
+    own = own.agg(F.sum("n").alias("words"), F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+    by_class = {r["k"]: r for r in own.collect()}
+    # Summing a word's lattice is the work here, so that the lexicon is dealt out by its number of words and classes.
+    wide = max(8, len(by_class))
+    dealt = lexicon.repartition(max(spark.sparkContext.defaultParallelism, total["all"] * wide // 800_000))
     trained = texts.filter(~F.col("held_out")).count()
     n_train, distinct = (total["c"] or 0) + trained, (total["v"] or 0) + (trained > 0)
 
     # Classes seen in training; where there is none, one without counts of its own.
-    seen = [k for k in every if total["words"][k]] or [0]
-    sizes, kinds, once, twice = (np.array([total[name][k] or 0 for k in seen], float) for name in ("words", "kinds", "once", "twice"))
+    seen = sorted(by_class) or [0]
+    sizes, kinds, once, twice = (np.array([by_class[k][name] if by_class else 0 for k in seen], float) for name in ("words", "kinds", "once", "twice"))
     discount = np.clip(np.divide(once, once + 2 * twice, out=np.full(len(seen), 0.5), where=once > 0), 0.05, 0.95)
     with np.errstate(divide="ignore", invalid="ignore"):
         log_class = np.log(sizes / sizes.sum()) if sizes.sum() else np.zeros(1)
@@ -321,7 +319,7 @@ def lattice_scores(
     word_share = math.log10(1 - 10**end_log10)  # a token is a word rather than the end
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _large(batches):
+        for batch in _large(batches, 800_000 // wide):
             words = batch.column("word").to_pylist()
             own = batch.column("by_class").flatten().to_numpy().reshape(len(words), -1)[:, seen]
             with np.errstate(divide="ignore"):
@@ -345,7 +343,7 @@ def lattice_scores(
     least, many = None, 0
     for row in sorted(steps.collect(), reverse=True):  # far fewer rows than words
         many += row["n"]
-        if many > frequent:
+        if many > frequent * 8 // wide:
             break
         least = row["c_all"]
     often = weighed.filter(bound & (F.col("c_all") >= least)).select("word", "h1", "c", "logp").collect() if least else []
@@ -410,10 +408,10 @@ def lattice_scores(
     )
     zero = F.lit(0.0)
     end_base = math.log10((trained + 0.1) / smooth) if smooth else 0.0
-    by_class = [F.get("logp", F.lit(k)) + F.coalesce(F.col(f"r_{k}"), zero) + float(p) for k, p in enumerate(log_class)]
-    most = F.greatest(*by_class) if len(by_class) > 1 else by_class[0]
-    marginal = (most + F.log(sum((F.exp(x - most) for x in by_class), zero))) * scale
-    return rows.drop("h1", "h2").join(rest, "row", "left").select(
+    each = F.array(*[F.get("logp", F.lit(k)) + F.coalesce(F.col(f"r_{k}"), zero) + float(p) for k, p in enumerate(log_class)])
+    summed = rows.drop("h1", "h2").join(rest, "row", "left").withColumn("each", each).withColumn("most", F.array_max("each"))
+    marginal = (F.col("most") + F.log(F.aggregate("each", zero, lambda s, x: s + F.exp(x - F.col("most"))))) * scale
+    return summed.select(
         F.col("__id").alias(id_col),
         "held_out",
         (F.col("words") + 1).alias("n_tokens"),

@@ -119,15 +119,19 @@ def test_lattice_counts_long_words(monkeypatch):
     assert np.allclose(got, lattice.expected_counts(words, np.zeros(3, int))[:, 0])
 
 
-def test_lattice_score_is_the_mixture_of_word_marginals(spark):
-    """Document scores against the formula, with the pieces' own probabilities (no rounds of adaptation)."""
+@pytest.mark.parametrize("more", [0, 7, 199])
+def test_lattice_score_is_the_mixture_of_word_marginals(spark, more):
+    """Document scores against the formula, with the pieces' own probabilities (no rounds of adaptation) and with every language a class."""
     texts = ["the cat sat", "the the mat", "le chat noir", "the zebra", None, "le le noir", "a cat", "der hund", "the sat", "le mat"]
     langs = ["en", "en", "fr", "en", None, "fr", "en", None, "en", "fr"]
+    texts += [f"{w} w{k} the w{k}" for k in range(more) for w in ("x", "y")]
+    langs += [f"l{k}" for k in range(more) for _ in "xy"]
     got = {r.doc_id: r.score for r in lattice_lm.lattice_scores(docs(spark, texts, langs), PIECES, rounds=0, frequent=2).collect()}
     pieces, own = lattice_lm.load_pieces(PIECES)
     prob = 1 / (np.argsort(np.argsort(-own)) + 30.0)
     lattice = lattice_lm.Lattice(pieces, np.log(prob / prob.sum()))
-    train = [i for i in range(10) if zlib.crc32(str(i).encode()) % 10]
+    spelled = {w: math.exp(lattice.log_probability([b" " + w])[0, 0]) for t in texts if t for w in t.encode().split()}
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
     count = defaultdict(Counter)
     for i in train:
         count[langs[i]].update((texts[i] or "").encode().split())
@@ -139,7 +143,7 @@ def test_lattice_score_is_the_mixture_of_word_marginals(spark):
         for k in size:
             ones, twos = sum(v == 1 for v in count[k].values()), sum(v == 2 for v in count[k].values())
             off = min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
-            each = [max(count[k][w] - off, 0) / size[k] + off * len(count[k]) / size[k] * math.exp(lattice.log_probability([b" " + w])[0, 0]) for w in words]
+            each = [max(count[k][w] - off, 0) / size[k] + off * len(count[k]) / size[k] * spelled[w] for w in words]
             total += size[k] / sum(size.values()) * math.prod(each)
         assert np.isclose(got[i], math.log10(total) + len(words) * math.log10(1 - end) + math.log10(end)), i
 
