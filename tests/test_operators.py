@@ -324,3 +324,29 @@ def test_kafka_rows_take_json_only(spark):
     with pytest.raises(ValueError):
         sinks.kafka_rows(spark.range(1), value_format="csv")
     assert sinks.kafka_rows(spark.range(1), "id").first().value == '{"id":0}'
+
+
+def test_texts_are_joined_to_the_versions_that_stay(spark):
+    rows = spark.createDataFrame([(k, k % 3, k) for k in range(6)], "event_id long, post_id long, ingest_time long")
+    rows = rows.withColumns({"event_time": F.timestamp_millis("event_id"), "source": F.lit("reddit"), "hashtags": F.array(F.lit("X")), **{c: F.lit(1) for c in ("likes", "comments", "shares", "video_views")}})
+    texts, seen = spark.createDataFrame([(k, "  " if k == 5 else f"text  of {k}") for k in range(6)], "event_id long, content string"), []
+
+    def attach(latest):
+        seen.extend(latest.select("event_id").collect())
+        return latest.join(texts, "event_id")
+
+    late, whole = clean.clean(rows, attach=attach), clean.clean(rows.join(texts, "event_id"))
+    shown = lambda df: sorted((r.event_id, r.content_clean, r.engagement_tier) for r in df.collect())
+    assert shown(late) == shown(whole) == [(3, "text of 3", "low"), (4, "text of 4", "low")] and sorted(r.event_id for r in seen) == [3, 4, 5]
+
+
+def test_queries_shuffle_no_text_to_tell_versions_apart(spark, tmp_path):
+    from feedlake.plans import queries
+
+    d = str(tmp_path)
+    spark.range(4).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text")).filter("doc_id <> 2").write.parquet(f"{d}/documents.parquet")
+    events = spark.range(20).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit('{"k": 1}').alias("props"))
+    events.write.parquet(f"{d}/events.parquet")
+    late, whole = queries.cleaned(spark, d), clean.clean(queries.posts(spark, d))
+    assert sorted(late.select("event_id", "content_clean").collect()) == sorted(whole.select("event_id", "content_clean").collect()) and late.count() > 5
+    assert "content" not in queries.bare_posts(spark, d).columns and "text:string" not in queries.bare_posts(spark, d)._jdf.queryExecution().executedPlan().toString()
