@@ -350,3 +350,12 @@ def test_queries_shuffle_no_text_to_tell_versions_apart(spark, tmp_path):
     late, whole = queries.cleaned(spark, d), clean.clean(queries.posts(spark, d))
     assert sorted(late.select("event_id", "content_clean").collect()) == sorted(whole.select("event_id", "content_clean").collect()) and late.count() > 5
     assert "content" not in queries.bare_posts(spark, d).columns and "text:string" not in queries.bare_posts(spark, d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clean_write_from_the_tasks_as_they_are(spark, tmp_path):
+    path = str(tmp_path)
+    df = clean.clean(posts(spark, {}, {"post_id": "q", "source": "other"}))
+    for _ in range(2):
+        sinks.write_clean(df, path, deal=False)
+    got = spark.read.parquet(path)
+    assert sorted((r.post_id, r.source) for r in got.collect()) == [("p", "reddit"), ("q", "other")] and all(f.endswith(".zstd.parquet") for f in got.inputFiles())
