@@ -359,3 +359,14 @@ def test_clean_write_from_the_tasks_as_they_are(spark, tmp_path):
         sinks.write_clean(df, path, deal=False)
     got = spark.read.parquet(path)
     assert sorted((r.post_id, r.source) for r in got.collect()) == [("p", "reddit"), ("q", "other")] and all(f.endswith(".zstd.parquet") for f in got.inputFiles())
+
+
+def test_upsert_joins_texts_late_and_keeps_rows_by_few_keys_or_few_survivors(spark, tmp_path, monkeypatch):
+    text = lambda rows: rows.withColumn("content", F.concat(F.lit("text "), "_id"))
+    for few in (0, 3, 1000):
+        monkeypatch.setattr(tables, "FEW", few)
+        table = tables.BucketTable(spark, str(tmp_path / str(few)), buckets=4)
+        table.upsert(keyed(spark, ["1", "2", "3", "4", "5", "6", None], "", "2024-01-01").withColumn("content", F.lit("old")))
+        table.upsert(keyed(spark, ["1", "2", "3", "4", "7"], "", "2024-01-02").drop("content"), attach=text, deal=False)
+        got = {r._id: r.content for r in table.read().collect()}
+        assert got == {k: f"text {k}" for k in "12347"} | {"5": "old", "6": "old", None: "old"} and table.read().count() == 8
