@@ -1,6 +1,7 @@
 import html.entities
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -370,3 +371,14 @@ def test_upsert_joins_texts_late_and_keeps_rows_by_few_keys_or_few_survivors(spa
         table.upsert(keyed(spark, ["1", "2", "3", "4", "7"], "", "2024-01-02").drop("content"), attach=text, deal=False)
         got = {r._id: r.content for r in table.read().collect()}
         assert got == {k: f"text {k}" for k in "12347"} | {"5": "old", "6": "old", None: "old"} and table.read().count() == 8
+
+
+def test_white_space_is_collapsed_without_a_match_for_single_blanks(spark):
+    rng = random.Random(5)
+    spaces = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+    texts = ["".join(rng.choices([*spaces, *"   a", "é", "ạ", "​", "一", "\x1f", "\x08", "\x0e", "\U0001f600"], k=rng.randint(0, 12))) for _ in range(2000)]
+    pattern = E.runs(f"[{E.WHITE_SPACE}]")
+    df = spark.createDataFrame([(t, re.sub(f"[{spaces}]+", " ", t).strip(" "), re.sub(r"[ \t\n\x0b\f\r]+", " ", t.strip(" ")).strip(" ")) for t in texts], "t string, all string, plain string")
+    done = clean.normalize_text(E.with_clean(df, F.col("t"), "clean").withColumns({"content": F.col("t"), "hashtags": F.array()}))
+    assert done.filter((F.col("clean") != F.col("all")) | (F.col("content_clean") != F.col("plain"))).count() == 0
+    assert spark.range(1).select(F.regexp_count(F.lit("a b c  d\ne f"), F.lit(pattern)).alias("n")).first().n == 2
