@@ -382,3 +382,10 @@ def test_white_space_is_collapsed_without_a_match_for_single_blanks(spark):
     done = clean.normalize_text(E.with_clean(df, F.col("t"), "clean").withColumns({"content": F.col("t"), "hashtags": F.array()}))
     assert done.filter((F.col("clean") != F.col("all")) | (F.col("content_clean") != F.col("plain"))).count() == 0
     assert spark.range(1).select(F.regexp_count(F.lit("a b c  d\ne f"), F.lit(pattern)).alias("n")).first().n == 2
+
+
+def test_largest_file_reads_the_list_once(spark):
+    files = spark.createDataFrame([("/a/2.json", 9), ("/a/1.json", 9), ("/a/3.json", 5), ("/b/1.json", 0)], "path string, length long").repartition(3)
+    best = dedup.largest_file(files)
+    assert {tuple(r) for r in best.collect()} == {("/a", "/a/1.json", 9, 3, "cleaned"), ("/b", "/b/1.json", 0, 1, "skipped")}
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
