@@ -389,3 +389,18 @@ def test_largest_file_reads_the_list_once(spark):
     best = dedup.largest_file(files)
     assert {tuple(r) for r in best.collect()} == {("/a", "/a/1.json", 9, 3, "cleaned"), ("/b", "/b/1.json", 0, 1, "skipped")}
     assert best._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_posts_land_alike_with_few_texts_and_with_many(spark, tmp_path, monkeypatch):
+    from feedlake.plans import queries
+
+    d, landed = str(tmp_path), []
+    docs = [(0, "zero"), (1, None), (1, "one"), (2, "two"), (3, "three"), (9, "far")]  # 4 and 5 are missing, 1 comes twice
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    events = spark.range(240).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 600).cast("timestamp_ntz").alias("ts"), F.when(F.col("id") % 2 == 0, "view").otherwise("click").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit('{"k": 1}').alias("props"))
+    events.write.parquet(f"{d}/events.parquet")
+    for few in (queries.FEW_TEXTS, 10, 1):  # one pass, two, and a shuffle
+        monkeypatch.setattr(queries, "FEW_TEXTS", few)
+        lake = spark.read.parquet(queries._landed(spark, d))
+        landed.append(sorted(map(repr, lake.select(*sorted(lake.columns)).collect())))
+    assert landed[0] == landed[1] and len(landed[0]) == 200
