@@ -404,3 +404,13 @@ def test_posts_land_alike_with_few_texts_and_with_many(spark, tmp_path, monkeypa
         lake = spark.read.parquet(queries._landed(spark, d))
         landed.append(sorted(map(repr, lake.select(*sorted(lake.columns)).collect())))
     assert landed[0] == landed[1] and len(landed[0]) == 200
+
+
+def test_jsonl_lines_are_parsed_once_and_packed(spark, tmp_path):
+    values = ['{"a": 1}', '\ufeff {"b": 2}', "\t[1, {}]", '\t{"c": 3}', '"{"', "{broken", "  ", "", "\ufeff", "null", "7", None]
+    path = str(tmp_path / "lines")
+    spark.createDataFrame([(v,) for v in values if v is not None], "value string").coalesce(1).write.text(path, compression="gzip")
+    got = {r.raw: r.reject_reason for r in readers.read_jsonl(spark, path).collect()}
+    assert got == {'{"a": 1}': None, '{"b": 2}': None, "\t[1, {}]": "not an object", '\t{"c": 3}': None, '"{"': "not an object", "{broken": "malformed", "null": "not an object", "7": "not an object"}
+    plan = readers.parse_jsonl(spark.createDataFrame([(v,) for v in values], "value string")).filter("reject_reason IS NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert "schema_of_variant" not in plan and "regexp_replace" not in plan
