@@ -287,6 +287,15 @@ def test_repeated_spans(spark):
     assert repeated_spans.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passages = [" ".join([word(6)] + [word(5) for _ in range(64)] + [word(n)]) for n in (8, 9, 10, 80)]
+    assert [len(p) for p in passages] == [399, 400, 401, 471] and all(len(p.split()) > 50 for p in passages)
+    texts = [f"{word(300)}{side}{p}{side}{word(300)}" for p in passages for side in ".-"]
+    assert [r.n_removed for r in repeated_spans.remove_repeats(docs(spark, texts)).orderBy("doc_id").collect()] == [0, 0, 400, 400, 401, 401, 471, 471]
+
+
 def test_language(spark):
     words = {"en": "the and of that with", "de": "und der die nicht mit", "fr": "les des une dans pour"}
     rng = np.random.default_rng(2)
