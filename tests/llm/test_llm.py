@@ -345,6 +345,15 @@ def test_decontaminate(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs(spark, texts), items).collect()} == {2, 3, 4, 5}
 
 
+def test_decontaminate_broadcasts_no_hits_and_shuffles_no_words(spark):
+    items = spark.createDataFrame([(0, "Yesterday the farmer Alice sold 12 kg of apples and Alice kept 3 kg for the long cold winter")], "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, ["Yesterday the farmer Alice sold 12 kg of apples and Alice kept 3 kg for the long cold winter"] * 3), items)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 3 and "SortMergeJoin [__doc" in plan and "BroadcastHashJoin [__doc" not in plan
+    below = plan[plan.index("SortMergeJoin [__doc") :]
+    assert below.index("__words#") < below.index("REPARTITION_BY_COL") < below.index("__dd_m0")  # first the filter, then the shuffle, then words
+
+
 def test_decontaminate_verbatim_windows_count_whatever_their_slots(spark):
     """An edited number whose value also stands elsewhere, items dense in numbers, and items shorter than a window."""
     long_ = "there were 5 old boats in the small harbour that night and the tired crew counted every rope and sail before 5 men went home to sleep at last"
