@@ -406,6 +406,18 @@ def test_posts_land_alike_with_few_texts_and_with_many(spark, tmp_path, monkeypa
     assert landed[0] == landed[1] and len(landed[0]) == 200
 
 
+def test_posts_land_without_a_shuffle_or_a_sort_of_texts(spark, monkeypatch):
+    from feedlake.plans import queries
+
+    written = spark._jsparkSession.sharedState().statusStore().executionsList
+    for few, join in ((1, "ShuffledHashJoin"), (1 << 30, "BroadcastHashJoin")):
+        monkeypatch.setattr(queries, "FEW_TEXTS", few)
+        queries._landed(spark, "/root/testdata/sf0.001")
+        plans = [written().apply(k).physicalPlanDescription() for k in range(written().size())]
+        plan = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p][-1].split("Initial Plan")[0]
+        assert join in plan and plan.count(" Sort (") == 1 and plan.index(join) < plan.index(" Sort (") < plan.index("Exchange (")
+
+
 def test_jsonl_lines_are_parsed_once_and_packed(spark, tmp_path):
     values = ['{"a": 1}', '\ufeff {"b": 2}', "\t[1, {}]", '\t{"c": 3}', '"{"', "{broken", "  ", "", "\ufeff", "null", "7", None]
     path = str(tmp_path / "lines")
