@@ -391,6 +391,15 @@ def test_largest_file_reads_the_list_once(spark):
     assert best._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
 
 
+def test_largest_file_has_no_checksum_file_beside_each(spark, tmp_path, monkeypatch):
+    from feedlake.plans import queries
+
+    monkeypatch.setattr(queries, "scratch_dir", lambda spark, name: str(tmp_path / name))
+    found = queries.largest_file(spark, "/root/testdata/sf0.001").agg(F.sum("files").alias("files")).first().files
+    names = [f.name for f in (tmp_path / "files").glob("user_id=*/*")]
+    assert len(names) == found > 0 and all(n.startswith("part-") for n in names)
+
+
 def test_posts_land_alike_with_few_texts_and_with_many(spark, tmp_path, monkeypatch):
     from feedlake.plans import queries
 
