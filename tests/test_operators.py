@@ -362,6 +362,18 @@ def test_clean_write_from_the_tasks_as_they_are(spark, tmp_path):
     assert sorted((r.post_id, r.source) for r in got.collect()) == [("p", "reddit"), ("q", "other")] and all(f.endswith(".zstd.parquet") for f in got.inputFiles())
 
 
+def test_packed_texts_come_back_and_take_half_the_room(spark, tmp_path):
+    rows = [{"post_id": str(k), "content": " ".join(str(hash((k, j))) for j in range(100)) + " https://a.b/c  end"} for k in range(400)]
+    df, sizes = clean.clean(posts(spark, *rows)).coalesce(1), []
+    for pack in (False, True):
+        path = tmp_path / str(pack)
+        sinks.write_clean(df, str(path), deal=False, pack=pack)
+        sizes.append(sum(f.stat().st_size for f in path.rglob("*.parquet")))
+        got = sinks.read_clean(spark, str(path))
+        assert set(got.columns) == set(df.columns) and sorted(got.select("post_id", "content", "content_clean").collect()) == sorted(df.select("post_id", "content", "content_clean").collect())
+    assert sizes[1] < 0.6 * sizes[0]
+
+
 def test_upsert_joins_texts_late_and_keeps_rows_by_few_keys_or_few_survivors(spark, tmp_path, monkeypatch):
     text = lambda rows: rows.withColumn("content", F.concat(F.lit("text "), "_id"))
     for few in (0, 3, 1000):
