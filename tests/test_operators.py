@@ -262,6 +262,22 @@ def test_upsert_rewrites_touched_buckets_alone(spark, tmp_path):
     assert twice == touched and table.read().count() == 401
 
 
+def test_small_updates_are_laid_over_their_buckets(spark, tmp_path):
+    table, want = tables.BucketTable(spark, str(tmp_path), buckets=2), {str(k): "old" for k in range(200)}
+    table.upsert(keyed(spark, [*want, None], "old", "2024-01-01"))
+    for n in range(1, tables.LAYERS + 2):
+        few = [str(n), str(n + 1), f"new {n}"]
+        before = bucket_files(tmp_path / "data")
+        table.upsert(keyed(spark, few, f"fresh {n}", "2024-01-02"))
+        want |= dict.fromkeys(few, f"fresh {n}")
+        got = [(r._id, r.content) for r in tables.BucketTable(spark, str(tmp_path)).read().collect()]
+        assert sorted(got, key=str) == sorted([*want.items(), (None, "old")], key=str)
+        rows = sum(spark.read.parquet(str(tmp_path / "data" / f)).count() for f in bucket_files(tmp_path / "data").keys() - before.keys())
+        assert rows == 3 if n <= tables.LAYERS else rows > 100
+    assert table.read(2).count() == 202
+    assert table.vacuum() > 0 and len(table.read().collect()) == len(want) + 1 and table.vacuum() == 0
+
+
 def test_upsert_that_fails_before_its_manifest_changes_nothing(spark, tmp_path):
     table = tables.BucketTable(spark, str(tmp_path), buckets=4)
     table.upsert(keyed(spark, ["a", "b"], "old", "2024-01-01"))
